@@ -2,10 +2,18 @@
 
 from __future__ import annotations
 
+from .bpe import op4_bpe
+from .line_dedup import OP8_SQL, op8_line_dedup
+from .packing import op7_packing
 from .pii import op1_pii
+from .simhash import op5_simhash
 
 QUERIES = {
     "op1_pii": op1_pii,
+    "op4_bpe": op4_bpe,
+    "op5_simhash": op5_simhash,
+    "op7_packing": op7_packing,
+    "op8_line_dedup": op8_line_dedup,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op8_line_dedup": OP8_SQL}
