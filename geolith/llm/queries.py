@@ -3,17 +3,27 @@
 from __future__ import annotations
 
 from .bpe import op4_bpe
+from .chat import OP6_SQL, op6_chat
+from .langid import op2_langid
 from .line_dedup import OP8_SQL, op8_line_dedup
 from .packing import op7_packing
 from .pii import op1_pii
+from .secrets import op3_secrets
 from .simhash import op5_simhash
+from .spotsigs import op10_spotsigs
+from .topk import OP9_SQL, op9_topk
 
 QUERIES = {
     "op1_pii": op1_pii,
+    "op2_langid": op2_langid,
+    "op3_secrets": op3_secrets,
     "op4_bpe": op4_bpe,
     "op5_simhash": op5_simhash,
+    "op6_chat": op6_chat,
     "op7_packing": op7_packing,
     "op8_line_dedup": op8_line_dedup,
+    "op9_topk": op9_topk,
+    "op10_spotsigs": op10_spotsigs,
 }
 
-ORACLES: dict[str, str] = {"op8_line_dedup": OP8_SQL}
+ORACLES: dict[str, str] = {"op6_chat": OP6_SQL, "op8_line_dedup": OP8_SQL, "op9_topk": OP9_SQL}
