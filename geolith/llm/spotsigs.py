@@ -142,8 +142,9 @@ def near_duplicates(df: DataFrame, threshold: float = 0.8) -> tuple[DataFrame, D
 def _in_id_order(df: DataFrame) -> DataFrame:
     """Rows (doc_id, text) dealt into ranges of falling doc_id, each with the first row of the next at its end.
 
-    Adds ``range`` and ``tail``; partitions come sorted by range, tail, doc_id
-    (falling, nulls last) and text. Range borders are approximate quantiles, so
+    Gives doc_id, ``packed`` (the text in UTF-8 under Zstandard, which halves
+    what the shuffle writes), ``range`` and ``tail``; partitions come sorted by range,
+    tail, doc_id (falling, nulls last) and packed text. Range borders are approximate quantiles, so
     ranges are even; each range's first id reaches the driver, one number per
     range. The last range ends with the very first row.
     """
@@ -154,9 +155,8 @@ def _in_id_order(df: DataFrame) -> DataFrame:
     own = F.when(F.col("doc_id").isNull(), F.lit(len(cuts) + 1)).otherwise(
         F.size(F.filter(F.array(*map(F.lit, cuts)).cast("array<long>"), lambda c: c >= F.col("doc_id")))
     )
-    placed = df.withColumn("own", own)
     firsts = sorted(
-        (r["own"], r["first"]) for r in placed.groupBy("own").agg(F.max("doc_id").alias("first")).collect()
+        (r["own"], r["first"]) for r in df.groupBy(own.alias("own")).agg(F.max("doc_id").alias("first")).collect()
     )
     # A range's first row, if its id is one of the borders, goes to the end of the range before too.
     known = F.array(*(F.lit(first) for _, first in firsts)).cast("array<long>")
@@ -167,19 +167,32 @@ def _in_id_order(df: DataFrame) -> DataFrame:
         F.struct(F.col("own").alias("range"), F.lit(False).alias("tail")),
         F.when(is_first, F.struct(F.get(before, border.cast("int") - 1).alias("range"), F.lit(True).alias("tail"))),
     )
+
+    def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import zstandard
+
+        compressor = zstandard.ZstdCompressor(level=3)
+        for batch in batches:
+            texts = [compressor.compress((x or "").encode()) for x in batch.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("doc_id"), pa.array(texts, pa.binary())], names=["doc_id", "packed"]
+            )
+
     return (
-        placed.select("doc_id", "text", F.explode(F.array_compact(targets)).alias("to"))
-        .select("doc_id", "text", "to.range", "to.tail")
+        df.mapInArrow(packed, "doc_id long, packed binary")
+        .select("doc_id", "packed", own.alias("own"))
+        .select("doc_id", "packed", F.explode(F.array_compact(targets)).alias("to"))
+        .select("doc_id", "packed", "to.range", "to.tail")
         .repartition(shuffle_partitions(spark), "range")
-        .sortWithinPartitions("range", "tail", F.desc_nulls_last("doc_id"), "text")
+        .sortWithinPartitions("range", "tail", F.desc_nulls_last("doc_id"), "packed")
     )
 
 
 def fingerprint_edits(df: DataFrame) -> DataFrame:
     """Fingerprints of every text and of its edit with the next document's beginning.
 
-    The next document is that of the next smaller doc_id (ties by text, null
-    ids last), after the last the first. The edit replaces the last half of a text
+    The next document is that of the next smaller doc_id (ties by packed text,
+    null ids last), after the last the first. The edit replaces the last half of a text
     (rounded down, code points) by as many first ones of the next text, or all.
     Null text counts as empty; rows stay as they are, repeated ones included.
     Texts are shuffled once, into ranges of ids that are read as streams.
@@ -191,16 +204,19 @@ def fingerprint_edits(df: DataFrame) -> DataFrame:
     )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last = None  # (range, doc_id, text, signatures) that waits for the next one
+        import zstandard
+
+        unpack = zstandard.ZstdDecompressor().decompress
+        last = None  # (doc_id, text, signatures) that waits for the next one
         for batch in batches:
             rows = []
-            for doc_id, text, where, tail in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for doc_id, packed, _, tail in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if last is None and tail:
                     continue  # further copies of the row that ended the range
-                text = text or ""
+                text = unpack(packed).decode()
                 mine = signatures(text)
                 if last is not None:
-                    _, before, old, old_set = last
+                    before, old, old_set = last
                     half = len(old) // 2
                     edited = old[: len(old) - half] + text[:half]
                     new_set = signatures(edited)
@@ -215,7 +231,7 @@ def fingerprint_edits(df: DataFrame) -> DataFrame:
                             pruned_jaccard(old_set, mine),
                         )
                     )
-                last = None if tail else (where, doc_id, text, mine)
+                last = None if tail else (doc_id, text, mine)
             columns = list(zip(*rows, strict=True)) or [[]] * 7
             types = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64()]
             yield pa.RecordBatch.from_arrays(
