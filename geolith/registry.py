@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from geolith.plans import events, influence, policy, trade
+from geolith.plans import events, influence, policy, text, trade
 
-PLANS = (trade, policy, events, influence)
+PLANS = (trade, policy, events, influence, text)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {k: v for m in PLANS for k, v in m.QUERIES.items()}
 ORACLES: dict[str, str] = {k: v for m in PLANS for k, v in m.ORACLES.items()}
