@@ -202,9 +202,10 @@ def encode(df: DataFrame, path: str, text: str = "text") -> DataFrame:
     Special tokens in a text become their own ids, as the library's defaults
     have it. Null text counts as empty: no ids, empty text. Row-local: nothing is
     shuffled, repeated rows stay, and pieces of any length take linear time.
-    Caches in each worker are bounded.
+    Columns of the added names are replaced. Caches in each worker are bounded.
     """
     bounded_batches(df.sparkSession)
+    df = df.drop("bpe_ids", "bpe_text")
     out = T.StructType(
         [
             *df.schema.fields,

@@ -61,6 +61,21 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.parquet(path)
 
 
+#: Holds the columns that a stage does not read, so that names it adds cannot clash with them.
+ASIDE = "__aside"
+
+
+def set_aside(df: DataFrame, *needed: str) -> DataFrame:
+    """``needed`` and, in one struct, all other columns of ``df``."""
+    rest = [F.col(f"`{c}`") for c in df.columns if c not in needed]
+    return df.select(*needed, F.struct(*rest).alias(ASIDE)) if rest else df.select(*needed)
+
+
+def restored(df: DataFrame, columns: list[str], *needed: str) -> DataFrame:
+    """The columns of the frame before :func:`set_aside`, in their order."""
+    return df.select(*(F.col(c) if c in needed else F.col(f"{ASIDE}.`{c}`").alias(c) for c in columns))
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import bounded_batches, table
+from .common import bounded_batches, restored, set_aside, table
 
 #: About so many documents of each language, by hash of their id, train the model.
 TRAIN_DOCS_PER_LANGUAGE = 1500
@@ -179,12 +179,13 @@ def identify(df: DataFrame, model: LanguageModel, text: str = "text") -> DataFra
     penalised likelihood among the best single language and the two or three of
     largest share. The prediction is the language of the greatest share, the
     score that share. Null text, and text without a letter, is ``und`` with
-    score 0. Row-local; rows stay as they are.
+    score 0. Row-local; rows stay as they are, columns of the added names are replaced.
     """
     spark = df.sparkSession
     bounded_batches(spark)
     shared = spark.sparkContext.broadcast(model)
     added = [("lang_pred", T.StringType()), ("lang_score", T.DoubleType()), ("lang_fit", T.DoubleType()), ("lang_count", T.IntegerType())]
+    df = df.drop(*(n for n, _ in added))
     schema = T.StructType([*df.schema.fields, *(T.StructField(*x) for x in added)])
     at = df.columns.index(text)
 
@@ -203,9 +204,9 @@ def identify(df: DataFrame, model: LanguageModel, text: str = "text") -> DataFra
 
 def keep_identified(docs: DataFrame) -> DataFrame:
     """The documents of ``docs`` whose language is determined with a share of at least half."""
-    judged = identify(docs, train(docs.select("doc_id", "text", "lang")))
+    judged = identify(set_aside(docs, "text"), train(docs.select("doc_id", "text", "lang")))
     kept = judged.where((F.col("lang_pred") != UNDETERMINED) & (F.col("lang_score") >= MIN_SHARE))
-    return kept.select(*docs.columns)
+    return restored(kept, docs.columns, "text")
 
 
 def op2_langid(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ASCII_SPACE, ascii_lower, table
+from .common import ASCII_SPACE, ascii_lower, restored, set_aside, table
 
 MIN_KEY_CHARS = 20
 MIN_DOCUMENTS = 3
@@ -30,7 +30,8 @@ def dedup_lines(
     doc_id count nowhere and keep all. Distinct documents of a key are counted
     after dealing by key and document, and the join back deals the lines so
     that adaptive execution can split a very common one; nothing gathers the
-    documents of a line. Texts are shuffled once, by document.
+    documents of a line. Texts are shuffled once, by document. Columns of the
+    added names are replaced.
     """
     row = df.withColumn("__text", F.coalesce(F.col(text), F.lit(""))).withColumn("__th", F.xxhash64("__text"))
     lines = row.where(F.col("doc_id").isNotNull()).select(
@@ -66,10 +67,17 @@ def dedup_lines(
         .withColumn("n_lines", F.size(all_lines).cast("long"))
         .withColumn("n_dropped", F.coalesce(F.size("__dropped"), F.lit(0)).cast("long"))
         .withColumn(text, F.when(F.col("n_dropped") > 0, kept).otherwise(F.col(text)))
-        .select(*df.columns, "n_lines", "n_dropped")
+        .select(*(c for c in df.columns if c not in ("n_lines", "n_dropped")), "n_lines", "n_dropped")
     )
 
 
+def drop_shared_lines(docs: DataFrame) -> DataFrame:
+    """``docs`` with the kept lines as ``text``, and ``n_chars`` counted anew."""
+    read = ("doc_id", "text", "n_chars")
+    cut = dedup_lines(set_aside(docs, *read)).withColumn("n_chars", F.length("text").cast("long"))
+    return restored(cut, docs.columns, *read)
+
+
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text")).select(
         "doc_id", "n_lines", "n_dropped", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256")

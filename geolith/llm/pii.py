@@ -158,9 +158,10 @@ def find_pii(df: DataFrame, text: str = "text") -> DataFrame:
     score is the kind's own, plus 0.3 if a context word stands within 40
     characters (up to the nearest span of the same kind); base kinds stay at
     any score, added ones from 0.5. Null or empty text has no spans. Rows stay
-    as they are, repeated rows included; no shuffle takes place.
+    as they are, repeated rows included, a column of the added name is replaced;
+    no shuffle takes place.
     """
-    keep = df.columns
+    keep = [c for c in df.columns if c != "pii_spans"]
     names = {k.name: f"__{k.name}" for k in KINDS}
     out = df.withColumn("__text", F.coalesce(F.col(text), F.lit("")))
     for k in KINDS:

@@ -84,6 +84,7 @@ def pruned_jaccard(a: np.ndarray, b: np.ndarray, floor: float = 0.0) -> float:
 def with_signatures(df: DataFrame, text: str = "text") -> DataFrame:
     """``df`` with ``signatures``, an array of int; null text counts as empty."""
     bounded_batches(df.sparkSession)
+    df = df.drop("signatures")
     schema = T.StructType([*df.schema.fields, T.StructField("signatures", T.ArrayType(T.IntegerType()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
