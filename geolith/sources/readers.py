@@ -143,8 +143,8 @@ def read_workbooks(spark: SparkSession, path: str, columns: list[str]) -> DataFr
 
 
 def sniff(head: bytes) -> tuple[str, str]:
-    """Encoding and separator of a text file by its first bytes."""
-    for encoding in ("utf-8", "cp1252", "latin-1"):
+    """Encoding (UTF-8, else Latin-1) and separator of a text file by its first bytes."""
+    for encoding in ("utf-8", "iso-8859-1"):
         try:
             text = head.decode(encoding)
             break

@@ -13,6 +13,11 @@ from pyspark.sql.types import StructType
 WATERMARK = "1 day"
 
 
+def _timed(events: DataFrame) -> DataFrame:
+    """Events with a time zone in their time and the watermark on it."""
+    return events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", WATERMARK)
+
+
 def read_events(spark: SparkSession, path: str, schema: StructType, files_per_trigger: int | None = None) -> DataFrame:
     """Event files as they land in a folder; the file source remembers what it has read."""
     reader = spark.readStream.schema(schema)
@@ -25,7 +30,7 @@ def tumbling(events: DataFrame, width: str = "1 day", slide: str | None = None)
     """Events and values per window and type; works on batches and streams alike."""
     window = F.window("ts", width, slide) if slide else F.window("ts", width)
     return (
-        events.withWatermark("ts", WATERMARK)
+        _timed(events)
         .groupBy(window.alias("w"), "event_type")
         .agg(F.count("*").alias("n"), F.sum("value").alias("total"), F.max("value").alias("largest"))
         .select(F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"), "event_type", "n", "total", "largest")
@@ -35,7 +40,7 @@ def tumbling(events: DataFrame, width: str = "1 day", slide: str | None = None)
 def sessions(events: DataFrame, gap: str = "6 hours") -> DataFrame:
     """Sessions of each user: events no farther apart than the gap."""
     return (
-        events.withWatermark("ts", WATERMARK)
+        _timed(events)
         .groupBy(F.session_window("ts", gap).alias("w"), "user_id")
         .agg(F.count("*").alias("n"), F.sum("value").alias("total"))
         .select("user_id", F.col("w.start").alias("session_start"), F.col("w.end").alias("session_end"), "n", "total")
@@ -44,7 +49,7 @@ def sessions(events: DataFrame, gap: str = "6 hours") -> DataFrame:
 
 def deduplicated(events: DataFrame, key: str = "event_id") -> DataFrame:
     """Repeated deliveries dropped within the watermark."""
-    return events.withWatermark("ts", WATERMARK).dropDuplicatesWithinWatermark([key])
+    return _timed(events).dropDuplicatesWithinWatermark([key])
 
 
 def incremental_filter(updates: DataFrame, q: float, r: float) -> DataFrame:
