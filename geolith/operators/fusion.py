@@ -128,3 +128,61 @@ def briefing(findings: DataFrame, lines: int = 5) -> str:
         f"{r['position']}. {r['entity_iso3']} ({r['facet']}): {r['kind']}, confidence {r['confidence']:.2f} [{r['agents']}]"
         for r in rows
     )
+
+
+def best_evidence(insights: DataFrame, agent: str, facet: str, prefix: str) -> DataFrame:
+    """An agent's most confident insight of a facet per entity: score, confidence and claim under a prefix."""
+    mine = insights.where((F.col("agent") == agent) & (F.col("facet") == facet))
+    best = mine.groupBy("entity_iso3").agg(
+        F.min_by(F.struct("score", "confidence", "claim"), F.struct(-F.col("confidence"), "claim")).alias("e")
+    )
+    return best.select("entity_iso3", *(F.col(f"e.{c}").alias(f"{prefix}_{c}") for c in ("score", "confidence", "claim")))
+
+
+def critical_partners(trade: DataFrame, relations: DataFrame, least_share: float = 0.05) -> DataFrame:
+    """Partners an entity depends on by a share and with whom relations are in conflict.
+
+    ``trade`` has (entity_iso3, partner, share, confidence), ``relations`` (entity_iso3, partner, relation, confidence).
+    """
+    joined = trade.where(F.col("share") >= least_share).join(
+        relations.withColumnRenamed("confidence", "rc"), ["entity_iso3", "partner"]
+    )
+    return joined.where("relation = 'conflict'").select(
+        "entity_iso3", "partner", "share", F.lit("cross_agent").alias("kind"), F.least("confidence", "rc").alias("confidence")
+    )
+
+
+def momentum_check(influence: DataFrame, blocs: DataFrame) -> DataFrame:
+    """Rising or falling influence set beside an entity's bloc: (entity_iso3, trend, confidence) and (entity_iso3, bloc, confidence)."""
+    joined = influence.where("trend <> 'stable'").join(blocs.withColumnRenamed("confidence", "bc"), "entity_iso3")
+    return joined.select(
+        "entity_iso3", "trend", "bloc", F.lit("cross_agent").alias("kind"), F.least("confidence", "bc").alias("confidence")
+    )
+
+
+def event_friction(partners: DataFrame, baseline: DataFrame, least_events: int = 3) -> DataFrame:
+    """Days whose tone departs from a dyad's history.
+
+    ``partners`` has (dyad, events, mean_goldstein, confidence), ``baseline`` (dyad, mean); enough events
+    with a tone of one or more in size, against a baseline beyond a tenth of the other sign.
+    """
+    strong = partners.where((F.col("events") >= least_events) & (F.abs("mean_goldstein") >= 1))
+    joined = strong.join(baseline, "dyad").where(F.abs("mean") >= 0.1)
+    agrees = F.signum("mean_goldstein") == F.signum("mean")
+    return joined.select(
+        "dyad", "events", "mean_goldstein", "mean", F.when(agrees, "corroboration").otherwise("divergence").alias("kind"), "confidence"
+    )
+
+
+def bilateral_tension(dependence: DataFrame, agreement: DataFrame) -> DataFrame:
+    """Pairs in which one side depends by a tenth or more while they vote alike in under half of all votes."""
+    joined = dependence.where("dependence >= 0.10").join(agreement, ["a", "b"]).where("match_rate < 50")
+    return joined.select("a", "b", "dependence", "match_rate", F.lit("divergence").alias("kind"), F.least("dc", "ac").alias("confidence"))
+
+
+def shock_camps(impacts: DataFrame, blocs: DataFrame) -> DataFrame:
+    """How a shock's impact falls on blocs: mean and number hit; confidence at most 0.75."""
+    joined = impacts.where("impact > 0").join(blocs, "entity_iso3")
+    return joined.groupBy("bloc").agg(
+        F.avg("impact").alias("mean_impact"), F.count("*").alias("hit"), F.least(F.lit(0.75), F.min("confidence")).alias("confidence")
+    )

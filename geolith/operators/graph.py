@@ -198,3 +198,65 @@ def bloc_summary(blocs: DataFrame, *keys: str) -> DataFrame:
         F.avg("internal_share").alias("mean_internal_share"),
         F.sum("strength").alias("total_strength"),
     )
+
+
+def eigenvector(weights: np.ndarray, rounds: int = 200) -> np.ndarray:
+    """Eigenvector centrality of a symmetric matrix by power iteration, of unit length."""
+    x = np.full(len(weights), 1 / np.sqrt(max(1, len(weights))))
+    for _ in range(rounds):
+        y = weights @ x + x  # the shift keeps bipartite graphs from swinging
+        y /= np.linalg.norm(y) or 1.0
+        if np.abs(y - x).sum() < len(x) * TOLERANCE:
+            return y
+        x = y
+    return x
+
+
+def components(weights: np.ndarray) -> np.ndarray:
+    """Connected component of each node of a symmetric matrix, named by its first node."""
+    label = np.arange(len(weights))
+    while True:
+        near = np.where(weights > 0, label[None, :], len(label)).min(axis=1, initial=len(label))
+        after = np.minimum(label, near)
+        if (after == label).all():
+            return label
+        label = after
+
+
+def network_metrics(edge: DataFrame, *keys: str) -> DataFrame:
+    """Degree, eigenvector, PageRank, betweenness, component and community in the undirected graph."""
+
+    def work(names, weights):
+        both = weights + weights.T
+        np.fill_diagonal(both, 0.0)
+        linked = (both > 0).astype(float)
+        return pd.DataFrame(
+            {
+                "country": names, "degree": linked.sum(axis=1).astype(int), "eigenvector": eigenvector(both),
+                "pagerank": pagerank(both), "betweenness": betweenness(linked), "component": components(both),
+                "community": _modularity_groups(both),
+            }
+        )
+
+    return _per_graph(
+        edge, keys, work,
+        "country string, degree int, eigenvector double, pagerank double, betweenness double, component int, community int",
+    )
+
+
+def spectral_embedding(edge: DataFrame, *keys: str, dimensions: int = 2) -> DataFrame:
+    """Coordinates from the lowest non-trivial eigenvectors of the normalised Laplacian, filled with zeros."""
+
+    def work(names, weights):
+        both = weights + weights.T
+        np.fill_diagonal(both, 0.0)
+        degree = both.sum(axis=1)
+        scale = np.divide(1, np.sqrt(degree), out=np.zeros(len(names)), where=degree > 0)
+        _, axes = np.linalg.eigh(np.eye(len(names)) - scale[:, None] * both * scale[None, :])
+        found = axes[:, 1 : dimensions + 1]
+        found = found * np.where(found[np.abs(found).argmax(axis=0), np.arange(found.shape[1])] < 0, -1, 1)
+        out = np.zeros((len(names), dimensions))
+        out[:, : found.shape[1]] = found
+        return pd.DataFrame({"country": names} | {f"x{i + 1}": out[:, i] for i in range(dimensions)})
+
+    return _per_graph(edge, keys, work, "country string, " + ", ".join(f"x{i + 1} double" for i in range(dimensions)))

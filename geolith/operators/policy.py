@@ -304,3 +304,15 @@ def linear_forecast(series: DataFrame, key: str, t: str, y: str, window: int, ho
         F.greatest(F.lit(0.0), F.col("intercept") + F.col("slope") * (F.col("last_t") + F.col("h"))).alias("forecast"),
         trend.alias("trend"),
     )
+
+
+def discovered_blocs(vectors: DataFrame, min_similarity: float = 0.5) -> DataFrame:
+    """Communities of the graph of similar voters, the largest first; countries without similar ones are left out."""
+    from .graph import trade_blocs
+
+    pairs = cosine_pairs(vectors, "country_name", "resolution", "x").where(F.col("cosine") >= min_similarity)
+    edge = pairs.select(F.col("a").alias("exporter"), F.col("b").alias("importer"), F.col("cosine").alias("weight"))
+    found = trade_blocs(edge)
+    size = found.groupBy("bloc_id").agg(F.count("*").alias("members"), F.min("country").alias("first"))
+    order = F.row_number().over(Window.orderBy(F.desc("members"), "first")).alias("cluster")
+    return found.join(F.broadcast(size.select("bloc_id", "members", order)), "bloc_id").select("country", "cluster", "members")
