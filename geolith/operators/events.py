@@ -13,9 +13,9 @@ from pyspark.sql import functions as F
 
 # Names of the two-digit root codes.
 ROOT_NAMES = {
-    "01": "Statement", "02": "Appeal", "03": "Intent to Cooperate", "04": "Consultation", "05": "Diplomacy",
-    "06": "Material Cooperation", "07": "Aid", "08": "Yield", "09": "Investigate", "10": "Demand",
-    "11": "Disapprove", "12": "Reject", "13": "Threaten", "14": "Protest", "15": "Force Posture",
+    "01": "Verbal Cooperation", "02": "Material Cooperation", "03": "Diplomatic Cooperation", "04": "Consultation",
+    "05": "Mediation", "06": "Engagement", "07": "Provision of Aid", "08": "Yield / Concession", "09": "Investigation",
+    "10": "Demand", "11": "Disapprove", "12": "Reject", "13": "Threaten", "14": "Protest", "15": "Exhibit Force",
     "16": "Reduce Relations", "17": "Coerce", "18": "Assault", "19": "Fight", "20": "Mass Violence",
 }
 MISSING_CODES = ("", "NAN", "NONE")
@@ -35,23 +35,23 @@ def root_name(event_code: Column) -> Column:
 def tone(goldstein: Column) -> Column:
     """Five bands of the Goldstein value; unknown is neutral."""
     return (
-        F.when(goldstein.isNull() | F.isnan(goldstein), "Neutral")
-        .when(goldstein >= 5, "Very Positive")
-        .when(goldstein >= 1, "Positive")
-        .when(goldstein > -1, "Neutral")
-        .when(goldstein >= -5, "Negative")
-        .otherwise("Very Negative")
+        F.when(goldstein.isNull() | F.isnan(goldstein), "neutral")
+        .when(goldstein >= 5, "strongly cooperative")
+        .when(goldstein >= 1, "cooperative")
+        .when(goldstein > -1, "neutral")
+        .when(goldstein >= -5, "tense")
+        .otherwise("highly conflictual")
     )
 
 
 def theme(event_code: Column) -> Column:
     root = F.substring(event_code, 1, 2).try_cast("int")
     return (
-        F.when(root.between(1, 8), "cooperation")
-        .when(root.between(9, 12), "pressure")
-        .when(root.between(13, 16), "escalation and protest")
-        .when(root.between(17, 20), "violence")
-        .otherwise("other")
+        F.when(root.between(1, 8), "Diplomatic Cooperation")
+        .when(root.between(9, 12), "Diplomatic Pressure")
+        .when(root.between(13, 16), "Escalation & Protest")
+        .when(root.between(17, 20), "Conflict & Violence")
+        .otherwise("Other")
     )
 
 
@@ -212,13 +212,13 @@ def historical_context(yearly: DataFrame, by: str = "year") -> DataFrame:
     )
     change = F.round(F.col("recent") - F.col("prior"), 9)
     trend = F.when(change > 0.05, "improving").when(change < -0.05, "deteriorating").otherwise("stable")
-    mean = F.round("mean", 9)
+    mean = F.round("mean", 4)
     label = (
-        F.when(mean >= 0.3, "cooperative")
-        .when(mean >= 0.1, "mildly cooperative")
-        .when(mean >= -0.1, "neutral")
-        .when(mean >= -0.3, "strained")
-        .otherwise("hostile")
+        F.when(mean >= 0.3, "strongly cooperative")
+        .when(mean >= 0.1, "moderately cooperative")
+        .when(mean >= -0.1, "broadly neutral")
+        .when(mean >= -0.3, "moderately tense")
+        .otherwise("historically adversarial")
     )
     return stats.select("dyad", "mean", trend.alias("trend"), label.alias("label"))
 

@@ -81,7 +81,7 @@ def forecast(series: DataFrame, key: str, t: str, y: str, periods: int = 3, meth
     """(key, step, forecast, method, mape, confidence, trend) for every series.
 
     Under two points the last value is repeated with confidence 0.3. Values are
-    never negative; ratios stay within 0 and 1. The trend is rising or falling beyond 1 %.
+    never negative; ratios stay within 0 and 1. The trend is increasing or decreasing beyond 1 %.
     """
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -96,7 +96,7 @@ def forecast(series: DataFrame, key: str, t: str, y: str, periods: int = 3, meth
         ahead = np.clip(np.nan_to_num(ahead), 0.0, 1.0 if ratio else None)
         last = values[-1] if len(values) else 0.0
         change = (ahead[-1] - last) / abs(last) if last else 0.0
-        trend = "rising" if change > 0.01 else "falling" if change < -0.01 else "stable"
+        trend = "increasing" if change > 0.01 else "decreasing" if change < -0.01 else "stable"
         return pd.DataFrame(
             {
                 key: pdf[key].iloc[0], "step": np.arange(1, periods + 1), "forecast": ahead, "method": name,

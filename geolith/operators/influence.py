@@ -178,20 +178,54 @@ def volatility_tier(std: Column) -> Column:
 
 
 def regimes(panel: DataFrame, value: str) -> DataFrame:
-    """Rising, declining, stable or volatile, by the 33rd and 66th percentiles of slopes and the median deviation."""
-    t = trend_features(panel, value)
-    cuts = t.agg(
-        F.percentile("slope", 0.33).alias("low"), F.percentile("slope", 0.66).alias("high"), F.median("std").alias("vol")
+    """Slope, R2, volatility (population deviation of residuals) and regime, from five values on.
+
+    Rising or declining needs a slope beyond 0.4 and an R2 above 0.25.
+    """
+    fit = panel.where(F.col(value).isNotNull()).groupBy("iso3").agg(
+        F.regr_slope(value, "period").alias("slope"),
+        F.regr_r2(value, "period").alias("r2"),
+        F.sqrt(
+            F.greatest(F.lit(0.0), F.regr_syy(value, "period") * (1 - F.regr_r2(value, "period")) / F.count("*"))
+        ).alias("volatility"),
+        F.count("*").alias("n"),
     )
+    clear = F.col("r2") > 0.25
     label = (
-        F.when(F.col("slope") > F.col("high"), "rising")
-        .when(F.col("slope") <= F.col("low"), "declining")
-        .when(F.col("std") > F.col("vol"), "volatile")
-        .otherwise("stable")
+        F.when((F.col("slope") > 0.4) & clear, "rising").when((F.col("slope") < -0.4) & clear, "declining").otherwise("stable")
+    )
+    return fit.where("n >= 5").select(
+        "iso3", "slope", "r2", "volatility", label.alias("regime"), volatility_tier(F.col("volatility")).alias("volatility_tier")
     )
-    return t.crossJoin(F.broadcast(cuts)).select(
-        "iso3", "slope", "std", label.alias("regime"), volatility_tier(F.col("std")).alias("volatility_tier")
+
+
+def kalman_regimes(filtered: DataFrame) -> DataFrame:
+    """Six regimes of smoothed series, by where slope, volatility and latest score stand among all countries.
+
+    The cuts are the 33rd and 66th percentiles of slopes, the median of
+    innovation deviations and the 66th percentile of latest scores.
+    """
+    s = filtered.groupBy("iso3").agg(
+        F.regr_slope("kalman_score", "period").alias("slope"),
+        F.coalesce(F.stddev_samp(F.nanvl("innovation", F.lit(None).cast("double"))), F.lit(0.0)).alias("volatility"),
+        F.max_by("kalman_score", "period").alias("latest_score"),
+    )
+    cuts = s.agg(
+        F.percentile("slope", 0.33).alias("low"),
+        F.percentile("slope", 0.66).alias("high"),
+        F.median("volatility").alias("vol"),
+        F.percentile("latest_score", 0.66).alias("top"),
+    )
+    rising, falling, volatile = F.col("slope") > F.col("high"), F.col("slope") < F.col("low"), F.col("volatility") > F.col("vol")
+    label = (
+        F.when(rising & ~volatile, "Ascendant")
+        .when(rising, "Volatile Riser")
+        .when(falling & volatile, "Fragile")
+        .when(falling, "Declining")
+        .when(F.col("latest_score") >= F.col("top"), "Stable Power")
+        .otherwise("Coasting")
     )
+    return s.crossJoin(F.broadcast(cuts)).select("iso3", "slope", "volatility", "latest_score", label.alias("regime"))
 
 
 def spearman(panel: DataFrame, a: str, b: str) -> DataFrame:
@@ -419,9 +453,9 @@ def kalman_summary(filtered: DataFrame) -> DataFrame:
     )
     cuts = s.agg(F.percentile("innovation_std", [0.33, 0.66]).alias("cuts"))
     label = (
-        F.when(F.col("innovation_std") <= F.col("cuts")[0], "stable")
-        .when(F.col("innovation_std") <= F.col("cuts")[1], "moderate")
-        .otherwise("volatile")
+        F.when(F.col("innovation_std") <= F.col("cuts")[0], "Stable")
+        .when(F.col("innovation_std") <= F.col("cuts")[1], "Moderate")
+        .otherwise("Volatile")
     )
     return s.crossJoin(F.broadcast(cuts)).withColumn("stability", label).drop("cuts")
 

@@ -395,11 +395,11 @@ def newest_metadata(metadata: DataFrame, year: int, max_backfill: int = 5) -> Da
 
 def exposure_band(share: Column) -> Column:
     return (
-        F.when(share.isNull(), "unknown")
-        .when(share >= 0.10, "severe")
-        .when(share >= 0.03, "material")
-        .when(share >= 0.01, "moderate")
-        .otherwise("limited")
+        F.when(share.isNull() | F.isnan(share), "economic exposure unknown")
+        .when(share >= 0.10, "severe economic exposure")
+        .when(share >= 0.03, "material economic exposure")
+        .when(share >= 0.01, "moderate economic exposure")
+        .otherwise("limited economic exposure")
     )
 
 

@@ -20,12 +20,12 @@ def _sql_case(column: str) -> str:
 
 _PREPARED_SQL = f"""{GDELT_SQL}, prepared AS (
     SELECT *, substr(event_code, 1, 2) AS root, {_sql_case("event_code")} AS event_type,
-           CASE WHEN goldstein >= 5 THEN 'Very Positive' WHEN goldstein >= 1 THEN 'Positive'
-                WHEN goldstein > -1 THEN 'Neutral' WHEN goldstein >= -5 THEN 'Negative' ELSE 'Very Negative' END AS tone,
-           CASE WHEN substr(event_code, 1, 2)::INT BETWEEN 1 AND 8 THEN 'cooperation'
-                WHEN substr(event_code, 1, 2)::INT BETWEEN 9 AND 12 THEN 'pressure'
-                WHEN substr(event_code, 1, 2)::INT BETWEEN 13 AND 16 THEN 'escalation and protest'
-                WHEN substr(event_code, 1, 2)::INT BETWEEN 17 AND 20 THEN 'violence' ELSE 'other' END AS theme,
+           CASE WHEN goldstein >= 5 THEN 'strongly cooperative' WHEN goldstein >= 1 THEN 'cooperative'
+                WHEN goldstein > -1 THEN 'neutral' WHEN goldstein >= -5 THEN 'tense' ELSE 'highly conflictual' END AS tone,
+           CASE WHEN substr(event_code, 1, 2)::INT BETWEEN 1 AND 8 THEN 'Diplomatic Cooperation'
+                WHEN substr(event_code, 1, 2)::INT BETWEEN 9 AND 12 THEN 'Diplomatic Pressure'
+                WHEN substr(event_code, 1, 2)::INT BETWEEN 13 AND 16 THEN 'Escalation & Protest'
+                WHEN substr(event_code, 1, 2)::INT BETWEEN 17 AND 20 THEN 'Conflict & Violence' ELSE 'Other' END AS theme,
            CASE WHEN a1 = '{COUNTRY}' AND a2 = '{COUNTRY}' THEN 'Both' WHEN a1 = '{COUNTRY}' THEN 'Initiator'
                 ELSE 'Recipient' END AS role, a1 = '{COUNTRY}' AND a2 = '{COUNTRY}' AS domestic
     FROM (SELECT * FROM gdelt WHERE a1 = '{COUNTRY}' OR a2 = '{COUNTRY}'
@@ -193,8 +193,9 @@ m AS (
 )
 SELECT dyad, round(mean, 6) AS mean,
        CASE WHEN ch > 0.05 THEN 'improving' WHEN ch < -0.05 THEN 'deteriorating' ELSE 'stable' END AS trend,
-       CASE WHEN round(mean, 9) >= 0.3 THEN 'cooperative' WHEN round(mean, 9) >= 0.1 THEN 'mildly cooperative'
-            WHEN round(mean, 9) >= -0.1 THEN 'neutral' WHEN round(mean, 9) >= -0.3 THEN 'strained' ELSE 'hostile' END AS label
+       CASE WHEN round(mean, 4) >= 0.3 THEN 'strongly cooperative' WHEN round(mean, 4) >= 0.1 THEN 'moderately cooperative'
+            WHEN round(mean, 4) >= -0.1 THEN 'broadly neutral' WHEN round(mean, 4) >= -0.3 THEN 'moderately tense'
+            ELSE 'historically adversarial' END AS label
 FROM m
 """
 

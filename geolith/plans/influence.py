@@ -163,17 +163,22 @@ def influence_regimes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 INFLUENCE_REGIMES_SQL = f"""
 WITH {PANEL_SQL}, t AS (
-    SELECT iso3, regr_slope(composite, period) AS slope, stddev_samp(composite) AS std
-    FROM panel WHERE composite IS NOT NULL GROUP BY 1 HAVING count(*) >= 4
-), c AS (SELECT quantile_cont(slope, 0.33) AS low, quantile_cont(slope, 0.66) AS high, median(std) AS vol FROM t)
-SELECT iso3, round(slope, 6) AS slope, round(std, 6) AS std,
-       CASE WHEN slope > high THEN 'rising' WHEN slope <= low THEN 'declining' WHEN std > vol THEN 'volatile' ELSE 'stable' END
+    SELECT iso3, regr_slope(composite, period) AS slope, regr_r2(composite, period) AS r2,
+           sqrt(greatest(0, regr_syy(composite, period) * (1 - regr_r2(composite, period)) / count(*))) AS vol
+    FROM panel WHERE composite IS NOT NULL GROUP BY 1 HAVING count(*) >= 5
+)
+SELECT iso3, round(slope, 6) AS slope, round(r2, 6) AS r2, round(vol, 6) AS volatility,
+       CASE WHEN slope > 0.4 AND r2 > 0.25 THEN 'rising' WHEN slope < -0.4 AND r2 > 0.25 THEN 'declining' ELSE 'stable' END
            AS regime,
-       CASE WHEN std >= 2.5 THEN 'High' WHEN std >= 1.25 THEN 'Medium' ELSE 'Low' END AS volatility_tier
-FROM t CROSS JOIN c
+       CASE WHEN vol >= 2.5 THEN 'High' WHEN vol >= 1.25 THEN 'Medium' ELSE 'Low' END AS volatility_tier
+FROM t
 """
 
 
+def influence_kalman_regimes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rounded(influence.kalman_regimes(influence.kalman(panel(spark, sf_dir), "composite")))
+
+
 def influence_spearman(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(influence.spearman(panel(spark, sf_dir), "price", "wealth"))
 
@@ -272,7 +277,7 @@ QUERIES = {
         influence_impute, influence_scaled, influence_gaps, influence_lags, influence_momentum, influence_ranks,
         influence_latest, influence_autocorrelation, influence_static, influence_deltas, influence_regimes,
         influence_spearman, influence_psi, influence_peers, influence_validation, influence_kalman,
-        influence_kalman_forecast, influence_kalman_summary, influence_coverage, influence_vif,
+        influence_kalman_forecast, influence_kalman_summary, influence_coverage, influence_vif, influence_kalman_regimes,
     )
 }
 ORACLES = {name: globals()[f"{name.upper()}_SQL"] for name in QUERIES if f"{name.upper()}_SQL" in globals()}

@@ -118,6 +118,6 @@ def test_policy_codes_and_event_labels(spark):
     import hashlib
 
     assert row[0].c == 10000 + int(hashlib.md5(b"Some Group").hexdigest()[:8], 16) % 900000
-    assert row[0].t == "O'Neil Al-Asad" and row[0].tone == "Neutral" and row[1].tone == "Negative"
+    assert row[0].t == "O'Neil Al-Asad" and row[0].tone == "neutral" and row[1].tone == "tense"
     votes = spark.createDataFrame([(1, 2000, "r", "Y", 1), (1, 2000, "r", "N", 2)], "country_code int, year int, resolution string, vote string, k int")
     assert policy.dedupe_votes(votes, "k").first().vote == "N"
