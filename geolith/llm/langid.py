@@ -23,8 +23,8 @@ MAX_LANGUAGES = 3
 PENALTY = 4.0
 #: Positions times languages that are scored at a time.
 SCORE_CELLS = 4_000_000
-#: Documents whose main language has a smaller share are rejected in the pipeline.
-MIN_SHARE = 0.5
+#: Documents whose main language has a smaller share are rejected in the pipeline: no language leads.
+MIN_SHARE = 0.34
 UNDETERMINED = "und"
 
 _LETTERS = bytes(b if b >= 128 or chr(b).isalpha() else 32 for b in range(256))
@@ -203,7 +203,7 @@ def identify(df: DataFrame, model: LanguageModel, text: str = "text") -> DataFra
 
 
 def keep_identified(docs: DataFrame) -> DataFrame:
-    """The documents of ``docs`` whose language is determined with a share of at least half."""
+    """The documents of ``docs`` in which some language is determined and leads."""
     judged = identify(set_aside(docs, "text"), train(docs.select("doc_id", "text", "lang")))
     kept = judged.where((F.col("lang_pred") != UNDETERMINED) & (F.col("lang_score") >= MIN_SHARE))
     return restored(kept, docs.columns, "text")

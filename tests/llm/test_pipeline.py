@@ -20,7 +20,7 @@ def test_run_equals_the_steps_in_plain_python(spark, sf_dir):
     rows = table(spark, sf_dir, "documents").toPandas()
     model = langid.train(table(spark, sf_dir, "documents"))
     judged = model.predict(rows["text"].tolist())
-    texts = {d: t for d, t, (lang, share, _, _) in zip(rows["doc_id"], rows["text"], judged, strict=True) if lang != "und" and share >= 0.5}
+    texts = {d: t for d, t, (lang, share, _, _) in zip(rows["doc_id"], rows["text"], judged, strict=True) if lang != "und" and share >= langid.MIN_SHARE}
     strip, lower = " \t\n\x0b\x0c\r", str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
     holders = {}
     for d, t in texts.items():
