@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ASCII_SPACE, ascii_lower, restored, set_aside, table
+from .common import ASCII_SPACE, ascii_lower, checkpointed, restored, set_aside, table
 
 MIN_KEY_CHARS = 20
 MIN_DOCUMENTS = 3
@@ -28,9 +28,9 @@ def dedup_lines(
     Null and empty text is one empty line; null stays null. Repeated rows of
     one doc_id count as one document and lose the same lines; rows without
     doc_id count nowhere and keep all. Distinct documents of a key are counted
-    after dealing by key and document, and the join back deals the lines so
-    that adaptive execution can split a very common one; nothing gathers the
-    documents of a line. Texts are shuffled once, by document. Columns of the
+    after dealing by key and document. The shared keys are checkpointed, so that
+    both sides of the join back are plain exchanges, and adaptive execution
+    splits a very common line; nothing gathers the documents of a line. Texts are shuffled once, by document. Columns of the
     added names are replaced.
     """
     row = df.withColumn("__text", F.coalesce(F.col(text), F.lit(""))).withColumn("__th", F.xxhash64("__text"))
@@ -44,7 +44,7 @@ def dedup_lines(
             "doc_id", "__th", "pos", F.xxhash64("key").alias("h1"), F.xxhash64(F.lit(1), "key").alias("h2")
         )
     )
-    shared = (
+    shared = checkpointed(
         keys.select("h1", "h2", "doc_id")
         .distinct()
         .groupBy("h1", "h2")
