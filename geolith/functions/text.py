@@ -245,3 +245,74 @@ def article_paragraphs(pages: DataFrame) -> DataFrame:
             yield pd.DataFrame(rows, columns=["page_id", "paragraph_no", "paragraph"])
 
     return pages.select("page_id", "html").mapInPandas(run, "page_id long, paragraph_no int, paragraph string")
+
+
+# Words of pages that show no article without scripts or consent.
+PLACEHOLDERS = (
+    "javascript is disabled", "javascript is required", "please enable javascript", "enable javascript", "enable cookies",
+    "checking your browser", "just a moment", "are you a human", "verify you are human", "access denied", "page not found",
+    "404 not found", "attention required",
+)
+TITLE_ORDER = ("og:title", "twitter:title", "h1", "title-meta", "title")
+BODY_PARAGRAPHS, BODY_CHARS, MIN_BODY_PARAGRAPH = 6, 1200, 60
+
+
+class _Titles(HTMLParser):
+    """The first text of each kind of title."""
+
+    def __init__(self):
+        super().__init__(convert_charrefs=True)
+        self.found: dict[str, str] = {}
+        self.open: str | None = None
+
+    def handle_starttag(self, tag, attrs):
+        named = dict(attrs)
+        if tag == "meta" and named.get("content"):
+            kind = named.get("property") or named.get("name") or ""
+            self.found.setdefault("title-meta" if kind == "title" else kind, named["content"].strip())
+        elif tag in ("h1", "title") and tag not in self.found:
+            self.open, self.found[tag] = tag, ""
+
+    def handle_endtag(self, tag):
+        if tag == self.open:
+            self.open = None
+
+    def handle_data(self, data):
+        if self.open:
+            self.found[self.open] += data
+
+
+def headline(html: str | None) -> str | None:
+    """A page's headline without the site's name: the first title in order that reads like one."""
+    parser = _Titles()
+    parser.feed(html or "")
+    titles = (" ".join(parser.found.get(k, "").split()) for k in TITLE_ORDER)
+    chosen = next((t for t in titles if len(t) > 20 and " " in t), None)
+    for mark in (" | ", " - ", " – ", " — ", " · "):
+        if chosen and mark in chosen:
+            chosen = max(chosen.split(mark), key=len).strip()
+    return chosen
+
+
+def article(html: str | None) -> tuple[str | None, str, bool]:
+    """Headline, the first six long paragraphs (1,200 characters at most), and if the page is a mere placeholder."""
+    title = headline(html)
+    body = " ".join([p for p in paragraphs(html) if len(p) > MIN_BODY_PARAGRAPH][:BODY_PARAGRAPHS])
+    body = body[:BODY_CHARS] + "…" if len(body) > BODY_CHARS else body
+    said = f"{title or ''} {body}".lower()
+    return title, body, len(body) < 200 and any(m in said for m in PLACEHOLDERS)
+
+
+def articles(pages: DataFrame) -> DataFrame:
+    """(page_id, domain, headline, body, placeholder) of raw pages."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = [(i, u, *article(h)) for i, u, h in zip(batch["page_id"], batch["url"], batch["html"], strict=True)]
+            yield pd.DataFrame(rows, columns=["page_id", "url", "headline", "body", "placeholder"])
+
+    found = pages.select("page_id", "url", "html").mapInPandas(
+        run, "page_id long, url string, headline string, body string, placeholder boolean"
+    )
+    domain = F.regexp_replace(F.coalesce(F.parse_url("url", F.lit("HOST")), F.lit("")), "^www[.]", "")
+    return found.select("page_id", domain.alias("domain"), "headline", "body", "placeholder")

@@ -107,3 +107,17 @@ def forecast(series: DataFrame, key: str, t: str, y: str, periods: int = 3, meth
     return series.select(key, t, y).groupBy(key).applyInPandas(
         run, f"`{key}` string, step int, forecast double, method string, mape double, confidence double, trend string"
     )
+
+
+def register_forecast_function(spark, name: str = "series_forecast") -> None:
+    """Makes ``SELECT * FROM t, LATERAL series_forecast(values, periods)`` known: step and forecast of an array of values."""
+    from pyspark.sql.functions import udtf
+
+    class SeriesForecast:
+        def eval(self, values: list, periods: int):
+            y = np.array([v for v in values or [] if v is not None], float)
+            ahead = METHODS[choose(y)](y, periods) if len(y) >= 2 else np.full(periods, y[-1] if len(y) else 0.0)
+            for step, value in enumerate(np.maximum(0.0, np.nan_to_num(ahead)), 1):
+                yield step, float(value)
+
+    spark.udtf.register(name, udtf(SeriesForecast, returnType="step int, forecast double"))

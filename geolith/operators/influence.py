@@ -483,3 +483,74 @@ def vif(panel: DataFrame, columns: list[str]) -> DataFrame:
     inverse = np.linalg.pinv(matrix).diagonal()
     found = [(c, float(v) if v < 1000 else float("inf")) for c, v in zip(columns, inverse, strict=True)]
     return panel.sparkSession.createDataFrame(found, "indicator string, vif double")
+
+
+def short_forecast(panel: DataFrame, value: str, residual_std: float, horizon: int = 3) -> DataFrame:
+    """Line through the last eight known values carried on, within 0 to 100, with an 80 % interval.
+
+    The half-width joins the model's residual deviation with the slope's standard
+    error, which grows with the step. From four values on.
+    """
+    down = F.row_number().over(Window.partitionBy("iso3").orderBy(F.desc("period")))
+    recent = panel.where(F.col(value).isNotNull()).withColumn("down", down).where("down <= 8").withColumn("x", -F.col("down"))
+    fit = (
+        recent.groupBy("iso3")
+        .agg(
+            F.regr_slope(value, "x").alias("slope"),
+            F.regr_intercept(value, "x").alias("level"),
+            F.sqrt(
+                F.greatest(F.lit(0.0), F.regr_syy(value, "x") * (1 - F.regr_r2(value, "x")))
+                / (F.count("*") - 2)
+                / F.regr_sxx(value, "x")
+            ).alias("se"),
+            F.count("*").alias("n"),
+        )
+        .where("n >= 4")
+        .withColumn("horizon", F.explode(F.sequence(F.lit(1), F.lit(horizon))))
+    )
+    mean = F.col("level") + F.col("slope") * (F.col("horizon") - 1)
+    half = 1.28 * F.sqrt(residual_std**2 + (F.col("se") * F.col("horizon")) ** 2)
+
+    def bounded(c: Column) -> Column:
+        return F.round(F.greatest(F.lit(0.0), F.least(F.lit(100.0), c)), 2)
+
+    return fit.select(
+        "iso3", "horizon", bounded(mean).alias("forecast_mean"), bounded(mean - half).alias("forecast_ci_lo"),
+        bounded(mean + half).alias("forecast_ci_hi"),
+    )
+
+
+def partial_spearman(panel: DataFrame, a: str, b: str, control: str) -> DataFrame:
+    """Rank correlation of what a line on the control leaves of two indicators, per period."""
+    known = panel.where(F.col(a).isNotNull() & F.col(b).isNotNull() & F.col(control).isNotNull())
+    over = Window.partitionBy("period")
+
+    def rest(c: str) -> Column:
+        slope = F.regr_slope(c, control).over(over)
+        return F.round(F.col(c) - F.regr_intercept(c, control).over(over) - slope * F.col(control), 9)
+
+    left = known.select("period", rest(a).alias("left_a"), rest(b).alias("left_b"))
+    return spearman(left, "left_a", "left_b").withColumnRenamed("spearman", "partial")
+
+
+def lagged_pairs(panel: DataFrame, value: str, gap: int = 2) -> DataFrame:
+    """Each value with the one exactly ``gap`` periods later, and the change between them."""
+    w = _series()
+    ahead = panel.withColumns({"later": F.lead(value, gap).over(w), "at": F.lead("period", gap).over(w)})
+    exact = ahead.where((F.col("at") - F.col("period") == gap) & F.col("later").isNotNull() & F.col(value).isNotNull())
+    return exact.select("iso3", "period", value, "later", (F.col("later") - F.col(value)).alias("change"))
+
+
+def preferred_score(panel: DataFrame, filtered: DataFrame, value: str) -> DataFrame:
+    """The smoothed score where there is one other than 0, else the panel's."""
+    smooth = filtered.select("iso3", "period", "kalman_score")
+    chosen = F.coalesce(F.nullif(F.col("kalman_score"), F.lit(0.0)), F.col(value))
+    return panel.join(smooth, ["iso3", "period"], "left").select("iso3", "period", chosen.alias("score"))
+
+
+def benchmark_agreement(scores: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """Rank correlation of scores (iso3, score) with an outside ranking (iso3, rank; 1 is best), over common countries."""
+    both = scores.join(benchmark, "iso3").select(
+        F.lit(0).alias("period"), F.col("score"), (-F.col("rank")).cast("double").alias("outside")
+    )
+    return spearman(both, "score", "outside").select("spearman", "n")

@@ -316,3 +316,14 @@ def discovered_blocs(vectors: DataFrame, min_similarity: float = 0.5) -> DataFra
     size = found.groupBy("bloc_id").agg(F.count("*").alias("members"), F.min("country").alias("first"))
     order = F.row_number().over(Window.orderBy(F.desc("members"), "first")).alias("cluster")
     return found.join(F.broadcast(size.select("bloc_id", "members", order)), "bloc_id").select("country", "cluster", "members")
+
+
+def year_pivot(votes: DataFrame, years: list[int]) -> DataFrame:
+    """Yes votes per country, a column for each of the given years."""
+    yes = votes.where("vote = 'Y'").groupBy("country_name").pivot("year", years).agg(F.count("vote"))
+    return yes.select("country_name", *(F.coalesce(F.col(f"`{y}`"), F.lit(0).cast("long")).alias(f"y{y}") for y in years))
+
+
+def graph_json(edges: DataFrame) -> DataFrame:
+    """One JSON document per edge, nulls included, ready for a JSON-lines sink."""
+    return edges.select(F.to_json(F.struct(*edges.columns), {"ignoreNullFields": "false"}).alias("value"))

@@ -271,6 +271,56 @@ def influence_vif(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(influence.vif(panel(spark, sf_dir), INDICATORS), 4)
 
 
+def influence_short_forecast(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return influence.short_forecast(panel(spark, sf_dir), "composite", 1.5)
+
+
+INFLUENCE_SHORT_FORECAST_SQL = f"""
+WITH {PANEL_SQL}, r AS (
+    SELECT iso3, composite AS y, -row_number() OVER (PARTITION BY iso3 ORDER BY period DESC) AS x FROM panel WHERE composite IS NOT NULL
+), f AS (
+    SELECT iso3, regr_slope(y, x) AS sl, regr_intercept(y, x) AS ic,
+           sqrt(greatest(0, regr_syy(y, x) * (1 - regr_r2(y, x))) / (count(*) - 2) / regr_sxx(y, x)) AS se
+    FROM r WHERE x >= -8 GROUP BY 1 HAVING count(*) >= 4
+), g AS (SELECT iso3, h::INTEGER AS horizon, ic + sl * (h - 1) AS m, 1.28 * sqrt(2.25 + (se * h) * (se * h)) AS w FROM f, range(1, 4) t(h))
+SELECT iso3, horizon, round(greatest(0, least(100, m)), 2) AS forecast_mean,
+       round(greatest(0, least(100, m - w)), 2) AS forecast_ci_lo, round(greatest(0, least(100, m + w)), 2) AS forecast_ci_hi
+FROM g
+"""
+
+
+def influence_lagged_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rounded(influence.lagged_pairs(panel(spark, sf_dir).where("price IS NOT NULL"), "price"))
+
+
+INFLUENCE_LAGGED_PAIRS_SQL = f"""
+WITH {PANEL_SQL}, w AS (
+    SELECT iso3, period, price, lead(price, 2) OVER s AS later, lead(period, 2) OVER s AS nxt FROM panel WHERE price IS NOT NULL
+    WINDOW s AS (PARTITION BY iso3 ORDER BY period)
+)
+SELECT iso3, period, round(price, 6) AS price, round(later, 6) AS later, round(later - price, 6) AS change FROM w WHERE nxt - period = 2
+"""
+
+
+def influence_partial_correlation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rounded(influence.partial_spearman(panel(spark, sf_dir), "composite", "volume", "price"))
+
+
+INFLUENCE_PARTIAL_CORRELATION_SQL = f"""
+WITH {PANEL_SQL}, k AS (SELECT * FROM panel WHERE composite IS NOT NULL AND volume IS NOT NULL AND price IS NOT NULL),
+l AS (
+    SELECT period, regr_slope(composite, price) AS s1, regr_intercept(composite, price) AS i1,
+           regr_slope(volume, price) AS s2, regr_intercept(volume, price) AS i2 FROM k GROUP BY 1
+), e AS (
+    SELECT period, round(composite - i1 - s1 * price, 9) AS a, round(volume - i2 - s2 * price, 9) AS b FROM k JOIN l USING (period)
+), r AS (
+    SELECT period, rank() OVER (PARTITION BY period ORDER BY a) + (count(*) OVER (PARTITION BY period, a) - 1) / 2 AS ra,
+           rank() OVER (PARTITION BY period ORDER BY b) + (count(*) OVER (PARTITION BY period, b) - 1) / 2 AS rb FROM e
+)
+SELECT period, round(corr(ra, rb), 6) AS partial, count(*) AS n FROM r GROUP BY 1
+"""
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -278,6 +328,7 @@ QUERIES = {
         influence_latest, influence_autocorrelation, influence_static, influence_deltas, influence_regimes,
         influence_spearman, influence_psi, influence_peers, influence_validation, influence_kalman,
         influence_kalman_forecast, influence_kalman_summary, influence_coverage, influence_vif, influence_kalman_regimes,
+        influence_short_forecast, influence_lagged_pairs, influence_partial_correlation,
     )
 }
 ORACLES = {name: globals()[f"{name.upper()}_SQL"] for name in QUERIES if f"{name.upper()}_SQL" in globals()}

@@ -302,6 +302,19 @@ SELECT country, h::INTEGER AS h, round(greatest(0, ic + sl * (lt + h)), 6) AS fo
 FROM f, range(1, 6) r(h)
 """
 
+PIVOT_YEARS = list(range(1995, 2002))
+
+
+def policy_year_pivot(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return policy.year_pivot(votes(spark, sf_dir), PIVOT_YEARS)
+
+
+POLICY_YEAR_PIVOT_SQL = (
+    f"WITH {VOTES_SQL} SELECT country_name, "
+    + ", ".join(f"count(*) FILTER (WHERE year = {y}) AS y{y}" for y in PIVOT_YEARS)
+    + " FROM votes WHERE vote = 'Y' GROUP BY 1"
+)
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -309,7 +322,7 @@ QUERIES = {
         policy_similarity, policy_anchor_blocs, policy_topics, policy_topic_positions, policy_active_years,
         policy_conflict_edges, policy_timeline, policy_deaths_by_day, policy_new_conflicts, policy_issue_summary,
         policy_stance_matrix, policy_co_activity, policy_graph_delta, policy_profile_partners,
-        policy_conflict_forecast,
+        policy_conflict_forecast, policy_year_pivot,
     )
 }
 ORACLES = {name: globals()[f"{name.upper()}_SQL"] for name in QUERIES}

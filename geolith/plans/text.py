@@ -74,11 +74,16 @@ def text_url_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def text_articles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship_package(spark)
+    return text.articles(table(spark, sf_dir, "pages"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         text_paragraphs, text_sentence_counts, text_token_counts, text_tf_idf, text_verdicts, text_snippets,
-        text_url_words,
+        text_url_words, text_articles,
     )
 }
 ORACLES = {name: globals()[f"{name.upper()}_SQL"] for name in QUERIES if f"{name.upper()}_SQL" in globals()}

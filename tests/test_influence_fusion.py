@@ -121,3 +121,20 @@ def test_policy_codes_and_event_labels(spark):
     assert row[0].t == "O'Neil Al-Asad" and row[0].tone == "neutral" and row[1].tone == "tense"
     votes = spark.createDataFrame([(1, 2000, "r", "Y", 1), (1, 2000, "r", "N", 2)], "country_code int, year int, resolution string, vote string, k int")
     assert policy.dedupe_votes(votes, "k").first().vote == "N"
+
+
+def test_forecast_as_a_table_function(spark):
+    forecast.register_forecast_function(spark)
+    rows = spark.sql("SELECT k, step, forecast FROM VALUES ('a', array(1D, 2D, 3D)), ('b', array(4D)) AS t(k, v), LATERAL series_forecast(v, 2) ORDER BY k, step").collect()
+    assert [(r.k, r.step, round(r.forecast, 6)) for r in rows] == [("a", 1, 4.0), ("a", 2, 5.0), ("b", 1, 4.0), ("b", 2, 4.0)]
+
+
+def test_scores_and_benchmarks(spark):
+    p = panel(spark).where("iso3 <> 'D'")
+    chosen = influence.preferred_score(p, influence.kalman(p, "composite"), "composite")
+    assert chosen.count() == p.count() and chosen.where("score IS NULL").count() == 0
+    scores = spark.createDataFrame([("A", 3.0), ("B", 2.0), ("C", 1.0), ("X", 9.0)], "iso3 string, score double")
+    outside = spark.createDataFrame([("A", 1), ("B", 2), ("C", 3)], "iso3 string, rank int")
+    assert tuple(influence.benchmark_agreement(scores, outside).first()) == (1.0, 3)
+    edge = spark.createDataFrame([("A", None)], "a string, b string")
+    assert policy.graph_json(edge).first().value == '{"a":"A","b":null}'

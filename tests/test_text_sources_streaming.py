@@ -142,3 +142,33 @@ def test_filter_state_lives_on_between_runs(spark, tmp_path):
     spark.createDataFrame([("A", 3, None), ("A", 2, 9.0)], schema).write.mode("append").parquet(folder)
     both = run("both").orderBy("period").collect()
     assert len(both) >= 3 and both[-1].period == 3
+
+
+def test_headlines_and_placeholders():
+    page = '<head><title>Short</title><meta property="og:title" content="A storm hits the northern coast | Example News"></head><h1>Other heading of the page here</h1>'
+    assert text.headline(page) == "A storm hits the northern coast"
+    assert text.headline("<h1>Tiny</h1><title>The title of this page is long enough</title>") == "The title of this page is long enough"
+    assert text.article("<p>Please enable JavaScript to read on, as this site needs it for all pages.</p>")[2]
+    long = "A sentence of an article that goes on for a while and says something of note. " * 4
+    title, body, placeholder = text.article(page + f"<article>{''.join(f'<p>{i} {long}</p>' for i in range(9))}</article>")
+    assert len(body) == 1201 and body.endswith("…") and not placeholder
+
+
+def test_progress_is_told(spark, tmp_path):
+    import time
+
+    from geolith.streaming.progress import Progress
+
+    told = []
+    listener = Progress(told.append)
+    spark.streams.addListener(listener)
+    spark.range(5).selectExpr("id AS event_id", "current_timestamp() AS ts").write.parquet(str(tmp_path / "in"))
+    source = spark.read.parquet(str(tmp_path / "in")).schema
+    stream.run_available(stream.deduplicated(stream.read_events(spark, str(tmp_path / "in"), source)), "told", str(tmp_path / "c"))
+    for _ in range(50):
+        if any(x["stage"] == "done" for x in told):
+            break
+        time.sleep(0.2)
+    spark.streams.removeListener(listener)
+    assert {"started", "batch", "done"} <= {x["stage"] for x in told}
+    assert sum(x.get("rows", 0) for x in told) == 5
