@@ -121,7 +121,7 @@ def token_pieces(df: DataFrame, path: str, capacity: int = SEQUENCE_TOKENS) -> D
 
     Documents longer than ``capacity`` are cut so that all pieces but the first
     have that length. Null text counts as empty, which leaves one piece of one
-    token.
+    token. The pieces are checkpointed, as dealing them by range reads them twice.
     """
     bounded_batches(df.sparkSession)
 
@@ -149,8 +149,10 @@ def token_pieces(df: DataFrame, path: str, capacity: int = SEQUENCE_TOKENS) -> D
                 names=["doc_id", "piece", "start", "length", "ids_crc32"],
             )
 
-    return df.select(F.col("doc_id").cast("long"), "text").mapInArrow(
-        run, "doc_id long, piece int, start long, length long, ids_crc32 long"
+    return checkpointed(
+        df.select(F.col("doc_id").cast("long"), "text").mapInArrow(
+            run, "doc_id long, piece int, start long, length long, ids_crc32 long"
+        )
     )
 
 
