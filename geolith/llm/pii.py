@@ -208,5 +208,62 @@ def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(_joined(F.filter(spans, lambda s: s["base"])), 256).alias("base_sha256"),
         _joined(spans).alias("spans"),
         *(count(k) for k in ("iban", "national_id")),
-        F.round(F.coalesce(F.array_max(F.transform(spans, lambda s: s["score"])), F.lit(0.0)), 4).alias("max_score"),
     )
+
+
+BOUNDARY = r"\b"
+
+
+def _matches_sql(kind: str, pattern: str, text: str = "t") -> str:
+    """Matches of a pattern without look-around: value, start and end, from the pieces between them."""
+    return f"""{kind}_found AS (
+    SELECT doc_id, unnest(range(1, len(ms) + 1)) AS i, ms, gs, t FROM (
+        SELECT doc_id, t, regexp_extract_all({text}, '{pattern}') AS ms, string_split_regex({text}, '{pattern}') AS gs FROM docs)
+), {kind}_all AS (
+    SELECT doc_id, t, ms[i] AS v,
+           (coalesce(list_sum(list_transform(gs[1:i], lambda x: length(x))), 0)
+            + coalesce(list_sum(list_transform(ms[1:i - 1], lambda x: length(x))), 0))::BIGINT AS s,
+           length(ms[i]) AS n FROM {kind}_found
+)"""
+
+
+# Added kinds without look-around: an account number stands between word boundaries once "_" is no word
+# character; a national number is a whole run of digits and hyphens.
+OP1_SQL = f"""
+WITH docs AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+{_matches_sql("email", "[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:[.][A-Za-z0-9-]+)+")},
+{_matches_sql("ip", "[0-9]+[.][0-9]+[.][0-9]+[.][0-9]+")},
+{_matches_sql("card", "[0-9](?:[ -]?[0-9])+")},
+{_matches_sql("phone", "[+][0-9][ ().0-9-]+[0-9]")},
+{_matches_sql("runs", "[0-9-]+")},
+{_matches_sql("iban", BOUNDARY + "[A-Z][A-Z][0-9][0-9](?: ?[A-Z0-9]){11,30}" + BOUNDARY, "replace(t, '_', '-')")},
+national AS (
+    SELECT *, coalesce(lag(s + n) OVER w, 0) AS before, coalesce(lead(s) OVER w, length(t)) AS after
+    FROM runs_all WHERE regexp_full_match(v, '[0-9][0-9][0-9]-[0-9][0-9]-[0-9][0-9][0-9][0-9]')
+    WINDOW w AS (PARTITION BY doc_id ORDER BY s)
+), spans AS (
+    SELECT 1 AS o, 'email' AS kind, doc_id, s, n FROM email_all
+    UNION ALL SELECT 2, 'ip', doc_id, s, n FROM ip_all
+    WHERE len(list_filter(string_split(v, '.'), lambda x: length(ltrim(x, '0')) > 3 OR coalesce(try_cast(ltrim(x, '0') AS INT), 0) > 255)) = 0
+    UNION ALL SELECT 3, 'card', doc_id, s, n FROM (SELECT *, regexp_replace(v, '[^0-9]', '', 'g') AS d FROM card_all)
+    WHERE length(d) BETWEEN 13 AND 19 AND list_sum(list_transform(range(1, length(d) + 1), lambda j:
+        CASE WHEN (length(d) - j) % 2 = 0 THEN d[j]::INT WHEN d[j]::INT > 4 THEN 2 * d[j]::INT - 9 ELSE 2 * d[j]::INT END)) % 10 = 0
+    UNION ALL SELECT 4, 'phone', doc_id, s, n FROM phone_all
+    WHERE length(regexp_replace(v, '[^0-9]', '', 'g')) BETWEEN 9 AND 15
+    UNION ALL SELECT 5, 'iban', doc_id, s, n FROM (SELECT *, replace(v, ' ', '') AS d FROM iban_all)
+    WHERE length(d) BETWEEN 15 AND 34 AND list_reduce(list_transform(string_split(array_to_string(list_transform(
+        string_split(d[5:] || d[:4], ''), lambda c: CASE WHEN c >= 'A' THEN (ascii(c) - 55)::VARCHAR ELSE c END), ''), ''),
+        lambda x: x::INT), lambda a, x: (a * 10 + x) % 97) = 1
+    UNION ALL SELECT 6, 'national_id', doc_id, s, n FROM national
+    WHERE NOT regexp_matches(v, '^(000|666|9)|-00-|-0000$') AND regexp_matches(
+        substr(t, (greatest(before, s - 40) + 1)::BIGINT, (s - greatest(before, s - 40))::BIGINT) || ' '
+        || substr(t, (s + n + 1)::BIGINT, (least(after, s + n + 40) - s - n)::BIGINT),
+        '(?i){BOUNDARY}ssn{BOUNDARY}|social security|national id|tax id')
+), texts AS (SELECT *, kind || ':' || s || ':' || (s + n) AS x FROM spans)
+SELECT d.doc_id, count(*) FILTER (WHERE kind = 'email') AS n_email, count(*) FILTER (WHERE kind = 'ip') AS n_ip,
+       count(*) FILTER (WHERE kind = 'card') AS n_card, count(*) FILTER (WHERE kind = 'phone') AS n_phone,
+       sha256(coalesce(string_agg(x, ',' ORDER BY o, s) FILTER (WHERE o <= 4), '')) AS base_sha256,
+       coalesce(string_agg(x, ',' ORDER BY o, s), '') AS spans,
+       count(*) FILTER (WHERE kind = 'iban') AS n_iban, count(*) FILTER (WHERE kind = 'national_id') AS n_national_id
+FROM docs d LEFT JOIN texts USING (doc_id) GROUP BY 1
+"""

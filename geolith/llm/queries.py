@@ -7,7 +7,7 @@ from .chat import OP6_SQL, op6_chat
 from .langid import op2_langid
 from .line_dedup import OP8_SQL, op8_line_dedup
 from .packing import op7_packing
-from .pii import op1_pii
+from .pii import OP1_SQL, op1_pii
 from .secrets import op3_secrets
 from .simhash import op5_simhash
 from .spotsigs import op10_spotsigs
@@ -26,4 +26,4 @@ QUERIES = {
     "op10_spotsigs": op10_spotsigs,
 }
 
-ORACLES: dict[str, str] = {"op6_chat": OP6_SQL, "op8_line_dedup": OP8_SQL, "op9_topk": OP9_SQL}
+ORACLES: dict[str, str] = {"op1_pii": OP1_SQL, "op6_chat": OP6_SQL, "op8_line_dedup": OP8_SQL, "op9_topk": OP9_SQL}

@@ -2,9 +2,10 @@ import hashlib
 import random
 import re
 
+import duckdb
 import pytest
 
-from geolith.llm.pii import find_pii, op1_pii, redact
+from geolith.llm.pii import OP1_SQL, find_pii, op1_pii, redact
 
 from .helpers import as_table, documents
 
@@ -79,3 +80,20 @@ def test_repeated_rows_and_empty_table(spark):
 
 def test_redaction(spark):
     assert redact(find_pii(documents(spark, ["to a@b.cc!"]))).first().text == "to <email>!"
+
+
+def test_query_equals_sql(spark, tmp_path):
+    rng = random.Random(5)
+    parts = [
+        "a@b.cc", "_", " ", "10.0.0.1", "999.1.1.1", "4111 1111 1111 1111", "+49 (30) 1234567", "GB82 WEST 1234 5698 7654 32",
+        "GB82WEST12345698765433", "123-45-6789", "ssn", "social security", "666-12-3456", "-", "é", "tax id: ", "x" * 45, "7",
+    ]
+    texts = [None, "", *("".join(rng.choice(parts) + rng.choice(["", " ", " "]) for _ in range(rng.randrange(14))) for _ in range(300))]
+    folder = as_table(documents(spark, texts), tmp_path)
+    db = duckdb.connect()
+    db.sql(f"CREATE VIEW documents AS SELECT * FROM '{folder}/documents.parquet/*.parquet'")
+    found = op1_pii(spark, folder)
+    columns = sorted(found.columns)
+    expected = db.sql(f"SELECT {', '.join(columns)} FROM ({OP1_SQL})").fetchall()
+    assert sorted(map(tuple, found.select(*columns).collect())) == sorted(expected)
+    assert sum(r[columns.index("n_iban")] for r in expected) > 10 and sum(r[columns.index("n_national_id")] for r in expected) > 10
