@@ -14,7 +14,7 @@ PIVOTS = 16
 #: Rows, by hash of their id, that pivots are chosen from and first thresholds are set by.
 SAMPLE_ROWS = 1024
 QUERY_BLOCK, CANDIDATE_BLOCK = 2048, 16384
-#: Candidates evaluated between two looks at the bound.
+#: Candidates of the first group that is evaluated; each later group has twice as many.
 STEP = 512
 
 
@@ -35,9 +35,10 @@ def _matrix(rows: pd.Series, width: int) -> np.ndarray:
 
 
 def _exact(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Both as floats where all products stay exact in them, else as longs."""
+    """Both in the smallest floats in which all sums of products stay exact, else as longs."""
     top = float(np.abs(a).max(initial=0)) * float(np.abs(b).max(initial=0)) * max(1, a.shape[1])
-    return (a.astype(np.float64), b.astype(np.float64)) if top < 2**53 else (a, b)
+    kind = np.float32 if top < 2**24 else np.float64 if top < 2**53 else np.int64
+    return a.astype(kind), b.astype(kind)
 
 
 def _choose_pivots(sample: np.ndarray) -> np.ndarray:
@@ -56,24 +57,39 @@ def _distances(x: np.ndarray, pivots: np.ndarray) -> np.ndarray:
     return np.stack([np.linalg.norm(x - p, axis=1) for p in pivots], axis=1) if len(pivots) else np.zeros((len(x), 0))
 
 
-def _best(scores: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    order = np.lexsort((ids, -scores))[:k]
-    return scores[order], ids[order]
-
-
 def _search(q_id: int, q: np.ndarray, bounds: np.ndarray, x: np.ndarray, ids: np.ndarray, floor: float, k: int):
     """Best k of a block for one query: candidates in bound order, until no bound reaches the k-th score.
 
-    ``floor`` is a score that k candidates somewhere are known to reach.
+    ``floor`` is a score that k candidates somewhere are known to reach. The
+    order is one of groups, each twice the size of the one before: no bound in a group is
+    above those of earlier groups, so the search stops at the first group without a
+    bound that reaches the k-th score.
     """
-    open_to = np.flatnonzero((bounds >= floor) & (ids != q_id))
-    open_to = open_to[np.argsort(-bounds[open_to], kind="stable")]
-    scores, found = np.empty(0, x.dtype), np.empty(0, np.int64)
-    for begin in range(0, len(open_to), STEP):
-        some = open_to[begin : begin + STEP]
-        if len(scores) == k and bounds[some[0]] < scores[-1]:
+    scores, found = np.empty(0, np.int64), np.empty(0, np.int64)
+
+    def evaluate(some: np.ndarray) -> None:
+        nonlocal scores, found, floor
+        fresh = x[some] @ q
+        some, fresh = some[fresh >= floor], fresh[fresh >= floor]
+        scores, found = np.append(scores, fresh.astype(np.int64)), np.append(found, ids[some])
+        order = np.lexsort((found, -scores))[:k]
+        scores, found = scores[order], found[order]
+        if len(scores) == k:
+            floor = max(floor, scores[-1])
+
+    left = np.flatnonzero(bounds >= floor)
+    left = left[ids[left] != q_id]
+    cuts, step = [], STEP
+    while (cuts[-1] if cuts else 0) + step < len(left):
+        cuts.append((cuts[-1] if cuts else 0) + step)
+        step *= 2
+    if cuts:
+        left = left[np.argpartition(-bounds[left], cuts)]
+    for some in np.split(left, cuts):
+        some = some[bounds[some] >= floor]
+        if not len(some):
             break
-        scores, found = _best(np.concatenate([scores, x[some] @ q]), np.concatenate([found, ids[some]]), k)
+        evaluate(some)
     return scores, found
 
 
@@ -124,20 +140,22 @@ def top_k(df: DataFrame, queries: DataFrame, k: int = TOP_K) -> DataFrame:
             seen_ids, seen, _ = shared.value
             q, x = _matrix(left["x"], width), _matrix(right["x"], width)
             ids, q_ids = right["vec_id"].to_numpy(np.int64), left["vec_id"].to_numpy(np.int64)
-            near_q, near_x = np.stack(left["pivot"].to_list()), np.stack(right["pivot"].to_list()).T.copy()
+            near_q = np.stack(left["pivot"].to_list()).astype(np.float32)
+            near_x = np.stack(right["pivot"].to_list()).T.astype(np.float32)
+            apart = np.empty_like(near_x)
+            slack = 1e-6 + 1e-6 * max(near_q.max(initial=0), near_x.max(initial=0))  # of single precision
             q2, x2 = (np.square(a.astype(np.float64)).sum(axis=1) for a in (q, x))
             exact_q, exact_x = _exact(q, x)
             first_q, first_x = _exact(q, seen)
             for i, q_id in enumerate(q_ids):
                 known = np.sort((first_x @ first_q[i])[seen_ids != q_id])
                 floor = float(known[-k]) if len(known) >= k else -np.inf
-                gap = np.zeros(len(ids))
-                for row, mine in zip(near_x, near_q[i], strict=True):
-                    np.maximum(gap, np.abs(row - mine), out=gap)
-                room = 1e-6 + 1e-9 * (q2[i] + x2)  # for rounding
-                bounds = (q2[i] + x2 - gap * gap) / 2 + room
+                np.subtract(near_x, near_q[i][:, None], out=apart)
+                gap = np.abs(apart, out=apart).max(axis=0, initial=0).astype(np.float64)
+                gap = np.maximum(0, gap - slack)
+                bounds = (q2[i] + x2 - gap * gap) / 2 + 1e-6 + 1e-9 * (q2[i] + x2)  # room for rounding
                 scores, found = _search(q_id, exact_q[i], bounds, exact_x, ids, floor, k)
-                out.append(pd.DataFrame({"query_id": q_id, "vec_id": found, "score": scores.astype(np.int64)}))
+                out.append(pd.DataFrame({"query_id": q_id, "vec_id": found, "score": scores}))
         return pd.concat(out) if out else pd.DataFrame({"query_id": [], "vec_id": [], "score": []}, dtype="int64")
 
     found = (
