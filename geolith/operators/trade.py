@@ -326,40 +326,48 @@ def shock(
     In each step a country's impact is the share of its imports that its
     suppliers' reductions take away, or what it was if larger; its own exports
     shrink by that impact times ``propagation``. Impacts come before the
-    step's new reductions, so the last ones never feed back. All steps stand in
-    one plan; the origin keeps its severity. Countries without imports stay at 0.
+    step's new reductions, so the last ones never feed back. The origin keeps
+    its severity; countries without imports stay at 0. The state between two
+    steps is one row, a map over the countries (a few hundred), so each step
+    reads it once and the plan grows by one aggregation a step.
     """
 
     def clamp(c: Column) -> Column:
         return F.least(F.lit(1.0), F.greatest(F.lit(0.0), c))
 
-    nodes = country_features(edge).select("country", "imports")
-    origin = F.col("country") == country
-    state = nodes.select(
-        "country",
-        "imports",
-        F.when(origin, F.lit(severity)).otherwise(0.0).alias("impact"),
-        F.when(origin, F.lit(severity)).otherwise(0.0).alias("reduction"),
+    def of(name: str, field: str) -> Column:
+        return F.coalesce(F.try_element_at("state", F.col(name))[field], F.lit(0.0))
+
+    origin = F.create_map(
+        F.lit(country), F.struct(F.lit(float(severity)).alias("impact"), F.lit(float(severity)).alias("reduction"))
     )
+    state = edge.sparkSession.range(1).select(origin.alias("state"))
     for _ in range(steps):
-        lost = (
-            edge.join(state.select(F.col("country").alias("exporter"), "reduction"), "exporter")
-            .groupBy(F.col("importer").alias("country"))
-            .agg((F.sum(F.col("weight") * F.col("reduction")) / F.sum("weight")).alias("lost"))
-        )
-        hit = clamp(F.coalesce("lost", F.lit(0.0)))
-        state = (
-            state.join(lost, "country", "left")
-            .withColumn("impact", F.when(origin, F.col("impact")).otherwise(F.greatest("impact", hit)))
-            .withColumn(
-                "reduction",
-                F.when(origin, F.col("reduction")).otherwise(
-                    F.greatest("reduction", clamp(F.col("impact") * propagation))
-                ),
+        hit = (
+            edge.where(F.col("importer") != country)
+            .crossJoin(F.broadcast(state))
+            .select(
+                "importer",
+                "weight",
+                (F.col("weight") * of("exporter", "reduction")).alias("lost"),
+                of("importer", "impact").alias("impact"),
+                of("importer", "reduction").alias("reduction"),
+            )
+            .groupBy("importer")
+            .agg(
+                F.greatest(F.max("impact"), clamp(F.sum("lost") / F.sum("weight"))).alias("impact"),
+                F.max("reduction").alias("reduction"),
             )
-            .select("country", "imports", "impact", "reduction")
         )
-    return state
+        reduced = F.greatest("reduction", clamp(F.col("impact") * propagation)).alias("reduction")
+        entry = F.struct("importer", F.struct("impact", reduced))
+        state = hit.agg(F.map_concat(origin, F.map_from_entries(F.collect_list(entry))).alias("state"))
+    return (
+        country_features(edge)
+        .select("country", "imports")
+        .crossJoin(F.broadcast(state))
+        .select("country", "imports", of("country", "impact").alias("impact"), of("country", "reduction").alias("reduction"))
+    )
 
 
 def top_edges(edge: DataFrame, n: int) -> DataFrame:
