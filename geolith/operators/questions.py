@@ -108,3 +108,34 @@ def aligned_year(latest: DataFrame) -> DataFrame:
     """The year that all agents cover: the least of their latest ones. ``latest`` has (agent, year)."""
     per = latest.groupBy("agent").agg(F.max("year").alias("latest"))
     return per.agg(F.min("latest").alias("aligned_year"), F.max("latest").alias("newest_year"), F.count("*").alias("agents"))
+
+
+def correct_spelling(questions: DataFrame, vocabulary: DataFrame, key: str, text: str) -> DataFrame:
+    """(key, text, corrected): unknown words of four letters or more put right by the nearest known word.
+
+    One edit (a swap of neighbours counts as one) is allowed, two from eight
+    letters on; of equally near words the first by name counts. Distances are
+    computed once for each distinct unknown word, against the words of about its
+    length; ``vocabulary`` (word) has a few thousand rows and is broadcast.
+    """
+    from geolith.functions.text import osa
+
+    known = vocabulary.select(F.lower("word").alias("w")).distinct()
+    pieces = questions.select(
+        key, F.posexplode(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(r"(\p{L}+|[^\p{L}]+)"), F.lit(0))).alias("i", "piece")
+    ).withColumn("w", F.lower("piece"))
+    unknown = pieces.where(F.rlike("w", F.lit(r"^\p{L}{4,}$"))).select("w").distinct().join(F.broadcast(known), "w", "left_anti")
+    near = unknown.select("w", F.explode(F.sequence(F.length("w") - 2, F.length("w") + 2)).alias("size")).join(
+        F.broadcast(known.select(F.col("w").alias("right"), F.length("w").alias("size"))), "size"
+    )
+    allowed = F.when(F.length("w") >= 8, 2).otherwise(1)
+    best = (
+        near.withColumn("d", osa("w", "right"))
+        .where(F.col("d") <= allowed)
+        .groupBy("w")
+        .agg(F.min_by("right", F.struct("d", "right")).alias("right"))
+    )
+    fixed = pieces.join(best, "w", "left").withColumn("piece", F.coalesce("right", "piece"))
+    ordered = F.sort_array(F.collect_list(F.struct("i", "piece")))
+    whole = fixed.groupBy(key).agg(F.array_join(F.transform(ordered, lambda p: p["piece"]), "").alias("corrected"))
+    return questions.select(key, text).join(whole, key, "left").withColumn("corrected", F.coalesce("corrected", F.lit("")))

@@ -138,3 +138,10 @@ def test_scores_and_benchmarks(spark):
     assert tuple(influence.benchmark_agreement(scores, outside).first()) == (1.0, 3)
     edge = spark.createDataFrame([("A", None)], "a string, b string")
     assert policy.graph_json(edge).first().value == '{"a":"A","b":null}'
+
+
+def test_spelling(spark):
+    words = spark.createDataFrame([(w,) for w in ("India", "China", "agriculture", "exports", "from")], "word string")
+    asked = spark.createDataFrame([(1, "Exprots from Indai, agricluture?"), (2, "chna or qqqq"), (3, None)], "id int, q string")
+    found = {r.id: r.corrected for r in questions.correct_spelling(asked, words, "id", "q").collect()}
+    assert found == {1: "exports from india, agriculture?", 2: "china or qqqq", 3: ""}
