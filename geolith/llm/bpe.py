@@ -12,6 +12,7 @@ from __future__ import annotations
 import functools
 import json
 import re
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,6 +29,8 @@ PIECE_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\
 #: Entries of each of a cache's two generations, in each Python worker.
 CACHE_ENTRIES = 150_000
 NEVER = 1 << 60
+#: Stands before a piece's first token.
+START = 0xFFFFF
 
 
 def byte_characters() -> dict[str, int]:
@@ -80,22 +83,23 @@ class ByteBpe:
             left, right = vocab[a], vocab[b]
             self.rank[left << 20 | right] = rank
             self.parts[vocab[a + b]] = (left, right, rank)
-        self.automaton = ahocorasick.Automaton()
-        for i, content in self.token_bytes.items():
-            if i not in self.special.values():
-                self.automaton.add_word(content.decode("latin-1"), (i, len(content)))
-        self.automaton.make_automaton()
+        self.sizes = {i: len(content) for i, content in self.token_bytes.items()}
         self.pieces = regex.compile(PIECE_PATTERN)
         self.specials = re.compile("(" + "|".join(map(re.escape, self.special)) + ")") if self.special else None
         self.spines: dict[int, tuple] = {}
         self.pair = Generations(self._pair_holds, 4 * CACHE_ENTRIES)
-        self.whole = Generations(self._token_holds)
+        whole = Generations(self._token_holds, len(self.token_bytes))
+        self.automaton = ahocorasick.Automaton()
+        for i, content in self.token_bytes.items():
+            if i not in self.special.values() and whole[i]:
+                self.automaton.add_word(content.decode("latin-1"), (i, len(content)))
+        self.automaton.make_automaton()
         self.piece_ids = Generations(lambda piece: self._packed(self.encode_piece(piece.encode())))
         self.chunk_ids = Generations(lambda chunk: b"".join(self._by_piece(" " + chunk)))
 
     @staticmethod
     def _packed(ids: list[int]) -> bytes:
-        return np.array(ids, dtype=np.uint32).tobytes()
+        return array("I", ids).tobytes()
 
     def _spine(self, token: int, side: int) -> list[tuple[int, int]]:
         """From a token's outermost byte on one side up to itself: (node, rank of the merge that takes it)."""
@@ -131,34 +135,34 @@ class ByteBpe:
                 j += 1
 
     def _pair_holds(self, pair: int) -> bool:
-        return self._seam(pair >> 20, pair & 0xFFFFF)[0] == NEVER
+        return pair >> 20 == START or self._seam(pair >> 20, pair & 0xFFFFF)[0] == NEVER
 
     def _token_holds(self, token: int) -> bool:
         """If a token's own bytes are encoded as that token alone."""
         if token not in self.parts:
             return True
         left, right, rank = self.parts[token]
-        return self.whole[left] and self.whole[right] and self._seam(left, right) == (rank, True)
+        return self._token_holds(left) and self._token_holds(right) and self._seam(left, right) == (rank, True)
 
     def encode_piece(self, piece: bytes) -> list[int]:
-        """Ids of one piece, in time proportional to its length."""
-        n = len(piece)
-        last: list = [None] * (n + 1)
-        pair, whole = self.pair, self.whole
+        """Ids of one piece, in time proportional to its length.
+
+        Every prefix has a last token, as single bytes are tokens, so the one
+        before a proposed token is always known.
+        """
+        n, pair = len(piece), self.pair
+        last = [-1] * (n + 1)
+        last[0] = START
         for end, (token, size) in self.automaton.iter(piece.decode("latin-1")):
             end += 1
-            if last[end] is not None:
-                continue
-            before = last[end - size] if end > size else -1
-            if before is None or not whole[token]:
-                continue
-            if before < 0 or pair[before << 20 | token]:
+            if last[end] < 0 and pair[last[end - size] << 20 | token]:
                 last[end] = token
-        ids = []
+        ids, sizes = [], self.sizes
         while n:
             ids.append(last[n])
-            n -= len(self.token_bytes[last[n]])
-        return ids[::-1]
+            n -= sizes[last[n]]
+        ids.reverse()
+        return ids
 
     def _by_piece(self, text: str) -> list[bytes]:
         return list(map(self.piece_ids.__getitem__, self.pieces.findall(text)))
