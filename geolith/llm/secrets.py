@@ -27,6 +27,8 @@ LEFT_CHARS, RIGHT_CHARS = 48, 16
 
 #: Runs of the characters that keys and tokens are written in; possessive, so long runs cost linear time.
 CANDIDATE = re.compile(r"(?<![A-Za-z0-9_+/=~.-])[A-Za-z0-9_+/=~.-]{16,}+")
+#: The name before an ``=``, looked for in so many characters.
+IDENTIFIER, NAME_CHARS = re.compile(r"(?<![A-Za-z0-9_])[A-Za-z_][A-Za-z0-9_-]*$"), 64
 PRIVATE_KEY = re.compile(r"-----BEGIN [A-Z ]*PRIVATE KEY-----.*?-----END [A-Z ]*PRIVATE KEY-----", re.DOTALL)
 
 # Prefixes that providers give their keys.
@@ -42,12 +44,27 @@ FEATURES = (
 )
 
 
+def value_start(run: str) -> int:
+    """Where the value of a run NAME=VALUE starts: after the first ``=`` that follows an identifier; 0 without one.
+
+    The ``=`` at a run's end are padding of base64, not an assignment.
+    """
+    at, end = run.find("="), len(run.rstrip("="))
+    while 0 <= at < end:
+        if IDENTIFIER.search(run[max(0, at - NAME_CHARS) : at]):
+            return at + 1
+        at = run.find("=", at + 1)
+    return 0
+
+
 def candidates(text: str) -> Iterator[tuple[int, int]]:
-    """Spans of possible secrets: runs of key characters that have a letter and a digit."""
+    """Spans of possible secrets: runs of key characters that have a letter and a digit, without a name assigned to."""
     for m in CANDIDATE.finditer(text):
-        value = m.group().rstrip(".=-") or m.group()
+        start = m.start() + value_start(m.group())
+        value = text[start : m.end()]
+        value = value.rstrip(".=-") or value
         if len(value) >= 16 and any(map(str.isdigit, value)) and any(map(str.isalpha, value)):
-            yield m.start(), m.start() + len(value)
+            yield start, start + len(value)
 
 
 class TextStatistics:
@@ -75,8 +92,15 @@ class TextStatistics:
         return covered / max(1, sum(map(str.isalpha, low)))
 
 
+def left_context(text: str, start: int) -> str:
+    """What stands before a value; for a parameter in a URL only its name, as the address says nothing of it."""
+    left = text[max(0, start - LEFT_CHARS) : start]
+    parameter = re.search(r"[?&]([A-Za-z0-9_.-]+=)$", left)
+    return parameter.group(1) if parameter else left
+
+
 def features(text: str, start: int, end: int, path: str | None, stats: TextStatistics) -> list[float]:
-    value, left = text[start:end], text[max(0, start - LEFT_CHARS) : start]
+    value, left = text[start:end], left_context(text, start)
     right = text[end : end + RIGHT_CHARS]
     counts, n = Counter(value), end - start
     kinds = (str.isupper, str.islower, str.isdigit)
@@ -99,7 +123,7 @@ def features(text: str, start: int, end: int, path: str | None, stats: TextStati
 
 def verified(text: str, start: int, end: int) -> bool:
     """The label of a finding: a provider's prefix, or a credential's name assigned an even-looking value."""
-    value, left = text[start:end], text[max(0, start - LEFT_CHARS) : start]
+    value, left = text[start:end], left_context(text, start)
     varied = len(set(value)) >= min(10, len(value) // 2)
     named = CREDENTIAL.search(left[-32:]) and ASSIGNED.search(left) and not HARMLESS.search(left[-32:])
     return bool(varied and (KNOWN_PREFIX.match(value) or named))
@@ -118,11 +142,15 @@ def made_findings(n: int = 200) -> list[tuple[str, int, int, bool]]:
         ("commit {}", "0123456789abcdef", 40, False),
         ("see http://www.{}", "abcdefgh.-/1", 24, False),
         ("version {}", "0123456789.-ab", 18, False),
+        ("password={}", letters, 20, True),
+        ("export AWS_SECRET_ACCESS_KEY={}", letters, 40, True),
+        ("https://www.a.org/cb?token={}", letters, 32, True),
+        ("BUILD_PATH={}", "abcdefgh.-/1", 24, False),
     )
     for i in range(n):
         form, alphabet, size, label = forms[i % len(forms)]
         value = "".join(rng.choice(alphabet) for _ in range(size))
-        if i % 8 == 3:
+        if i % len(forms) == 3:
             value = "AKIA" + value.upper()
         text = form.format(value)
         at = text.index(value)

@@ -95,3 +95,21 @@ def test_forest_reads_back_what_the_library_says(spark):
     stats, forest = secrets.train(docs)
     for text, a, b, label in secrets.made_findings(40):
         assert (forest.score(secrets.features(text, a, b, None, stats)) >= 0.5) == label
+
+
+def test_a_name_assigned_to_without_blanks_is_not_part_of_the_value():
+    value = "hG7kQ2zLp9XwT4vB1n"
+    forms = ["password={}", "AWS_SECRET_ACCESS_KEY={}", "export API_KEY={}\n", "--token={} -x", "https://a.org/x?n=1&token={}&m=2", "a.b.key={}"]
+    for form in forms:
+        text = form.format(value)
+        assert [text[a:b] for a, b in secrets.candidates(text)] == [value]
+    padded = "YWJjZGVmZ2hpamtsbW5vcHFyc3R1dg1=="
+    assert [padded[a:b] for a, b in secrets.candidates(padded)] == [padded.rstrip("=")]
+
+
+def test_unspaced_assignments_are_found_and_redacted(spark):
+    docs, texts = corpus(spark)
+    forms = ["password=hG7kQ2zLp9XwT4vB1nQ8", "AWS_SECRET_ACCESS_KEY=wJalrXUtnFEMIK7MDENGbPxRfiCY3zKQ9vLm2Tx8", f"api_key=sk_live_{HEX[:24]}", "https://a.org/cb?token=Zk3mQ9xT7bW2nL5vR8pJ"]
+    all_docs = documents(spark, [*texts, *forms])
+    rows = secrets.scan(all_docs, secrets.train(all_docs)).orderBy("doc_id").collect()[len(texts) :]
+    assert [r.redacted for r in rows] == [f[: f.index("=") + 1] + "<SECRET>" for f in forms]
