@@ -16,11 +16,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import bounded_batches, restored, set_aside, table
+from .common import bounded_batches, checkpointed, restored, set_aside, table
 
-#: About so many documents, by hash of their id, give text statistics and labelled findings.
+#: About so many documents, by hash of their id, give labelled findings to fit the forest to.
 SAMPLE_DOCS = 20_000
-DICTIONARY_WORDS = 20_000
+#: Words of at least this share of all word occurrences, and two of them, form the dictionary.
+DICTIONARY_SHARE = 1e-6
+#: A task hands on its counts when it holds so many different words.
+TASK_WORDS = 500_000
 TREES, DEPTH, SEED = 30, 6, 7
 THRESHOLD = 0.5
 LEFT_CHARS, RIGHT_CHARS = 48, 16
@@ -68,7 +71,7 @@ def candidates(text: str) -> Iterator[tuple[int, int]]:
 
 
 class TextStatistics:
-    """Character transitions and a dictionary, counted over plain words of sampled text."""
+    """Character transitions and a dictionary, counted over the plain words of all documents."""
 
     def __init__(self, pairs: dict[str, int], words: list[str]):
         heads = Counter()
@@ -84,7 +87,7 @@ class TextStatistics:
 
     def coverage(self, value: str) -> float:
         """Share of the letters that dictionary words cover, longest first from the left."""
-        low, at, covered = value.lower()[:512], 0, 0
+        low, at, covered = value.lower(), 0, 0
         while at < len(low):
             size = next((n for n in range(min(12, len(low) - at), 3, -1) if low[at : at + n] in self.words), 0)
             covered += size
@@ -158,32 +161,46 @@ def made_findings(n: int = 200) -> list[tuple[str, int, int, bool]]:
     return out
 
 
-def text_statistics(sample: DataFrame) -> TextStatistics:
-    """Character pairs and the most frequent words of 4 letters or more over ``sample``'s texts."""
+def text_statistics(docs: DataFrame) -> TextStatistics:
+    """Character pairs and frequent words of 4 to 12 letters over the texts of all ``docs``.
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found: Counter = Counter()
-        for batch in batches:
-            for text in batch.column("text").to_pylist():
-                found.update(re.findall(r"[^\W\d_]{2,24}", text.lower()) if text else ())
+    Tasks count their own documents and Spark adds the counts up. The
+    dictionary holds at most 1 / DICTIONARY_SHARE words, however many documents
+    there are.
+    """
+
+    def counted_rows(found: Counter) -> pa.RecordBatch:
         pairs: Counter = Counter()
         for word, n in found.items():
             for i in range(len(word) - 1):
                 pairs[word[i : i + 2]] += n
-        rows = [("pair", k, n) for k, n in pairs.items()] + [("word", k, n) for k, n in found.items() if 4 <= len(k) <= 12]
-        yield pa.RecordBatch.from_arrays(
+        rows = [("all", "", sum(found.values()))] + [("pair", k, n) for k, n in pairs.items()]
+        rows += [("word", k, n) for k, n in found.items() if 4 <= len(k) <= 12]
+        return pa.RecordBatch.from_arrays(
             [pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.string(), pa.string(), pa.int64()))],
             names=["kind", "key", "n"],
         )
 
-    counted = (
-        sample.select("text")
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found: Counter = Counter()
+        for batch in batches:
+            for text in batch.column("text").to_pylist():
+                found.update(re.findall(r"[^\W\d_]{2,24}", text.lower()) if text else ())
+            if len(found) > TASK_WORDS:
+                yield counted_rows(found)
+                found = Counter()
+        yield counted_rows(found)
+
+    counted = checkpointed(
+        docs.select("text")
         .mapInArrow(count, "kind string, key string, n long")
         .groupBy("kind", "key")
         .agg(F.sum("n").alias("n"))
     )
+    total = (counted.where("kind = 'all'").agg(F.sum("n")).first()[0]) or 0
     ascii_pairs = counted.where("kind = 'pair' AND key RLIKE '^[a-z]{2}$'").collect()
-    words = counted.where("kind = 'word' AND n > 1").orderBy(F.desc("n"), "key").limit(DICTIONARY_WORDS).collect()
+    least = max(2, math.ceil(DICTIONARY_SHARE * total))
+    words = counted.where((F.col("kind") == "word") & (F.col("n") >= least)).select("key").collect()
     return TextStatistics({r["key"]: r["n"] for r in ascii_pairs}, [r["key"] for r in words])
 
 
@@ -216,9 +233,9 @@ class Forest:
 
 
 def train(docs: DataFrame, sample_docs: int = SAMPLE_DOCS) -> tuple[TextStatistics, Forest]:
-    """Text statistics and a random forest, from about ``sample_docs`` documents.
+    """Text statistics of all documents, and a random forest fitted to findings in about ``sample_docs`` of them.
 
-    The findings in them are labelled by :func:`verified`; made-up labelled
+    The findings are labelled by :func:`verified`; made-up labelled
     findings join them. The forest sees length, transitions, dictionary
     coverage, path and neighbouring words, never the label's rule itself.
     """
@@ -227,7 +244,7 @@ def train(docs: DataFrame, sample_docs: int = SAMPLE_DOCS) -> tuple[TextStatisti
     share = min(1.0, sample_docs / max(1, docs.count()))
     place = F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(1 << 20)) / F.lit(float(1 << 20))
     sample = docs.where(place < share).select("text", "source")
-    stats = text_statistics(sample)
+    stats = text_statistics(docs)
     shared = spark.sparkContext.broadcast(stats)
 
     def label(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -113,3 +113,16 @@ def test_unspaced_assignments_are_found_and_redacted(spark):
     all_docs = documents(spark, [*texts, *forms])
     rows = secrets.scan(all_docs, secrets.train(all_docs)).orderBy("doc_id").collect()[len(texts) :]
     assert [r.redacted for r in rows] == [f[: f.index("=") + 1] + "<SECRET>" for f in forms]
+
+
+def test_statistics_come_from_all_documents(spark):
+    rare = "quorvish blentam"
+    docs = documents(spark, [*["common words stand here"] * 300, *[rare] * 3])
+    stats, _ = secrets.train(docs, sample_docs=1)
+    assert {"quorvish", "blentam", "common"} <= stats.words
+    assert stats.transitions("qu") > stats.transitions("qx")
+
+
+def test_coverage_is_of_the_whole_candidate():
+    stats = secrets.TextStatistics({}, ["word"])
+    assert stats.coverage("word" * 128 + "x" * 512) == 0.5
