@@ -61,6 +61,33 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.parquet(path)
 
 
+def keep_one_row(docs: DataFrame, rows: DataFrame, roots: DataFrame) -> DataFrame:
+    """One row of ``docs`` for each component.
+
+    ``rows`` has (doc_id, text_hash, fp) of every row and ``roots`` (fp, root)
+    of linked fingerprints. The row of least doc_id, then of least text hash,
+    stays; null ids come last. Rows are told apart by id and text, so null or
+    repeated ids lose no text.
+    """
+    order = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "text_hash", "rows")
+    kept = checkpointed(
+        rows.groupBy("fp", "doc_id", "text_hash")
+        .agg(F.count("*").alias("rows"))
+        .join(roots, "fp", "left")
+        .groupBy(F.coalesce("root", "fp").alias("root"))
+        .agg(F.min(order).alias("first"))
+        .select(F.col("first.doc_id").alias("__id"), F.col("first.text_hash").alias("__hash"), "first.rows")
+    )
+    out = docs.withColumn("__text_hash", F.xxhash64("text")).join(
+        kept.select("__id", "__hash"),
+        F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__text_hash") == F.col("__hash")),
+        "left_semi",
+    )
+    if kept.where("rows > 1").limit(1).count():
+        out = out.dropDuplicates(["doc_id", "__text_hash"])
+    return out.drop("__text_hash")
+
+
 #: Holds the columns that a stage does not read, so that names it adds cannot clash with them.
 ASIDE = "__aside"
 

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import ASCII_LOWER, ASCII_UPPER, bounded_batches, checkpointed, table
+from .common import ASCII_LOWER, ASCII_UPPER, bounded_batches, checkpointed, keep_one_row, table
 from .components import connected_components
 
 SHINGLE_WORDS = 3
@@ -82,6 +82,11 @@ def near_links(distinct: DataFrame) -> DataFrame:
     )
 
 
+def fingerprint_roots(distinct: DataFrame) -> DataFrame:
+    """(fp, root): the component of every fingerprint of ``distinct`` that has a link."""
+    return connected_components(near_links(distinct), "a", "b").toDF("fp", "root")
+
+
 def simhash_groups(df: DataFrame, text: str = "text") -> DataFrame:
     """(doc_id, fp, component_id) for every row of ``df``.
 
@@ -94,8 +99,7 @@ def simhash_groups(df: DataFrame, text: str = "text") -> DataFrame:
     """
     docs = checkpointed(fingerprints(df, text))
     distinct = checkpointed(docs.groupBy("fp").agg(F.min("doc_id").alias("least")))
-    roots = connected_components(near_links(distinct), "a", "b")
-    rooted = distinct.join(roots, F.col("fp") == F.col("node"), "left").select(
+    rooted = distinct.join(fingerprint_roots(distinct), "fp", "left").select(
         "fp", "least", F.coalesce("root", "fp").alias("root")
     )
     names = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
@@ -105,15 +109,13 @@ def simhash_groups(df: DataFrame, text: str = "text") -> DataFrame:
 
 
 def drop_near_duplicates(docs: DataFrame) -> DataFrame:
-    """The documents of ``docs`` that give their group its name; one stays of repeated rows."""
-    kept = checkpointed(
-        simhash_groups(docs)
-        .where(F.col("doc_id").eqNullSafe(F.col("component_id")))
-        .groupBy("doc_id")
-        .agg(F.count("*").alias("rows"))
+    """One row of ``docs`` for each group of linked fingerprints, told apart by id and text as in :func:`keep_one_row`."""
+    rows = checkpointed(
+        fingerprints(docs.select(F.struct("doc_id", F.xxhash64("text").alias("text_hash")).alias("doc_id"), "text")).select(
+            "doc_id.doc_id", "doc_id.text_hash", "fp"
+        )
     )
-    out = docs.join(kept.select(F.col("doc_id").alias("__kept")), F.col("doc_id").eqNullSafe(F.col("__kept")), "left_semi")
-    return out.dropDuplicates(["doc_id"]) if kept.where("rows > 1").limit(1).count() else out
+    return keep_one_row(docs, rows, fingerprint_roots(rows.select("fp").distinct()))
 
 
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,7 +1,7 @@
 import random
 
 import corpus_pipeline
-from geolith.llm import jaccard
+from geolith.llm import jaccard, simhash
 
 from .helpers import DOCS, documents
 from .test_dedup import roots
@@ -55,3 +55,10 @@ def test_null_and_repeated_ids_lose_no_text(spark, tmp_path):
     assert sorted(r.text for r in out) == sorted(texts)
     found = {r.text: r.doc_id for r in out}
     assert found[texts[1]] == 5 and found[texts[11]] == 9 and found[texts[0]] is None
+
+
+def test_simhash_groups_keep_rows_with_null_and_repeated_ids(spark):
+    texts = [None, "one", "two words", "three words here", "some other words stand in this text", "and one more text than before"]
+    rows = [(i, t, "en", "s", 1) for i, t in zip([None, None, 3, 3, None, 4], texts, strict=True)]
+    out = simhash.drop_near_duplicates(spark.createDataFrame([*rows, rows[1], rows[2]], DOCS)).collect()
+    assert sorted(map(str, (r.text for r in out))) == sorted(map(str, texts))
