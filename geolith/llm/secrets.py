@@ -236,8 +236,8 @@ def train(docs: DataFrame, sample_docs: int = SAMPLE_DOCS) -> tuple[TextStatisti
     """Text statistics of all documents, and a random forest fitted to findings in about ``sample_docs`` of them.
 
     The findings are labelled by :func:`verified`; made-up labelled
-    findings join them. The forest sees length, transitions, dictionary
-    coverage, path and neighbouring words, never the label's rule itself.
+    findings join them. The forest's features
+    share the rule's expressions, so it learns much of the rule itself.
     """
     spark = docs.sparkSession
     bounded_batches(spark)
