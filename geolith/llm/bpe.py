@@ -26,8 +26,12 @@ from .common import bounded_batches, table
 # Fixed value: how byte-level vocabularies of this family cut text into pieces.
 PIECE_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
-#: Entries of each of a cache's two generations, in each Python worker.
-CACHE_ENTRIES = 150_000
+#: Bytes that each of a cache's two generations may hold, in each Python worker.
+CACHE_BYTES = 80 << 20
+#: What an entry takes besides its characters and ids; longer keys than so many characters are not kept.
+ENTRY_BYTES, LONG_KEY = 200, 64
+#: Pairs whose test is remembered, about 130 bytes each.
+PAIR_ENTRIES = 500_000
 NEVER = 1 << 60
 #: Stands before a piece's first token.
 START = 0xFFFFF
@@ -45,19 +49,23 @@ def byte_characters() -> dict[str, int]:
 
 
 class Generations(dict):
-    """A bounded cache: the younger generation, with what the elder still knows moved up."""
+    """A cache bounded by bytes: the younger generation, with what the elder still knows moved up."""
 
-    def __init__(self, make, entries: int = CACHE_ENTRIES):
+    def __init__(self, make, limit: int = CACHE_BYTES):
         super().__init__()
-        self.make, self.entries, self.elder = make, entries, {}
+        self.make, self.limit, self.held, self.elder = make, limit, 0, {}
 
-    def __missing__(self, key):
+    def __missing__(self, key: str) -> bytes:
         value = self.elder.get(key)
         if value is None:
             value = self.make(key)
-        if len(self) >= self.entries:
+            if len(key) > LONG_KEY:
+                return value
+        self.held += ENTRY_BYTES + len(key) + len(value)
+        if self.held > self.limit:
             self.elder = dict(self)
             self.clear()
+            self.held = ENTRY_BYTES + len(key) + len(value)
         self[key] = value
         return value
 
@@ -87,11 +95,10 @@ class ByteBpe:
         self.pieces = regex.compile(PIECE_PATTERN)
         self.specials = re.compile("(" + "|".join(map(re.escape, self.special)) + ")") if self.special else None
         self.spines: dict[int, tuple] = {}
-        self.pair = Generations(self._pair_holds, 4 * CACHE_ENTRIES)
-        whole = Generations(self._token_holds, len(self.token_bytes))
+        self.pairs: dict[int, bool] = {}
         self.automaton = ahocorasick.Automaton()
         for i, content in self.token_bytes.items():
-            if i not in self.special.values() and whole[i]:
+            if i not in self.special.values() and self._token_holds(i):
                 self.automaton.add_word(content.decode("latin-1"), (i, len(content)))
         self.automaton.make_automaton()
         self.piece_ids = Generations(lambda piece: self._packed(self.encode_piece(piece.encode())))
@@ -150,13 +157,20 @@ class ByteBpe:
         Every prefix has a last token, as single bytes are tokens, so the one
         before a proposed token is always known.
         """
-        n, pair = len(piece), self.pair
+        n, pairs = len(piece), self.pairs
         last = [-1] * (n + 1)
         last[0] = START
         for end, (token, size) in self.automaton.iter(piece.decode("latin-1")):
             end += 1
-            if last[end] < 0 and pair[last[end - size] << 20 | token]:
-                last[end] = token
+            if last[end] < 0:
+                pair = last[end - size] << 20 | token
+                holds = pairs.get(pair)
+                if holds is None:
+                    if len(pairs) >= PAIR_ENTRIES:
+                        pairs.clear()
+                    holds = pairs[pair] = self._pair_holds(pair)
+                if holds:
+                    last[end] = token
         ids, sizes = [], self.sizes
         while n:
             ids.append(last[n])
@@ -206,7 +220,7 @@ def encode(df: DataFrame, path: str, text: str = "text") -> DataFrame:
     Special tokens in a text become their own ids, as the library's defaults
     have it. Null text counts as empty: no ids, empty text. Row-local: nothing is
     shuffled, repeated rows stay, and pieces of any length take linear time.
-    Columns of the added names are replaced. Caches in each worker are bounded.
+    Columns of the added names are replaced. Caches in each worker are bounded by bytes.
     """
     bounded_batches(df.sparkSession)
     df = df.drop("bpe_ids", "bpe_text")
