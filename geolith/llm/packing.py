@@ -8,7 +8,6 @@ executors by their rank among pieces of the same length.
 
 from __future__ import annotations
 
-import functools
 import zlib
 from collections.abc import Iterator
 
@@ -18,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .bpe import PIECE_PATTERN, byte_characters
+from .bpe import byte_bpe
 from .common import bounded_batches, checkpointed, shuffle_partitions, table
 
 SEQUENCE_TOKENS = 2048
@@ -102,23 +101,11 @@ def best_fit_decreasing(counts: dict[int, int], capacity: int) -> pd.DataFrame:
     return pd.DataFrame(rows, columns=["length", "rank", "bins", "first_bin", "per_bin", "offset"], dtype="int64")
 
 
-@functools.lru_cache(maxsize=2)
-def _encoder(path: str):
-    """The vocabulary file's encoding; ids stand in merge order, so they serve as ranks."""
-    import json
-
-    import tiktoken
-
-    spec = json.load(open(path, encoding="utf-8"))
-    to_byte = byte_characters()
-    special = {t["content"]: t["id"] for t in spec["added_tokens"]}
-    ranks = {bytes(map(to_byte.__getitem__, t)): i for t, i in spec["model"]["vocab"].items() if t not in special}
-    return tiktoken.Encoding("packing", pat_str=PIECE_PATTERN, mergeable_ranks=ranks, special_tokens=special)
-
-
 def token_pieces(df: DataFrame, path: str, capacity: int = SEQUENCE_TOKENS) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32) of every document's ids with id 0 at the end.
 
+    The ids are those of :func:`~geolith.llm.bpe.encode`, in time linear in the
+    text whatever it holds. ``path`` names a vocabulary file that every executor can read.
     Documents longer than ``capacity`` are cut so that all pieces but the first
     have that length. Null text counts as empty, which leaves one piece of one
     token. The pieces are checkpointed, as dealing them by range reads them twice.
@@ -126,12 +113,11 @@ def token_pieces(df: DataFrame, path: str, capacity: int = SEQUENCE_TOKENS) -> D
     bounded_batches(df.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = _encoder(path)
+        model = byte_bpe(path)
         for batch in batches:
             owner, pieces = [], []
             for row, text in enumerate(batch.column("text").to_pylist()):
-                ids = encoder.encode_to_numpy(text or "", allowed_special="all").astype("<u4")
-                data = ids.tobytes() + END_ID.to_bytes(4, "little")
+                data = model.encode(text or "").astype("<u4").tobytes() + END_ID.to_bytes(4, "little")
                 n, begin = len(data) // 4, 0
                 count = -(-n // capacity)
                 for piece in range(count):
@@ -164,9 +150,10 @@ def pack(pieces: DataFrame, capacity: int = SEQUENCE_TOKENS) -> DataFrame:
     very common length is spread as well; a piece's rank among its length is its
     place in its partition plus what earlier partitions hold. The driver sees
     one count per length and partition. Repeated rows are packed as rows of
-    their own; an empty table gives none.
+    their own; an empty table gives none. Columns of the added names are replaced.
     """
     spark = pieces.sparkSession
+    pieces = pieces.drop("sequence_id", "offset")
     ordered = checkpointed(
         pieces.repartitionByRange(shuffle_partitions(spark), F.desc("length"), "doc_id", "piece")
         .sortWithinPartitions(F.desc("length"), "doc_id", "piece")

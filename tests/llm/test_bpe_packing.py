@@ -10,7 +10,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
-from geolith.llm.bpe import ByteBpe, encode, op4_bpe
+from geolith.llm.bpe import ByteBpe, Generations, encode, op4_bpe
 from geolith.llm.packing import Capacities, best_fit_decreasing, op7_packing, pack
 
 from .helpers import as_table, documents
@@ -66,6 +66,23 @@ def _models():
     return _KEPT
 
 
+MILLIONS = [" " * 2_000_000, "\n" * 2_000_000, "x" * 2_000_000, " " * 1_000_000 + "word", "\n \t" * 300_000]
+
+
+def test_very_long_runs_equal_the_library(model, library):
+    for text in MILLIONS:
+        assert model.encode(text).tolist() == library.encode(text, add_special_tokens=False).ids
+
+
+def test_caches_are_bounded_by_bytes():
+    made = []
+    kept = Generations(lambda k: made.append(k) or k.encode(), 1000)
+    for k in ["a", "b", "a", *map(str, range(20)), "x" * 500]:
+        assert kept[k] == k.encode()
+        assert kept.held <= 1000 and "x" * 500 not in kept
+    assert len(kept) + len(kept.elder) <= 10 and made.count("a") == 1
+
+
 def test_every_prefix_has_one_last_token(model, library):
     word = " internationalization"
     for n in range(1, len(word) + 1):
@@ -128,6 +145,18 @@ def test_packing_query(spark, tmp_path, library):
     assert rows["sequence_id"].nunique() == plain_best_fit(rows["length"].tolist(), 2048)
 
 
+def test_packing_very_long_runs(spark, tmp_path, library):
+    texts = [*MILLIONS[:2], "x" * 200_000]
+    rows = op7_packing(spark, as_table(documents(spark, texts), tmp_path)).toPandas()
+    for doc_id, pieces in rows.groupby("doc_id"):
+        assert pieces["length"].sum() == len(library.encode(texts[doc_id], add_special_tokens=False).ids) + 1
+
+
+def test_packing_replaces_columns_of_the_added_names(spark):
+    pieces = spark.createDataFrame([(1, 0, 5, "x", "y")], "doc_id long, piece int, length long, sequence_id string, offset string")
+    assert pack(pieces, 16).select("sequence_id", "offset").collect() == [(0, 0)]
+
+
 def test_packing_repeated_and_no_rows(spark):
     pieces = spark.createDataFrame([(1, 0, 5)] * 9 + [(None, 0, 7)], "doc_id long, piece int, length long")
     rows = pack(pieces, 16).toPandas()
