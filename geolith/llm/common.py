@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -107,30 +108,42 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def exclusive_sums(values: Column) -> Column:
-    """Running sums before each element of an array of longs, in built-in functions.
+def bound(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of ``value``, which is evaluated once however often ``body`` or its lambdas use it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
 
-    Sums blocks of about sqrt(n) elements first, so n elements take n**1.5
-    additions and no array grows by one element at a time.
-    """
-    size = F.size(values)
-    width = F.greatest(F.lit(1), F.ceil(F.sqrt(size)).cast("int"))
-    zero = F.lit(0).cast("long")
 
-    def total(x: Column) -> Column:
-        return F.aggregate(x, zero, lambda acc, v: acc + v)
+#: Elements whose running sums are gathered in one array before arrays are joined.
+SUM_BLOCK = 256
 
-    blocks = F.transform(
-        F.sequence(F.lit(0), F.floor((size - 1) / width).cast("int")),
-        lambda b: F.slice(values, b * width + 1, width),
-    )
-    block_sums = F.transform(blocks, total)
 
-    def within(block: Column, b: Column) -> Column:
-        base = total(F.slice(block_sums, F.lit(1), b))
-        return F.transform(block, lambda _, i: base + total(F.slice(block, F.lit(1), i)))
+def exclusive_sums(values: Column) -> Column:
+    """Running sums before each element of an array of longs, in built-in functions.
 
-    return F.when(size > 0, F.flatten(F.transform(blocks, within))).otherwise(F.array().cast("array<long>"))
+    Sums grow within blocks of fixed size, and so do the sums of the blocks
+    before each; the time is in proportion to the elements.
+    """
+    start = F.struct(F.lit(0).cast("long").alias("sum"), F.array().cast("array<long>").alias("before"))
+
+    def add(acc: Column, v: Column) -> Column:
+        return F.struct((acc["sum"] + v).alias("sum"), F.array_append(acc["before"], acc["sum"]).alias("before"))
+
+    def blocks(xs: Column) -> Column:
+        n = F.size(xs)
+        return F.transform(
+            F.sequence(F.lit(0), F.floor((n - 1) / SUM_BLOCK).cast("int")),
+            lambda b: F.aggregate(
+                F.sequence(b * SUM_BLOCK, F.least((b + 1) * SUM_BLOCK, n) - 1), start, lambda acc, i: add(acc, F.get(xs, i))
+            ),
+        )
+
+    def joined(parts: Column) -> Column:
+        bases = F.aggregate(parts, start, lambda acc, p: add(acc, p["sum"]))["before"]
+        return F.flatten(F.zip_with(parts, bases, lambda p, base: F.transform(p["before"], lambda s: base + s)))
+
+    return F.when(F.size(values) > 0, bound(values, lambda xs: bound(blocks(xs), joined))).otherwise(
+        F.array().cast("array<long>")
+    )
 
 
 def ascii_lower(text: Column) -> Column:

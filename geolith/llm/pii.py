@@ -11,7 +11,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import exclusive_sums, table
+from .common import bound, exclusive_sums, restored, set_aside, table
 
 #: Characters on each side of a span that are searched for context words.
 CONTEXT_CHARS = 40
@@ -158,12 +158,14 @@ def find_pii(df: DataFrame, text: str = "text") -> DataFrame:
     score is the kind's own, plus 0.3 if a context word stands within 40
     characters (up to the nearest span of the same kind); base kinds stay at
     any score, added ones from 0.5. Null or empty text has no spans. Rows stay
-    as they are, repeated rows included, a column of the added name is replaced;
-    no shuffle takes place.
+    as they are, repeated rows included, an empty table gives none. A column of
+    the added name is replaced; columns of any other name stay. No shuffle
+    takes place, and time is in proportion to the text.
     """
     keep = [c for c in df.columns if c != "pii_spans"]
     names = {k.name: f"__{k.name}" for k in KINDS}
-    out = df.withColumn("__text", F.coalesce(F.col(text), F.lit("")))
+    out = set_aside(df.select(*(F.col(f"`{c}`") for c in keep)), text)
+    out = out.withColumn("__text", F.coalesce(F.col(text), F.lit("")))
     for k in KINDS:
         searched = F.when(F.contains(F.col("__text"), F.lit(k.needs)), F.col("__text")).otherwise("")
         out = out.withColumn(f"{names[k.name]}_m", F.regexp_extract_all(searched, F.lit(k.pattern), F.lit(0)))
@@ -175,16 +177,40 @@ def find_pii(df: DataFrame, text: str = "text") -> DataFrame:
         out = out.withColumn(names[k.name] + "_z", _piece_sizes(names[k.name]))
         out = out.withColumn(names[k.name] + "_s", exclusive_sums(F.col(names[k.name] + "_z")))
     arrays = [_spans(k, names[k.name]) for k in KINDS]
-    return out.withColumn("pii_spans", F.concat(*arrays)).select(*keep, "pii_spans")
+    spans = F.concat(*arrays).alias("pii_spans")
+    return restored(out.select("*", spans), [*keep, "pii_spans"], text, "pii_spans")
 
 
 def redact(df: DataFrame, text: str = "text") -> DataFrame:
-    """``df`` of :func:`find_pii` with every value of a span in ``text`` replaced by its kind."""
-    masked = F.aggregate(
-        F.col("pii_spans"),
-        F.col(text),
-        lambda t, s: F.replace(t, s["value"], F.concat(F.lit("<"), s["kind"], F.lit(">"))),
+    """``df`` of :func:`find_pii` with every span of ``text`` replaced by its kind.
+
+    Spans are taken by their offsets. Of spans that overlap, the one that
+    starts first (then the longest, then the first by kind) is replaced and the
+    rest of the others after it is dropped with it. Null text stays null.
+    """
+    order = F.transform(
+        "pii_spans",
+        lambda s, i: F.struct(s["start"].alias("start"), (-s["end"]).alias("back"), i.alias("at"), s["kind"].alias("kind"), s["end"].alias("end")),
+    )
+    # Spans that overlap become one stretch; the text between stretches stays.
+    start = F.struct(
+        F.lit(0).cast("long").alias("at"), F.array().cast("array<string>").alias("parts")
     )
+
+    def step(body: Column, acc: Column, s: Column) -> Column:
+        between = F.concat(
+            F.substring(body, (acc["at"] + 1).cast("int"), (s["start"] - acc["at"]).cast("int")), F.lit("<"), s["kind"], F.lit(">")
+        )
+        fresh = s["start"] >= acc["at"]
+        return F.struct(
+            F.greatest(acc["at"], s["end"]).alias("at"),
+            F.when(fresh, F.array_append(acc["parts"], between)).otherwise(acc["parts"]).alias("parts"),
+        )
+
+    def cut(acc: Column) -> Column:
+        return F.concat(F.array_join(acc["parts"], ""), F.substr(F.col(text), (acc["at"] + 1).cast("int")))
+
+    masked = bound(F.aggregate(F.array_sort(order), start, lambda acc, s: step(F.col(text), acc, s)), cut)
     return df.withColumn(text, masked)
 
 

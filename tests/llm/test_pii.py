@@ -1,6 +1,7 @@
 import hashlib
 import random
 import re
+import time
 
 import duckdb
 import pytest
@@ -72,6 +73,26 @@ def test_long_texts_many_spans_and_clashing_columns(spark):
     assert (rows[2].pii_spans[-1].start, rows[2].pii_spans[-1].end) == (9 * 3999, 9 * 3999 + 8)
 
 
+def test_a_text_of_many_spans_takes_time_in_proportion(spark):
+    def seconds(n):
+        docs = documents(spark, ["10.0.0.1 a@b.cc " * n]).cache()
+        docs.count()
+        began = time.perf_counter()
+        row = find_pii(docs).selectExpr("size(pii_spans) AS n", "element_at(pii_spans, -1).start AS last").first()
+        assert (row.n, row["last"]) == (2 * n, 16 * (n - 1))
+        return time.perf_counter() - began
+
+    seconds(10_000)
+    assert seconds(100_000) < 2.5 * seconds(50_000) + 1
+
+
+def test_columns_with_internal_names_stay(spark):
+    docs = documents(spark, ["a@b.cc"]).selectExpr("*", "'u' AS __text", "1 AS __email_m", "'v' AS __aside", "5 AS pii_spans")
+    row = find_pii(docs).first()
+    assert (row["__text"], row["__email_m"], row["__aside"]) == ("u", 1, "v") and row.pii_spans[0].kind == "email"
+    assert find_pii(docs).columns == docs.columns
+
+
 def test_repeated_rows_and_empty_table(spark):
     docs = documents(spark, ["a@b.cc"])
     assert find_pii(docs.union(docs)).count() == 2
@@ -80,6 +101,9 @@ def test_repeated_rows_and_empty_table(spark):
 
 def test_redaction(spark):
     assert redact(find_pii(documents(spark, ["to a@b.cc!"]))).first().text == "to <email>!"
+    texts = ["1.1.1.1 and 11.1.1.10", None, "none", "+49 10.1.1.1234567 x@y.zz", "a@b.cc"]
+    rows = {r.doc_id: r.text for r in redact(find_pii(documents(spark, texts))).collect()}
+    assert rows == {0: "<ip> and <ip>", 1: None, 2: "none", 3: "<phone> <email>", 4: "<email>"}
 
 
 def test_query_equals_sql(spark, tmp_path):
