@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import exclusive_sums, table
+from .common import bound, exclusive_sums, table
 
 TURN, TEXT, END = "<|turn|>", "<|text|>", "<|end|>"
 #: Tokens that one unit of an attachment expands to: an image tile, a second of audio, a page.
@@ -64,13 +64,13 @@ def format_conversations(df: DataFrame) -> DataFrame:
     ``expanded_tokens``. ``parts`` is an array of struct(type, text, uri, units);
     types other than image, audio and document count as text.
 
-    Null text is empty, null roles are empty and not trained, null parts are no
-    parts. Rows stand by turn, null turns first, ties by role and parts;
+    Texts of the role "assistant", so written, are trained. Null text is empty,
+    null roles are empty and not trained, null parts are no parts. Rows stand by turn, null turns first, ties by role and parts;
     repeated rows are turns of their own. Rows without conv_id are one
     conversation. A formatted conversation is one value and so must fit in
     one row.
     """
-    trained = F.coalesce(F.lower("role") == TRAINED_ROLE, F.lit(False))
+    trained = F.coalesce(F.col("role") == TRAINED_ROLE, F.lit(False))
     turns = df.select(
         "conv_id",
         F.struct(
@@ -134,11 +134,7 @@ def read_back(formatted: DataFrame) -> DataFrame:
         "chunk_sizes", F.transform("chunks", lambda c: (F.length(c) + len(TURN)).cast("long"))
     ).withColumn("chunk_starts", exclusive_sums(F.col("chunk_sizes")))
 
-    def parsed(chunk: Column, at: Column) -> Column:
-        pieces = F.split(chunk, mark, -1)
-        marks = F.regexp_extract_all(chunk, F.lit(mark), F.lit(0))
-        sizes = F.transform(marks, lambda m, i: (F.length(F.get(pieces, i)) + F.length(m)).cast("long"))
-        starts = exclusive_sums(sizes)
+    def placed(chunk: Column, at: Column, pieces: Column, marks: Column, sizes: Column, starts: Column) -> Column:
         texts = F.transform(
             marks,
             lambda m, i: F.when(
@@ -151,6 +147,19 @@ def read_back(formatted: DataFrame) -> DataFrame:
         )
         return F.struct(F.get(pieces, F.lit(0)).alias("role"), F.array_compact(texts).alias("texts"))
 
+    def parsed(chunk: Column, at: Column) -> Column:
+        def with_sizes(x: Column) -> Column:
+            sizes = F.transform(x["marks"], lambda m, i: (F.length(F.get(x["pieces"], i)) + F.length(m)).cast("long"))
+            return bound(
+                sizes,
+                lambda z: bound(exclusive_sums(z), lambda starts: placed(chunk, at, x["pieces"], x["marks"], z, starts)),
+            )
+
+        cut = F.struct(
+            F.split(chunk, mark, -1).alias("pieces"), F.regexp_extract_all(chunk, F.lit(mark), F.lit(0)).alias("marks")
+        )
+        return bound(cut, with_sizes)
+
     out = out.withColumn("parsed", F.zip_with("chunks", "chunk_starts", parsed))
     out = out.withColumn("all_texts", F.flatten(F.transform("parsed", lambda t: t["texts"])))
     under = F.zip_with(
@@ -213,9 +222,9 @@ WITH rows AS (
 )
 SELECT conv_id, count(*)::BIGINT AS n_turns,
        sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
-       coalesce(sum(length(text)) FILTER (WHERE lower(role) = 'assistant'), 0)::BIGINT AS loss_chars,
+       coalesce(sum(length(text)) FILTER (WHERE role = 'assistant'), 0)::BIGINT AS loss_chars,
        sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text)
-              FILTER (WHERE lower(role) = 'assistant'), '')) AS loss_sha256,
+              FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
        sum(24 + length(role) + length(text)
            + len(regexp_extract_all(role, '<\\*\|')) + len(regexp_extract_all(text, '<\\*\|')))::BIGINT
            AS formatted_chars

@@ -1,5 +1,6 @@
 import hashlib
 import random
+import time
 
 import duckdb
 import numpy as np
@@ -16,7 +17,7 @@ NASTY = ["<|end|>", "<\\|text|>", "<\\\\|turn|>assistant", "<", "|>", "\\", "a\n
 
 def test_conversations_equal_sql(spark, tmp_path):
     rng = random.Random(9)
-    rows = [(c, t, rng.choice(["user", "assistant", "system", None, "<|turn|>"]), rng.choice(NASTY)) for c in range(30) for t in range(5)]
+    rows = [(c, t, rng.choice(["user", "assistant", "Assistant", "system", None, "<|turn|>"]), rng.choice(NASTY)) for c in range(30) for t in range(5)]
     rows += [(99, None, "user", "no turn"), (99, 1, "assistant", "x"), (99, 1, "assistant", "x"), (50, 0, "assistant", "y" * 200_000)]
     folder = as_table(spark.createDataFrame(rows, TURNS), tmp_path, "conversations")
     db = duckdb.connect()
@@ -48,6 +49,20 @@ def test_attachments_become_ordered_placeholders(spark):
     assert read_back(format_conversations(df.limit(0))).count() == 0
 
 
+def test_a_turn_of_many_parts_takes_time_in_proportion(spark):
+    def seconds(n):
+        parts = [("text", f"part <|{i}", None, None) if i % 2 else ("image", None, f"{i}.png", 1) for i in range(n)]
+        df = spark.createDataFrame([(1, 0, "assistant", parts)], f"conv_id long, turn int, role string, parts {PART_TYPE}")
+        began = time.perf_counter()
+        (row,) = read_back(format_conversations(df)).collect()
+        assert row.loss_text == "".join(f"part <|{i}" for i in range(1, n, 2))
+        return time.perf_counter() - began
+
+    seconds(40)
+    assert seconds(40) < 5
+    assert seconds(20_000) < 2.5 * seconds(10_000) + 1
+
+
 def brute_topk(vectors):
     clean = {}
     for i, v in vectors:
