@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ASCII_SPACE, ascii_lower, checkpointed, restored, set_aside, table
+from .common import ASCII_SPACE, ascii_lower, bound, checkpointed, restored, set_aside, table
 
 MIN_KEY_CHARS = 20
 MIN_DOCUMENTS = 3
@@ -30,10 +30,14 @@ def dedup_lines(
     doc_id count nowhere and keep all. Distinct documents of a key are counted
     after dealing by key and document. The shared keys are checkpointed, so that
     both sides of the join back are plain exchanges, and adaptive execution
-    splits a very common line; nothing gathers the documents of a line. Texts are shuffled once, by document. Columns of the
-    added names are replaced.
+    splits a very common line; nothing gathers the documents of a line. Texts are
+    shuffled once, by document, and cut in time linear in their lines. Columns of
+    the added names are replaced, columns of any other name stay.
     """
-    row = df.withColumn("__text", F.coalesce(F.col(text), F.lit(""))).withColumn("__th", F.xxhash64("__text"))
+    added = ("n_lines", "n_dropped")
+    keep = [c for c in df.columns if c not in added]
+    row = set_aside(df.select(*(F.col(f"`{c}`") for c in keep)), "doc_id", text)
+    row = row.withColumn("__text", F.coalesce(F.col(text), F.lit(""))).withColumn("__th", F.xxhash64("__text"))
     lines = row.where(F.col("doc_id").isNotNull()).select(
         "doc_id", "__th", F.posexplode(_lines(F.col("__text"))).alias("pos", "line")
     )
@@ -57,18 +61,19 @@ def dedup_lines(
         .groupBy("doc_id", "__th")
         .agg(F.collect_set("pos").alias("__dropped"))
     )
-    all_lines = _lines(F.col("__text"))
-    places = F.sequence(F.lit(0), F.size(all_lines) - 1)
-    kept = F.array_join(
-        F.transform(F.array_except(places, F.col("__dropped")), lambda i: F.get(all_lines, i)), "\n"
-    )
-    return (
-        row.join(dropped, ["doc_id", "__th"], "left")
-        .withColumn("n_lines", F.size(all_lines).cast("long"))
-        .withColumn("n_dropped", F.coalesce(F.size("__dropped"), F.lit(0)).cast("long"))
-        .withColumn(text, F.when(F.col("n_dropped") > 0, kept).otherwise(F.col(text)))
-        .select(*(c for c in df.columns if c not in ("n_lines", "n_dropped")), "n_lines", "n_dropped")
+    joined = row.join(dropped, ["doc_id", "__th"], "left").withColumn("__lines", _lines(F.col("__text")))
+
+    def kept(lines: Column) -> Column:
+        places = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("__dropped"))
+        return F.array_join(F.transform(places, lambda i: F.get(lines, i)), "\n")
+
+    out = joined.select(
+        *(c for c in joined.columns if c != text),
+        F.when(F.size("__dropped") > 0, bound(F.col("__lines"), kept)).otherwise(F.col(text)).alias(text),
+        F.size("__lines").cast("long").alias("n_lines"),
+        F.when(F.col("__dropped").isNull(), 0).otherwise(F.size("__dropped")).cast("long").alias("n_dropped"),
     )
+    return restored(out, [*keep, *added], "doc_id", text, *added)
 
 
 def drop_shared_lines(docs: DataFrame) -> DataFrame:

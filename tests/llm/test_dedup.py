@@ -1,5 +1,6 @@
 import random
 import re
+import time
 
 import duckdb
 import xxhash
@@ -105,6 +106,25 @@ def test_lines_equal_sql(spark, tmp_path):
     )
 
 
+def test_a_document_of_many_lines_takes_time_in_proportion(spark):
+    def seconds(n):
+        texts = ["\n".join([LINE, *(f"line {i}" for i in range(n))])] * 3
+        began = time.perf_counter()
+        rows = dedup_lines(documents(spark, texts)).orderBy("doc_id").collect()
+        assert [r.n_dropped for r in rows] == [1, 1, 0] and rows[0].text.count("\n") == n - 1 and rows[0].n_lines == n + 1
+        return time.perf_counter() - began
+
+    seconds(10_000)
+    assert seconds(100_000) < 2.5 * seconds(50_000) + 1
+
+
+def test_line_columns_with_internal_names_stay(spark):
+    docs = documents(spark, [LINE] * 3).selectExpr("*", "'u' AS __th", "'v' AS __aside", "'w' AS __dropped", "3 AS n_lines")
+    out = dedup_lines(docs)
+    assert out.columns == [*(c for c in docs.columns if c != "n_lines"), "n_lines", "n_dropped"]
+    assert {(r["__th"], r["__aside"], r["__dropped"], r.n_lines) for r in out.collect()} == {("u", "v", "w", 1)}
+
+
 def test_repeated_rows_count_as_one_document(spark):
     docs = documents(spark, [LINE, LINE])
     assert {r.n_dropped for r in dedup_lines(docs.union(docs)).collect()} == {0}
