@@ -2,48 +2,57 @@
 
 from __future__ import annotations
 
+import bisect
 import math
 import random
 import re
-import string
+import uuid
 from collections import Counter
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import pyarrow as pa
-from pyspark.ml.classification import RandomForestClassifier
+from pyspark.ml.classification import RandomForestClassificationModel, RandomForestClassifier
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import bounded_batches, checkpointed, restored, set_aside, table
+from .common import bounded_batches, checkpointed, restored, set_aside, shared_folder, table
+from .made_findings import made_finding
 
-#: About so many documents, by hash of their id, give labelled findings to fit the forest to.
-SAMPLE_DOCS = 20_000
+#: About so many documents, by hash of their text, get labelled findings planted to fit the forest to.
+SAMPLE_DOCS = 10_000
+#: So many findings are planted in all, where there are fewer documents than that more than one in each.
+SAMPLE_FINDINGS = 10_000
 #: Words of at least this share of all word occurrences, and two of them, form the dictionary.
 DICTIONARY_SHARE = 1e-6
 #: A task hands on its counts when it holds so many different words.
 TASK_WORDS = 500_000
-TREES, DEPTH, SEED = 30, 6, 7
+TREES, DEPTH, SEED = 30, 8, 7
 THRESHOLD = 0.5
 LEFT_CHARS, RIGHT_CHARS = 48, 16
+#: Words beside a finding and words of its path have a weight from so many labelled findings on.
+LEAST_FINDINGS = 20
+#: How many words to the left of a finding count as its neighbours.
+NEIGHBOURS = 4
 
 #: Runs of the characters that keys and tokens are written in; possessive, so long runs cost linear time.
 CANDIDATE = re.compile(r"(?<![A-Za-z0-9_+/=~.-])[A-Za-z0-9_+/=~.-]{16,}+")
 #: The name before an ``=``, looked for in so many characters.
 IDENTIFIER, NAME_CHARS = re.compile(r"(?<![A-Za-z0-9_])[A-Za-z_][A-Za-z0-9_-]*$"), 64
-PRIVATE_KEY = re.compile(r"-----BEGIN [A-Z ]*PRIVATE KEY-----.*?-----END [A-Z ]*PRIVATE KEY-----", re.DOTALL)
+KEY_BEGINS = re.compile(r"-----BEGIN [A-Z ]*PRIVATE KEY-----")
+KEY_ENDS = re.compile(r"-----END [A-Z ]*PRIVATE KEY-----")
+#: A word that stands alone; the letters between the digits of a key are none, however often the key is copied.
+PLAIN_WORD = re.compile(r"\b[^\W\d_]{2,24}\b")
 
 # Prefixes that providers give their keys.
 KNOWN_PREFIX = re.compile(r"(AKIA|ASIA|ghp_|gho_|github_pat_|glpat-|sk_live_|rk_live_|xox[abpr]-|AIza|eyJ[A-Za-z0-9])")
-CREDENTIAL = re.compile(r"(?i)(token|secret|passw|pwd|api.?key|access.?key|auth|credential|bearer)")
 ASSIGNED = re.compile(r"""[:=]\s*["']?$""")
-HARMLESS = re.compile(r"(?i)(sha\d*|md5|checksum|commit|digest|uuid|example|sample|dummy|version|isbn|http|www)")
-TEST_PATH = re.compile(r"(?i)(test|example|sample|doc|fixture|spec)")
 
 FEATURES = (
-    "length", "transitions", "entropy", "digits", "classes", "dictionary", "credential", "assigned", "quoted",
-    "harmless", "known_prefix", "separators", "test_path",
+    "length", "transitions", "entropy", "digits", "classes", "distinct", "dictionary", "nearest_word", "words", "path",
+    "assigned", "quoted", "known_prefix", "separators",
 )
 
 
@@ -60,14 +69,43 @@ def value_start(run: str) -> int:
     return 0
 
 
-def candidates(text: str) -> Iterator[tuple[int, int]]:
-    """Spans of possible secrets: runs of key characters that have a letter and a digit, without a name assigned to."""
+def key_blocks(text: str) -> list[tuple[int, int]]:
+    """Spans of private keys: from each beginning to the first end after it; found in one pass over the text."""
+    if "-----BEGIN" not in text:
+        return []
+    ends = [m.end() for m in KEY_ENDS.finditer(text)]
+    found, at = [], 0
+    for m in KEY_BEGINS.finditer(text):
+        if m.start() >= at:
+            last = bisect.bisect_left(ends, m.end())
+            if last == len(ends):
+                break
+            at = ends[last]
+            found.append((m.start(), at))
+    return found
+
+
+def candidates(text: str, blocks: list[tuple[int, int]] = ()) -> Iterator[tuple[int, int]]:
+    """Spans of possible secrets: runs of key characters with a letter and a digit, without a name assigned to.
+
+    What of a run lies in one of ``blocks`` is cut off; what stands before and after may still be a candidate.
+    """
+    block = 0
     for m in CANDIDATE.finditer(text):
-        start = m.start() + value_start(m.group())
-        value = text[start : m.end()]
-        value = value.rstrip(".=-") or value
-        if len(value) >= 16 and any(map(str.isdigit, value)) and any(map(str.isalpha, value)):
-            yield start, start + len(value)
+        at, end = m.span()
+        while block < len(blocks) and blocks[block][1] <= at:
+            block += 1
+        here = block
+        while at < end:
+            inside = here < len(blocks) and blocks[here][0] < end
+            stop = max(at, blocks[here][0]) if inside else end
+            start = at + value_start(text[at:stop])
+            value = text[start:stop]
+            value = value.rstrip(".=-") or value
+            if len(value) >= 16 and any(map(str.isdigit, value)) and any(map(str.isalpha, value)):
+                yield start, start + len(value)
+            at = max(at, blocks[here][1]) if inside else end
+            here += 1
 
 
 class TextStatistics:
@@ -102,63 +140,70 @@ def left_context(text: str, start: int) -> str:
     return parameter.group(1) if parameter else left
 
 
-def features(text: str, start: int, end: int, path: str | None, stats: TextStatistics) -> list[float]:
-    value, left = text[start:end], left_context(text, start)
-    right = text[end : end + RIGHT_CHARS]
-    counts, n = Counter(value), end - start
+_WORDS = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+")
+
+
+def split_words(text: str) -> list[str]:
+    """Lower-cased words, those of a compound name each for itself."""
+    return [w.lower() for w in _WORDS.findall(text) if len(w) > 1]
+
+
+@dataclass
+class WordWeights:
+    """How much more often a word stands beside a secret than beside a look-alike, by its log odds."""
+
+    beside: dict[str, float]
+    path: dict[str, float]
+
+    def of_neighbours(self, left: str) -> tuple[float, float]:
+        """Weight of the nearest word that has one, and of the nearest words together."""
+        known = [self.beside.get(w, 0.0) for w in split_words(left)[-NEIGHBOURS:]]
+        return next((w for w in reversed(known) if w), 0.0), sum(known)
+
+    def of_path(self, path: str | None) -> float:
+        return sum(self.path.get(w, 0.0) for w in split_words(path or ""))
+
+
+def features(value: str, left: str, right: str, path: str | None, stats: TextStatistics, weights: WordWeights) -> list[float]:
+    counts, n = Counter(value), len(value)
     kinds = (str.isupper, str.islower, str.isdigit)
+    nearest, together = weights.of_neighbours(left)
     return [
         float(n),
         stats.transitions(value),
         -sum(c / n * math.log2(c / n) for c in counts.values()),
         sum(map(str.isdigit, value)) / n,
         float(sum(any(map(k, value)) for k in kinds)),
+        len(counts) / min(n, 36),
         stats.coverage(value),
-        float(bool(CREDENTIAL.search(left))),
+        nearest,
+        together,
+        weights.of_path(path),
         float(bool(ASSIGNED.search(left))),
         float(left[-1:] in "\"'" and right[:1] in "\"'" and bool(left) and bool(right)),
-        float(bool(HARMLESS.search(left))),
         float(bool(KNOWN_PREFIX.match(value))),
         sum(value.count(c) for c in "./-_") / n,
-        float(bool(path and TEST_PATH.search(path))),
     ]
 
 
-def verified(text: str, start: int, end: int) -> bool:
-    """The label of a finding: a provider's prefix, or a credential's name assigned an even-looking value."""
-    value, left = text[start:end], left_context(text, start)
-    varied = len(set(value)) >= min(10, len(value) // 2)
-    named = CREDENTIAL.search(left[-32:]) and ASSIGNED.search(left) and not HARMLESS.search(left[-32:])
-    return bool(varied and (KNOWN_PREFIX.match(value) or named))
-
-
-def made_findings(n: int = 200) -> list[tuple[str, int, int, bool]]:
-    """Labelled findings (text, start, end, label) in known forms, so that both labels always occur."""
-    rng, out = random.Random(SEED), []
-    letters = string.ascii_letters + string.digits
-    forms = (
-        ('token = "{}"', "0123456789abcdef", 40, True),
-        ("api_key: {}", letters, 32, True),
-        ("password='{}'", letters + "_-", 20, True),
-        ("key {}", letters, 36, True),
-        ("checksum sha256 {}", "0123456789abcdef", 64, False),
-        ("commit {}", "0123456789abcdef", 40, False),
-        ("see http://www.{}", "abcdefgh.-/1", 24, False),
-        ("version {}", "0123456789.-ab", 18, False),
-        ("password={}", letters, 20, True),
-        ("export AWS_SECRET_ACCESS_KEY={}", letters, 40, True),
-        ("https://www.a.org/cb?token={}", letters, 32, True),
-        ("BUILD_PATH={}", "abcdefgh.-/1", 24, False),
-    )
-    for i in range(n):
-        form, alphabet, size, label = forms[i % len(forms)]
-        value = "".join(rng.choice(alphabet) for _ in range(size))
-        if i % len(forms) == 3:
-            value = "AKIA" + value.upper()
-        text = form.format(value)
-        at = text.index(value)
-        out.append((text, at, at + len(value), label))
-    return out
+def planted(text: str, rng: random.Random, held: bool = False) -> tuple[str, str, str, str | None, bool] | None:
+    """(value, left, right, path, label) of a made-up finding put between two words of a text.
+
+    None if the finding is no candidate, or the text assigns something there. Secrets and look-alikes are known by
+    how they are made, so no rule that the forest could repeat labels them.
+    """
+    middle = rng.randrange(len(text) + 1)
+    before = re.sub(r"\S*$", "", text[max(0, middle - 400) : middle])
+    after = re.sub(r"^\S*", "", text[middle : middle + 400])
+    if re.search(r"""[=:"'>]\s*$""", before):
+        return None
+    words = [w for w in re.findall(r"[^\W\d_]{3,12}", before + after)] or ["some", "more", "words"]
+    made, start, end, path, label = made_finding(rng, words, held)
+    body, at = before + made + after, len(before)
+    for a, b in candidates(body):
+        if a < at + end and b > at + start:
+            return body[a:b], left_context(body, a), body[b : b + RIGHT_CHARS], path, label
+    return None
 
 
 def text_statistics(docs: DataFrame) -> TextStatistics:
@@ -185,7 +230,7 @@ def text_statistics(docs: DataFrame) -> TextStatistics:
         found: Counter = Counter()
         for batch in batches:
             for text in batch.column("text").to_pylist():
-                found.update(re.findall(r"[^\W\d_]{2,24}", text.lower()) if text else ())
+                found.update(PLAIN_WORD.findall(text.lower()) if text else ())
             if len(found) > TASK_WORDS:
                 yield counted_rows(found)
                 found = Counter()
@@ -205,25 +250,30 @@ def text_statistics(docs: DataFrame) -> TextStatistics:
 
 
 class Forest:
-    """A trained forest as plain trees, to be asked inside Python tasks."""
-
-    def __init__(self, description: str):
-        self.trees = []
-        for block in re.split(r"Tree \d+ \(weight [\d.]+\):\n", description)[1:]:
-            lines = [x for x in block.split("\n") if x.strip()]
-            self.trees.append(self._node(iter(lines)))
-
-    def _node(self, lines: Iterator[str]):
-        line = next(lines).strip()
-        if line.startswith("Predict"):
-            return float(line.split(":")[1])
-        feature, limit = re.match(r"If \(feature (\d+) <= ([-\d.eE]+)\)", line).groups()
-        below = self._node(lines)
-        next(lines)  # the matching Else
-        return int(feature), float(limit), below, self._node(lines)
+    """A trained forest as plain trees, to be asked inside Python tasks.
+
+    The trees come from the model's saved table of nodes.
+    """
+
+    def __init__(self, model: RandomForestClassificationModel, spark: SparkSession):
+        path = f"{shared_folder(spark)}/forest-{uuid.uuid4().hex}"
+        model.save(path)
+        nodes = {(r.treeID, r.nodeData.id): r.nodeData for r in spark.read.parquet(f"{path}/data").collect()}
+        self.trees = [self._node(nodes, tree, 0) for tree in sorted({t for t, _ in nodes})]
+
+    def _node(self, nodes: dict, tree: int, at: int):
+        node = nodes[tree, at]
+        if node.leftChild < 0:
+            return node.impurityStats[1] / sum(node.impurityStats)
+        return (
+            node.split.featureIndex,
+            node.split.leftCategoriesOrThreshold[0],
+            self._node(nodes, tree, node.leftChild),
+            self._node(nodes, tree, node.rightChild),
+        )
 
     def score(self, values: list[float]) -> float:
-        """Share of the trees that take the finding for a secret."""
+        """Mean over the trees of the share of secrets in the leaf, which is the library's probability."""
         total = 0.0
         for node in self.trees:
             while isinstance(node, tuple):
@@ -232,50 +282,110 @@ class Forest:
         return total / max(1, len(self.trees))
 
 
-def train(docs: DataFrame, sample_docs: int = SAMPLE_DOCS) -> tuple[TextStatistics, Forest]:
-    """Text statistics of all documents, and a random forest fitted to findings in about ``sample_docs`` of them.
+Model = tuple[TextStatistics, WordWeights, Forest]
+
 
-    The findings are labelled by :func:`verified`; made-up labelled
-    findings join them. The forest's features
-    share the rule's expressions, so it learns much of the rule itself.
+def labelled_findings(docs: DataFrame, per_document: int, held: bool = False) -> DataFrame:
+    """(value, left, right, path, label): ``per_document`` made-up findings planted in each text of ``docs``.
+
+    What is made depends on the text alone, not on how rows are dealt.
+    """
+
+    def plant(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from xxhash import xxh64_intdigest
+
+        for batch in batches:
+            rows = []
+            for text in batch.column("text").to_pylist():
+                rng = random.Random(xxh64_intdigest((text or "").encode(), SEED + held))
+                rows += filter(None, (planted(text or "", rng, held) for _ in range(per_document)))
+            columns = list(zip(*rows, strict=True)) or [[]] * 5
+            types = [pa.string()] * 4 + [pa.bool_()]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=["value", "left", "right", "path", "label"]
+            )
+
+    return docs.select("text").mapInArrow(plant, "value string, `left` string, `right` string, path string, label boolean")
+
+
+def word_weights(findings: DataFrame) -> WordWeights:
+    """Log odds of the words beside labelled findings, and of the words of their paths."""
+
+    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for left, path, label in zip(*(batch.column(c).to_pylist() for c in ("left", "path", "label")), strict=True):
+                rows += [("beside", w, label) for w in set(split_words(left)[-NEIGHBOURS:])]
+                rows += [("path", w, label) for w in set(split_words(path or ""))]
+            columns = list(zip(*rows, strict=True)) or [[]] * 3
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.string(), pa.bool_()), strict=True)],
+                names=["kind", "word", "label"],
+            )
+
+    counted = (
+        findings.mapInArrow(split, "kind string, word string, label boolean")
+        .groupBy("kind", "word")
+        .agg(F.count_if("label").alias("yes"), F.count_if(~F.col("label")).alias("no"))
+        .where(F.col("yes") + F.col("no") >= LEAST_FINDINGS)
+        .collect()
+    )
+    odds = {(r.kind, r.word): math.log((r.yes + 2) / (r.no + 2)) for r in counted}
+    return WordWeights(*({w: x for (k, w), x in odds.items() if k == kind} for kind in ("beside", "path")))
+
+
+def train(docs: DataFrame, sample_docs: int = SAMPLE_DOCS) -> Model:
+    """Text statistics of all ``docs``, weights of neighbouring words, and a random forest.
+
+    The forest and the weights are fitted to made-up findings planted in about
+    ``sample_docs`` of the texts, at least ``SAMPLE_FINDINGS`` in all: secrets
+    and look-alikes under many names, in many forms and spellings. Their labels
+    come from how they are made. Rows are put in order before the fit, so the
+    forest does not depend on how they are dealt. Without documents the
+    findings stand alone.
     """
     spark = docs.sparkSession
     bounded_batches(spark)
-    share = min(1.0, sample_docs / max(1, docs.count()))
-    place = F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(1 << 20)) / F.lit(float(1 << 20))
-    sample = docs.where(place < share).select("text", "source")
-    stats = text_statistics(docs)
-    shared = spark.sparkContext.broadcast(stats)
-
-    def label(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        stats, rows = shared.value, []
+    n = docs.count()
+    place = F.pmod(F.xxhash64("text", F.lit(3)), F.lit(1 << 20)) / F.lit(float(1 << 20))
+    sample = docs.where(F.col("text").isNotNull() & (place < min(1.0, sample_docs / max(1, n)))).select("text")
+    alone = spark.createDataFrame([(f"{i} ",) for i in range(200)], "text string")
+    each = -(-SAMPLE_FINDINGS // max(1, min(n, sample_docs)))
+    findings = checkpointed(labelled_findings(sample, min(50, each)).unionByName(labelled_findings(alone, 5)))
+    weights, stats = word_weights(findings), text_statistics(docs)
+    shared = spark.sparkContext.broadcast((stats, weights))
+
+    def described(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        stats, weights = shared.value
         for batch in batches:
-            for text, path in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                for a, b in candidates(text or ""):
-                    rows.append((float(verified(text, a, b)), features(text, a, b, path, stats)))
-        yield pa.RecordBatch.from_arrays(
-            [pa.array([r[0] for r in rows], pa.float64()), pa.array([r[1] for r in rows], pa.list_(pa.float64()))],
-            names=["label", "values"],
-        )
+            rows = [features(v, a, b, p, stats, weights) for v, a, b, p in zip(*(c.to_pylist() for c in batch.columns[:4]), strict=True)]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("label").cast(pa.float64()), pa.array(rows, pa.list_(pa.float64()))], names=["label", "values"]
+            )
 
-    schema = "label double, `values` array<double>"
-    made = [(float(y), features(t, a, b, None, stats)) for t, a, b, y in made_findings()]
-    labelled = sample.mapInArrow(label, schema).unionByName(spark.createDataFrame(made, schema))
+    rows = checkpointed(
+        findings.mapInArrow(described, "label double, `values` array<double>")
+        .repartition(1)
+        .sortWithinPartitions("label", "values")
+        .select("label", array_to_vector("values").alias("features"))
+    )
     forest = RandomForestClassifier(
-        numTrees=TREES, maxDepth=DEPTH, seed=SEED, featuresCol="features", labelCol="label"
-    ).fit(labelled.select("label", array_to_vector("values").alias("features")))
-    return stats, Forest(forest.toDebugString)
+        numTrees=TREES, maxDepth=DEPTH, seed=SEED, featureSubsetStrategy="0.5", featuresCol="features", labelCol="label"
+    ).fit(rows)
+    return stats, weights, Forest(forest, spark)
 
 
-def scan(df: DataFrame, model: tuple[TextStatistics, Forest], text: str = "text", path: str = "source") -> DataFrame:
+def scan(df: DataFrame, model: Model, text: str = "text", path: str = "source") -> DataFrame:
     """``df`` with ``n_candidates``, ``secrets`` (struct(start, end, value, score)) and ``redacted``.
 
     Candidates are runs of 16 or more key characters with a letter and a
-    digit, and private key blocks, which count at once. A candidate is a
-    secret if the forest gives it at least 0.5. ``redacted`` is the text with
-    every secret as ``<SECRET>``. Null text has none and stays null. Row-local;
-    repeated rows stay, columns of the added names are replaced; very long runs
-    take linear time.
+    digit, and private key blocks, which count at once; what of a run lies in a
+    block is cut off. A candidate is a secret if the forest gives it at least
+    0.5. ``redacted`` is the text with every secret as ``<SECRET>``. Spans stand
+    by start and do not overlap. Null text has none and stays null, an empty
+    table gives none; a null path counts as unknown. Row-local; repeated rows
+    stay and get the same result, columns of the added names are replaced;
+    very long runs and unfinished key blocks take linear time.
     """
     spark = df.sparkSession
     bounded_batches(spark)
@@ -303,19 +413,18 @@ def scan(df: DataFrame, model: tuple[TextStatistics, Forest], text: str = "text"
     at, path_at = df.columns.index(text), df.columns.index(path) if path in df.columns else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        stats, forest = shared.value
+        stats, weights, forest = shared.value
         for batch in batches:
             texts = batch.column(at).to_pylist()
             paths = batch.column(path_at).to_pylist() if path_at is not None else [None] * len(texts)
             seen, found, clean = [], [], []
             for body, where in zip(texts, paths, strict=True):
-                blocks = [(m.start(), m.end()) for m in PRIVATE_KEY.finditer(body)] if body and "-----BEGIN" in body else []
-                proposed = [
-                    (a, b) for a, b in candidates(body or "") if not any(x <= a < y for x, y in blocks)
-                ]
+                blocks = key_blocks(body or "")
+                proposed = list(candidates(body or "", blocks))
                 kept = [(a, b, 1.0) for a, b in blocks]
                 for a, b in proposed:
-                    score = forest.score(features(body, a, b, where, stats))
+                    left, right = left_context(body, a), body[b : b + RIGHT_CHARS]
+                    score = forest.score(features(body[a:b], left, right, where, stats, weights))
                     if score >= THRESHOLD:
                         kept.append((a, b, score))
                 kept.sort()
