@@ -97,10 +97,13 @@ class ByteBpe:
         self.spines: dict[int, tuple] = {}
         self.pairs: dict[int, bool] = {}
         self.automaton = ahocorasick.Automaton()
-        for i, content in self.token_bytes.items():
-            if i not in self.special.values() and self._token_holds(i):
-                self.automaton.add_word(content.decode("latin-1"), (i, len(content)))
+        plain = [i for i in self.token_bytes if i not in self.special.values()]
+        held = list(filter(self._token_holds, plain))
+        for i in held:
+            self.automaton.add_word(self.token_bytes[i].decode("latin-1"), (i, self.sizes[i]))
         self.automaton.make_automaton()
+        #: If ids alone tell which merge comes first, and every token is what its own bytes are encoded as.
+        self.ids_are_ranks = len(held) == len(plain) and list(self.parts) == sorted(self.parts) and len(self.parts) + 256 == len(plain)
         self.piece_ids = Generations(lambda piece: self._packed(self.encode_piece(piece.encode())))
         self.chunk_ids = Generations(lambda chunk: b"".join(self._by_piece(" " + chunk)))
 

@@ -8,6 +8,8 @@ executors by their rank among pieces of the same length.
 
 from __future__ import annotations
 
+import functools
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -17,11 +19,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .bpe import byte_bpe
+from .bpe import PIECE_PATTERN, byte_bpe
 from .common import bounded_batches, checkpointed, shuffle_partitions, table
 
 SEQUENCE_TOKENS = 2048
 END_ID = 0
+#: White space of so many characters in a row is left to the exact encoder.
+LONG_RUN = 20_000
 
 
 class Capacities:
@@ -101,11 +105,41 @@ def best_fit_decreasing(counts: dict[int, int], capacity: int) -> pd.DataFrame:
     return pd.DataFrame(rows, columns=["length", "rank", "bins", "first_bin", "per_bin", "offset"], dtype="int64")
 
 
+class Encoder:
+    """Ids of a byte-level vocabulary file, by ``tiktoken`` where that is proven equal, else by :class:`ByteBpe`.
+
+    ``tiktoken`` merges by ids alone. Where ids stand in merge order and every
+    token is what its own bytes are encoded as, any two neighbours that form a
+    token are that token's own merge, so both give the same ids; the vocabulary
+    is tested for that at load. Its pattern engine gives up on white space of
+    about a million characters, so texts with long runs go to ``ByteBpe``.
+    """
+
+    def __init__(self, path: str):
+        import tiktoken
+
+        self.exact = byte_bpe(path)
+        self.quick = None
+        if self.exact.ids_are_ranks:
+            special = self.exact.special
+            ranks = {b: i for i, b in self.exact.token_bytes.items() if i not in special.values()}
+            self.quick = tiktoken.Encoding("packing", pat_str=PIECE_PATTERN, mergeable_ranks=ranks, special_tokens=special)
+
+    def encode(self, text: str) -> np.ndarray:
+        if self.quick is None or len(text) > LONG_RUN and re.search(rf"\s{{{LONG_RUN}}}", text):
+            return self.exact.encode(text)
+        return self.quick.encode_to_numpy(text, allowed_special="all")
+
+
+@functools.lru_cache(maxsize=2)
+def _encoder(path: str) -> Encoder:
+    return Encoder(path)
+
+
 def token_pieces(df: DataFrame, path: str, capacity: int = SEQUENCE_TOKENS) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32) of every document's ids with id 0 at the end.
 
-    The ids are those of :func:`~geolith.llm.bpe.encode`, in time linear in the
-    text whatever it holds. ``path`` names a vocabulary file that every executor can read.
+    The ids are those of :func:`~geolith.llm.bpe.encode`, whatever a text holds. ``path`` names a vocabulary file that every executor can read.
     Documents longer than ``capacity`` are cut so that all pieces but the first
     have that length. Null text counts as empty, which leaves one piece of one
     token. The pieces are checkpointed, as dealing them by range reads them twice.
@@ -113,7 +147,7 @@ def token_pieces(df: DataFrame, path: str, capacity: int = SEQUENCE_TOKENS) -> D
     bounded_batches(df.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = byte_bpe(path)
+        model = _encoder(path)
         for batch in batches:
             owner, pieces = [], []
             for row, text in enumerate(batch.column("text").to_pylist()):

@@ -1,5 +1,6 @@
 import bisect
 import hashlib
+import json
 import random
 import zlib
 
@@ -11,7 +12,7 @@ from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
 from geolith.llm.bpe import ByteBpe, Generations, encode, op4_bpe
-from geolith.llm.packing import Capacities, best_fit_decreasing, op7_packing, pack
+from geolith.llm.packing import Capacities, Encoder, best_fit_decreasing, op7_packing, pack
 
 from .helpers import as_table, documents
 
@@ -74,6 +75,29 @@ def test_very_long_runs_equal_the_library(model, library):
         assert model.encode(text).tolist() == library.encode(text, add_special_tokens=False).ids
 
 
+def test_quick_and_exact_encoder_agree(model, library):
+    encoder = Encoder(PATH)
+    assert encoder.quick is not None and model.ids_are_ranks
+    rng = random.Random(8)
+    texts = [*MILLIONS, " " * 19_999, " " * 19_999 + "x", "\n" * 20_000, "a" * 300_000, "é" * 100_000, "7" * 300_000, "!" * 300_000]
+    texts += ["".join(rng.choice(["the", " ", "  ", "\n", "é", "東", "12", "'s", "qz", "<|endoftext|>", "\x85"]) for _ in range(50)) for _ in range(500)]
+    for text in texts:
+        assert encoder.encode(text).tolist() == library.encode(text, add_special_tokens=False).ids
+
+
+def test_a_vocabulary_whose_ids_are_no_ranks_goes_to_the_exact_encoder(tmp_path):
+    spec = json.load(open(PATH, encoding="utf-8"))
+    vocab, merges = spec["model"]["vocab"], spec["model"]["merges"]
+    first, last = ("".join(merges[i].split(" ") if isinstance(merges[i], str) else merges[i]) for i in (5, 900))
+    vocab[first], vocab[last] = vocab[last], vocab[first]
+    path = tmp_path / "swapped.json"
+    path.write_text(json.dumps(spec))
+    encoder, other = Encoder(str(path)), Tokenizer.from_file(str(path))
+    assert encoder.quick is None
+    for text in TEXTS:
+        assert encoder.encode(text or "").tolist() == other.encode(text or "", add_special_tokens=False).ids
+
+
 def test_caches_are_bounded_by_bytes():
     made = []
     kept = Generations(lambda k: made.append(k) or k.encode(), 1000)
