@@ -62,3 +62,24 @@ def test_simhash_groups_keep_rows_with_null_and_repeated_ids(spark):
     rows = [(i, t, "en", "s", 1) for i, t in zip([None, None, 3, 3, None, 4], texts, strict=True)]
     out = simhash.drop_near_duplicates(spark.createDataFrame([*rows, rows[1], rows[2]], DOCS)).collect()
     assert sorted(map(str, (r.text for r in out))) == sorted(map(str, texts))
+
+
+def test_a_passage_in_many_documents_costs_no_pair_and_no_link(spark):
+    rng = random.Random(5)
+    passage = [f"p{i}" for i in range(60)]
+    texts = [" ".join([*passage, *(f"w{rng.randrange(10**6)}" for _ in range(40))]) for _ in range(300)]
+    texts += [texts[i] + " tail" for i in range(0, 300, 30)]
+    docs = documents(spark, texts)
+    keys, counts = jaccard.frequent_shingles(docs)
+    assert len(keys) >= 56 and sorted(counts)[-56] > 250
+    assert set(keys.tolist()) >= set(jaccard.shingles(" ".join(passage)).tolist())
+    some = jaccard.shingles(texts[0])
+    first = jaccard.prefix(some, keys, counts)
+    assert len(first) == len(some) // 5 + 1 and not set(first.tolist()) & set(jaccard.shingles(" ".join(passage)).tolist())
+    assert sorted(r.doc_id for r in jaccard.drop_near_duplicates(docs).collect()) == list(range(300))
+
+
+def test_simhash_of_a_set_is_the_operators_bits(spark):
+    some = jaccard.shingles("a b c d e f g h i j")
+    bits = [sum(int(h) % 2**64 >> b & 1 for h in some) * 2 > len(some) for b in range(64)]
+    assert jaccard.simhash(some) % 2**64 == sum(1 << b for b, x in enumerate(bits) if x)

@@ -1,10 +1,12 @@
 import corpus_pipeline
 from geolith.llm import langid, secrets
 from geolith.llm.common import table
-from geolith.llm.simhash import fingerprint
 from tokenizers import Tokenizer
 import public_tokenizers
 
+from .test_dedup import roots
+from .test_near_dedup import plain_shingles
+
 
 def test_every_stage_keeps_the_columns_and_works_on_what_is_left(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
@@ -32,15 +34,13 @@ def test_run_equals_the_steps_in_plain_python(spark, sf_dir):
     texts = {
         d: "\n".join(x for x in t.split("\n") if d >= gone.get(x.strip(strip).translate(lower), d)) for d, t in texts.items()
     }
-    prints, kept, group = {d: fingerprint(t) for d, t in texts.items()}, {}, {}
-    for d in sorted(prints):
-        near = [e for e in group if (prints[d] ^ prints[e]).bit_count() <= 3]
-        names = {group[e] for e in near}
-        group[d] = min(names, default=d)
-        for e in group:
-            if group[e] in names:
-                group[e] = group[d]
-    kept = {d: texts[d] for d in texts if group[d] == d}
+    order = sorted(texts)
+    sets = {d: plain_shingles(texts[d]) for d in order}
+    linked = [
+        (a, b) for i, a in enumerate(order) for b in order[i + 1 :]
+        if 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b])
+    ]
+    kept = {d: texts[d] for d, root in roots(order, linked).items() if d == root}
     library = Tokenizer.from_file(public_tokenizers.path(corpus_pipeline.VOCABULARY))
     found = corpus_pipeline.run(spark, sf_dir).toPandas()
     assert set(found["doc_id"]) == set(kept)
