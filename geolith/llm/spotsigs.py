@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import bounded_batches, shuffle_partitions, table
+from .common import bounded_batches, checkpointed, shuffle_partitions, table
 
 # Common words that serve as anchors.
 COMMON_WORDS = """
@@ -29,7 +29,7 @@ muy sin sobre también me hasta hay donde quien desde todo nos
 """
 #: Words of an anchor's chain.
 CHAIN_WORDS = 2
-#: One word in so many, by its hash, is an anchor too, so that texts without common words have signatures.
+#: In a text without common words, its first word and one word in so many, by hash, stand in for them.
 HASHED_ANCHORS = 8
 
 _BREAKS = bytes(b if b >= 128 or chr(b).isalnum() else 32 for b in range(256))
@@ -44,9 +44,10 @@ def _common() -> frozenset[bytes]:
 def signatures(text: str | None) -> np.ndarray:
     """A text's set of signatures: sorted distinct 32-bit hashes.
 
-    An anchor is a common word, one word in eight by hash, or the first word;
-    its signature is the anchor with the next two words after it that are not
-    common. A text without words has one signature, the hash of itself.
+    An anchor is a common word; its signature is the anchor with the next two
+    words after it that are not common. Only a text without common words has
+    other anchors: its first word and one word in eight, by hash. A text
+    without words has one signature, the hash of itself.
     """
     from xxhash import xxh3_64_intdigest
 
@@ -57,8 +58,10 @@ def signatures(text: str | None) -> np.ndarray:
     n = len(words)
     hashes = np.fromiter(map(xxh3_64_intdigest, words), np.uint64, n)
     common = np.fromiter(map(_common().__contains__, words), bool, n)
-    anchors = common | (hashes % np.uint64(HASHED_ANCHORS) == 0)
-    anchors[0] = True
+    anchors = common
+    if not common.any():
+        anchors = hashes % np.uint64(HASHED_ANCHORS) == 0
+        anchors[0] = True
     at = np.flatnonzero(anchors)
     content = np.append(hashes[~common], np.zeros(CHAIN_WORDS, np.uint64))
     after = np.searchsorted(np.flatnonzero(~common), at, side="right")
@@ -105,10 +108,17 @@ def near_duplicates(df: DataFrame, threshold: float = 0.8) -> tuple[DataFrame, D
     one, and meet there through one of their first signatures in order of rising
     document frequency: two sets as alike as ``threshold`` share one of the first
     ``n - ceil(threshold * n) + 1``. Lengths and the pair's overlap decide.
+    The signature sets are checkpointed, as several joins read them.
     """
     sets = with_signatures(df.select("doc_id", "text")).drop("text")
-    classes = sets.groupBy("signatures").agg(F.min("doc_id").alias("class_id"))
-    members = sets.join(classes, "signatures").select("doc_id", "class_id")
+    named = checkpointed(
+        sets.select("doc_id", "signatures", F.sha2(F.array_join(F.col("signatures").cast("array<string>"), ","), 256).alias("set"))
+    )
+    least = named.groupBy("set").agg(F.min("doc_id").alias("class_id"))
+    members = named.join(least, "set").select("doc_id", "class_id")
+    classes = checkpointed(
+        named.join(least, "set").where(F.col("doc_id") == F.col("class_id")).select("class_id", "signatures", "set").dropDuplicates(["set"])
+    ).drop("set")
 
     size = F.size("signatures")
     each = classes.select("class_id", size.alias("n"), F.explode("signatures").alias("s"))
@@ -145,58 +155,89 @@ def _in_id_order(df: DataFrame) -> DataFrame:
 
     Gives doc_id, ``packed`` (the text in UTF-8 under Zstandard, which halves
     what the shuffle writes), ``range`` and ``tail``; partitions come sorted by range,
-    tail, doc_id (falling, nulls last) and packed text. Range borders are approximate quantiles, so
-    ranges are even; each range's first id reaches the driver, one number per
-    range. The last range ends with the very first row.
+    tail, doc_id (falling, nulls last), text hash and packed text. Range borders
+    are approximate quantiles, so ranges are even; rows without id stand in
+    ranges of their text's hash. Each range's border and first row's key reach the
+    driver, two numbers a range, and tasks look borders up by bisection. The
+    last range ends with the very first row.
     """
     spark = df.sparkSession
     ranges = 2 * shuffle_partitions(spark)
-    cuts = df.agg(F.percentile_approx("doc_id", [i / ranges for i in range(1, ranges)], 100 * ranges)).first()[0]
-    cuts = sorted(set(cuts or []))
-    own = F.when(F.col("doc_id").isNull(), F.lit(len(cuts) + 1)).otherwise(
-        F.size(F.filter(F.array(*map(F.lit, cuts)).cast("array<long>"), lambda c: c >= F.col("doc_id")))
-    )
+    cuts, n, known = df.agg(
+        F.percentile_approx("doc_id", [i / ranges for i in range(1, ranges)], 10 * ranges), F.count("*"), F.count("doc_id")
+    ).first()
+    borders = np.array(sorted(set(cuts or [])), np.int64)
+    unnamed = max(1, round(ranges * (n - known) / max(1, n)))  # ranges of rows without id
+    width = -(-(1 << 64) // unnamed)
+
+    def places(ids: pa.Array, hashes: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Each row's range, and its key there: what sorts rows of a range, least first."""
+        null = ids.is_null().to_numpy(zero_copy_only=False)
+        own = ids.fill_null(0).to_numpy(zero_copy_only=False)
+        hashed = hashes.to_numpy(zero_copy_only=False)
+        at = len(borders) - np.searchsorted(borders, own, side="left")
+        later = len(borders) + 1 + np.array([(int(h) + (1 << 63)) // width for h in hashed[null]], np.int64)
+        at[null] = later
+        return at, np.where(null, hashed, ~own)
+
+    def first_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at, key = places(batch.column("doc_id"), batch.column("hash"))
+            yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(key)], names=["range", "key"])
+
+    hashed = df.select("doc_id", "text", F.xxhash64("text").alias("hash"))
     firsts = sorted(
-        (r["own"], r["first"]) for r in df.groupBy(own.alias("own")).agg(F.max("doc_id").alias("first")).collect()
+        (r["range"], r["key"])
+        for r in hashed.select("doc_id", "hash")
+        .mapInArrow(first_keys, "range long, key long")
+        .groupBy("range")
+        .agg(F.min("key").alias("key"))
+        .collect()
     )
-    # A range's first row, if its id is one of the borders, goes to the end of the range before too.
-    known = F.array(*(F.lit(first) for _, first in firsts)).cast("array<long>")
-    before = F.array(*(F.lit(firsts[i - 1][0]) for i in range(len(firsts)))).cast("array<int>")
-    border = F.when(F.col("doc_id").isNull(), F.lit(len(firsts))).otherwise(F.array_position(known, F.col("doc_id")))
-    is_first = F.when(F.col("doc_id").isNull(), F.lit(any(f is None for _, f in firsts))).otherwise(border > 0)
-    targets = F.array(
-        F.struct(F.col("own").alias("range"), F.lit(False).alias("tail")),
-        F.when(is_first, F.struct(F.get(before, border.cast("int") - 1).alias("range"), F.lit(True).alias("tail"))),
+    shared = spark.sparkContext.broadcast(
+        {of: (key, firsts[i - 1][0]) for i, (of, key) in enumerate(firsts)}  # the first range's row ends the last one
     )
 
-    def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard
 
-        compressor = zstandard.ZstdCompressor(level=3)
+        compressor, begin = zstandard.ZstdCompressor(level=3), shared.value
         for batch in batches:
+            at, key = places(batch.column("doc_id"), batch.column("hash"))
             texts = [compressor.compress((x or "").encode()) for x in batch.column("text").to_pylist()]
+            # A range's first row stands at the end of the range before too.
+            again = [i for i, (r, k) in enumerate(zip(at.tolist(), key.tolist(), strict=True)) if begin[r][0] == k]
+            rows = pa.array([*range(len(at)), *again], pa.int64())
+            to = [*at.tolist(), *(begin[at[i]][1] for i in again)]
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(texts, pa.binary())], names=["doc_id", "packed"]
-            )
+                [
+                    batch.column("doc_id").take(rows), batch.column("hash").take(rows), pa.array(texts, pa.binary()).take(rows),
+                    pa.array(to, pa.int64()), pa.array([False] * len(at) + [True] * len(again)),
+                ],
+                names=["doc_id", "hash", "packed", "range", "tail"],
+            )
 
     return (
-        df.mapInArrow(packed, "doc_id long, packed binary")
-        .select("doc_id", "packed", own.alias("own"))
-        .select("doc_id", "packed", F.explode(F.array_compact(targets)).alias("to"))
-        .select("doc_id", "packed", "to.range", "to.tail")
+        hashed.mapInArrow(dealt, "doc_id long, hash long, packed binary, range long, tail boolean")
         .repartition(shuffle_partitions(spark), "range")
-        .sortWithinPartitions("range", "tail", F.desc_nulls_last("doc_id"), "packed")
+        .sortWithinPartitions("range", "tail", F.desc_nulls_last("doc_id"), F.when(F.col("doc_id").isNull(), F.col("hash")), "packed")
+        .drop("hash")
     )
 
 
 def fingerprint_edits(df: DataFrame) -> DataFrame:
     """Fingerprints of every text and of its edit with the next document's beginning.
 
-    The next document is that of the next smaller doc_id (ties by packed text,
-    null ids last), after the last the first. The edit replaces the last half of a text
+    The next document is that of the next smaller doc_id (ties by packed text;
+    null ids last, by a hash of their text), after the last the first. The edit replaces the last half of a text
     (rounded down, code points) by as many first ones of the next text, or all.
-    Null text counts as empty; rows stay as they are, repeated ones included.
-    Texts are shuffled once, into ranges of ids that are read as streams.
+    Null text counts as empty; rows stay as they are, repeated ones included,
+    an empty table gives none, and a single row is its own next. Rows of one id
+    stand in one range. Texts are shuffled once, into ranges of ids that
+    are read as streams; very long texts cost memory in proportion.
+
+    The likeness of each given pair is the result, so its comparison has no
+    floor to prune by; :func:`near_duplicates` searches all pairs by length class and floor.
     """
     bounded_batches(df.sparkSession)
     schema = (
@@ -243,5 +284,12 @@ def fingerprint_edits(df: DataFrame) -> DataFrame:
     return _in_id_order(df.select(F.col("doc_id").cast("long"), "text")).mapInArrow(run, schema)
 
 
+def spotsigs_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, class_id, n_near): each document's class of equal signatures and how many other classes are near it."""
+    members, pairs = near_duplicates(table(spark, sf_dir, "documents"))
+    ends = pairs.select(F.explode(F.array("a", "b")).alias("class_id")).groupBy("class_id").agg(F.count("*").alias("n_near"))
+    return members.join(ends, "class_id", "left").select("doc_id", "class_id", F.coalesce("n_near", F.lit(0)).alias("n_near"))
+
+
 def op10_spotsigs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint_edits(table(spark, sf_dir, "documents"))

@@ -4,9 +4,10 @@ import time
 
 import duckdb
 import numpy as np
+from pyspark.sql import functions as F
 
 from geolith.llm.chat import OP6_SQL, PART_TYPE, format_conversations, op6_chat, read_back
-from geolith.llm.spotsigs import near_duplicates, op10_spotsigs, pruned_jaccard, signatures
+from geolith.llm.spotsigs import near_duplicates, op10_spotsigs, pruned_jaccard, signatures, spotsigs_classes
 from geolith.llm.topk import op9_topk
 
 from .helpers import as_table, documents
@@ -141,6 +142,31 @@ def test_edits_of_repeated_and_null_ids(spark, tmp_path):
     assert op10_spotsigs(spark, as_table(docs.union(docs).union(nulls), tmp_path)).count() == 42
 
 
+def test_rows_without_id_stand_in_ranges_of_their_hash(spark, tmp_path):
+    rng = random.Random(3)
+    texts = [" ".join(rng.choice("the of a tree house green".split()) for _ in range(rng.randrange(5, 40))) + f" {i}" for i in range(150)]
+    docs = documents(spark, [*texts, "the sea " * 300_000]).withColumn("doc_id", F.when(F.col("doc_id") % 3 > 0, F.col("doc_id")))
+    order = [(r.doc_id, r.text) for r in docs.orderBy(F.desc_nulls_last("doc_id"), F.xxhash64("text")).collect()]
+    expected = []
+    for (doc_id, text), (_, after) in zip(order, [*order[1:], order[0]], strict=True):
+        half = len(text) // 2
+        expected.append((doc_id or -1, hashlib.sha256((text[: len(text) - half] + after[:half]).encode()).hexdigest()))
+    found = op10_spotsigs(spark, as_table(docs, tmp_path)).collect()
+    assert sorted((r.doc_id or -1, r.edited_sha256) for r in found) == sorted(expected)
+
+
+def test_only_common_words_are_anchors_where_there_are_some():
+    assert len(signatures("the green tree stands and falls")) == 2
+    assert len(signatures("green tree")) >= 1 and len(signatures("")) == 1
+    assert signatures("The  green, tree").tolist() == signatures("the green tree").tolist()
+
+
+def test_classes_query(spark, tmp_path):
+    texts = ["the green tree of a house and the sea", "the green tree of a house and the sea", "quite another text", None]
+    rows = {r.doc_id: (r.class_id, r.n_near) for r in spotsigs_classes(spark, as_table(documents(spark, texts), tmp_path)).collect()}
+    assert rows == {0: (0, 0), 1: (0, 0), 2: (2, 0), 3: (3, 0)}
+
+
 def test_pruning_by_size():
     a, b = np.arange(10, dtype=np.uint32), np.arange(5, dtype=np.uint32)
     assert pruned_jaccard(a, b) == 0.5 and pruned_jaccard(a, b, 0.6) == 0.0
