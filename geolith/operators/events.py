@@ -7,6 +7,7 @@ actor codes stay the string "NAN", which grouping treats as a value and partner
 from __future__ import annotations
 
 from pyspark.ml.clustering import KMeans
+from pyspark.ml.evaluation import ClusteringEvaluator
 from pyspark.ml.feature import StandardScaler, VectorAssembler
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -271,64 +272,67 @@ def kmeans_themes(prepared: DataFrame, k: int = 4, seed: int = 42) -> DataFrame:
     return placed.join(F.broadcast(names), "cluster").select("event_id", "cluster", "cluster_theme")
 
 
-CLUSTER_SAMPLE, SHUFFLES, SEEDS = 2000, 5, 5
+SHUFFLES, SEEDS, LEAST_EVENTS = 2, 3, 10
+CLUSTER_COUNTS = range(2, 7)
 
 
-def cluster_quality(prepared: DataFrame, k: int = 4) -> dict:
-    """Silhouette of the k-means themes, that of shuffled data, agreement over seeds, and a verdict.
+def rand_index(both: DataFrame, a: str, b: str) -> float:
+    """Adjusted Rand index of two labellings, from the counts of their pairs of labels."""
+    pair = F.col("count") * (F.col("count") - 1) / 2
+    cells = both.groupBy(a, b).count()
+
+    def pairs(df: DataFrame) -> float:
+        return df.agg(F.coalesce(F.sum(pair), F.lit(0.0))).first()[0]
+
+    same, left, right = pairs(cells), pairs(both.groupBy(a).count()), pairs(both.groupBy(b).count())
+    n = both.count()
+    chance = left * right / (n * (n - 1) / 2) if n > 1 else 0.0
+    return (same - chance) / ((left + right) / 2 - chance) if (left + right) / 2 != chance else 1.0
 
-    Measured on at most 2,000 events, taken by hash of their id; under ten
-    events, or without variation, there is a reason instead of a figure.
-    """
-    import numpy as np
 
-    rows = prepared.where("goldstein IS NOT NULL").orderBy(F.xxhash64("event_id")).limit(CLUSTER_SAMPLE)
-    x = rows.select(F.col("root").cast("double"), "goldstein").toPandas().to_numpy(float)
-    if len(x) < 10:
+def cluster_quality(prepared: DataFrame, k: int = 4, seed: int = 42) -> dict:
+    """Silhouette of the k-means themes over all events, that of shuffled labels, agreement over seeds, the best k.
+
+    The silhouette is the library's, with squared distances. Shuffled labels
+    have the clusters' sizes; agreement is the adjusted Rand index with the labels
+    of other seeds. Under ten events, or without variation, there is a reason
+    instead of figures. Fits and scores are the library's, on all rows; the
+    driver sees sums.
+    """
+    rows = prepared.where("goldstein IS NOT NULL").select(F.col("root").cast("double").alias("root_n"), "goldstein")
+    n, different = rows.agg(F.count("*"), F.count_distinct("root_n", "goldstein")).first()
+    if n < LEAST_EVENTS:
         return {"reason": "under ten events"}
-    if (x.std(axis=0) == 0).all() or len(np.unique(x, axis=0)) <= k:
+    if different <= max(k, *CLUSTER_COUNTS):
         return {"reason": "no variation"}
-    x = (x - x.mean(axis=0)) / np.where(x.std(axis=0) > 0, x.std(axis=0), 1)
-
-    def lloyd(points, seed):
-        rng = np.random.default_rng(seed)
-        centres = points[rng.choice(len(points), k, replace=False)]
-        for _ in range(50):
-            label = np.square(points[:, None] - centres[None]).sum(axis=2).argmin(axis=1)
-            centres = np.array([points[label == i].mean(axis=0) if (label == i).any() else centres[i] for i in range(k)])
-        return label
-
-    def silhouette(points, label):
-        apart = np.sqrt(np.square(points[:, None] - points[None]).sum(axis=2))
-        sizes = np.array([(label == i).sum() for i in range(k)])
-        sums = np.stack([apart[:, label == i].sum(axis=1) for i in range(k)], axis=1)
-        own = sizes[label]
-        inside = sums[np.arange(len(points)), label] / np.maximum(own - 1, 1)
-        others = np.where(sizes > 0, sums / np.maximum(sizes, 1), np.inf)
-        others[np.arange(len(points)), label] = np.inf
-        outside = others.min(axis=1)
-        return float(np.where(own > 1, (outside - inside) / np.maximum(np.maximum(outside, inside), 1e-12), 0).mean())
-
-    def agreement(a, b):
-        table = np.zeros((k, k))
-        np.add.at(table, (a, b), 1)
-
-        def pairs(n):
-            return n * (n - 1) / 2
-
-        both, left, right = pairs(table).sum(), pairs(table.sum(axis=1)).sum(), pairs(table.sum(axis=0)).sum()
-        chance = left * right / pairs(len(a))
-        return float((both - chance) / ((left + right) / 2 - chance)) if (left + right) / 2 != chance else 1.0
-
-    labels = [lloyd(x, s) for s in range(SEEDS)]
-    rng, nulls = np.random.default_rng(0), []
-    for _ in range(SHUFFLES):
-        mixed = np.stack([rng.permutation(c) for c in x.T], axis=1)
-        nulls.append(silhouette(mixed, lloyd(mixed, 0)))
-    value, null = silhouette(x, labels[0]), float(np.mean(nulls))
+    vectors = VectorAssembler(inputCols=["root_n", "goldstein"], outputCol="raw").transform(rows)
+    scaled = StandardScaler(inputCol="raw", outputCol="features", withMean=True).fit(vectors).transform(vectors).select("features").persist()
+
+    def labelled(count: int, seed_: int, name: str = "cluster") -> DataFrame:
+        return KMeans(k=count, seed=seed_, predictionCol=name).fit(scaled)
+
+    def silhouette(df: DataFrame, name: str = "cluster") -> float:
+        return ClusteringEvaluator(predictionCol=name).evaluate(df)
+
+    own = labelled(k, seed)
+    placed = own.transform(scaled)
+    sizes = [r["count"] for r in placed.groupBy("cluster").count().orderBy("cluster").collect()]
+    bounds = [sum(sizes[: i + 1]) / sum(sizes) for i in range(len(sizes))]
+
+    def shuffled(s: int) -> DataFrame:
+        at = F.rand(s)
+        return scaled.withColumn("at", at).withColumn(
+            "cluster", sum((F.col("at") > b).cast("int") for b in bounds[:-1]) if len(bounds) > 1 else F.lit(0)
+        )
+
+    value = silhouette(placed)
+    null = sum(silhouette(shuffled(s)) for s in range(SHUFFLES)) / SHUFFLES
+    stability = sum(rand_index(labelled(k, seed + s, "other").transform(placed), "cluster", "other") for s in range(1, SEEDS + 1)) / SEEDS
+    sweep = {count: value if count == k else silhouette(labelled(count, seed).transform(scaled)) for count in CLUSTER_COUNTS}
+    scaled.unpersist()
     bands = ((0.5, "strong"), (0.25, "reasonable"), (0.1, "weak"))
     return {
-        "silhouette": value, "null": null,
-        "stability": float(np.mean([agreement(labels[0], b) for b in labels[1:]])),
+        "silhouette": value, "null": null, "stability": stability,
         "label": next((n for limit, n in bands if value >= limit), "none"), "weak": value < 0.1 or value <= null,
-    }
+        "best_k": max(sweep, key=lambda c: (sweep[c], -c)),
+    } | {f"silhouette_{c}": v for c, v in sweep.items()}

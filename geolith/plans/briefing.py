@@ -80,6 +80,11 @@ def fusion_invalid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fusion.invalid_insights(rows).groupBy("problem").agg(F.count("*").alias("n"))
 
 
+FUSION_INVALID_SQL = FUSION_FINDINGS_SQL.split(", f AS (")[0].split("),\nf AS (")[0] + """)
+SELECT 'confidence outside 0..1' AS problem, count(*) AS n FROM i WHERE 2 * conf > 1 HAVING count(*) > 0
+"""
+
+
 def question_plans(spark: SparkSession, sf_dir: str) -> DataFrame:
     asked = table(spark, sf_dir, "conversations").where("role = 'user'").select(
         F.concat_ws("-", F.col("conv_id").cast("string"), F.col("turn").cast("string")).alias("id"), "text"
@@ -97,6 +102,16 @@ def question_rewrites(spark: SparkSession, sf_dir: str) -> DataFrame:
     return asked.select("conv_id", "turn", F.length(plain).alias("chars"), (plain != F.coalesce("text", F.lit(""))).alias("changed"))
 
 
+QUESTION_REWRITES_SQL = r"""
+WITH a AS (SELECT conv_id, turn, coalesce(text, '') AS t FROM conversations WHERE role = 'user'),
+b AS (SELECT *, regexp_replace(regexp_replace(t, '\bu\.?s\.?a?\.?(\W|$)', 'United States\1', 'gi'), '\buk\b', 'United Kingdom', 'gi') AS x FROM a),
+c AS (SELECT *, regexp_replace(regexp_replace(regexp_replace(x, '\bper ?cent\b', '%', 'gi'), '\bhalf\b', '50%', 'gi'), '\btop ten\b', 'top 10', 'gi') AS y FROM b),
+d AS (SELECT *, regexp_replace(regexp_replace(regexp_replace(y, '\btop five\b', 'top 5', 'gi'), '\btop three\b', 'top 3', 'gi'), '\bwhat happens if\b', 'shock:', 'gi') AS z FROM c),
+e AS (SELECT *, trim(regexp_replace(z, '[ \t\n\x0B\f\r]+', ' ', 'g'), ' ') AS plain FROM d)
+SELECT conv_id, turn, length(plain)::INTEGER AS chars, plain <> t AS changed FROM e
+"""
+
+
 def stream_daily(spark: SparkSession, sf_dir: str) -> DataFrame:
     daily = stream.tumbling(table(spark, sf_dir, "events"))
     return _rounded(daily.select(F.date_format("window_start", "yyyy-MM-dd").alias("day"), "event_type", "n", "total", "largest"), 4)

@@ -141,12 +141,12 @@ FROM r GROUP BY 1
 
 
 def events_actor_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _rounded(events.actor_network(gdelt(spark, sf_dir), 10)[1])
+    return _rounded(events.actor_network(gdelt(spark, sf_dir))[1])
 
 
 EVENTS_ACTOR_EDGES_SQL = f"""
 WITH {GDELT_SQL}, top AS (
-    SELECT actor FROM (SELECT a1 AS actor FROM gdelt UNION ALL SELECT a2 FROM gdelt) GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 10
+    SELECT actor FROM (SELECT a1 AS actor FROM gdelt UNION ALL SELECT a2 FROM gdelt) GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 50
 )
 SELECT least(a1, a2) AS source, greatest(a1, a2) AS target, count(*) AS n, round(avg(goldstein), 6) AS mean_goldstein,
        array_to_string(list_slice(list_sort(list_distinct(list({_sql_case("event_code")}))), 1, 3), ', ') AS types

@@ -89,7 +89,7 @@ def events_cluster_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def fusion_shock_camps(spark: SparkSession, sf_dir: str) -> DataFrame:
     edge = trade.edges(trade_flows(spark, sf_dir).where("year = 2000"))
-    impacts = trade.shock(edge, "NATION_3").select(F.col("country").alias("entity_iso3"), F.round("impact", 9).alias("impact"))
+    impacts = trade.shock(edge, "NATION_3").select(F.col("country").alias("entity_iso3"), "impact")
     rows = [(c, b, 0.7) for b, members in ANCHORS.items() for c in members]
     blocs = spark.createDataFrame(rows, "entity_iso3 string, bloc string, confidence double")
     return _rounded(fusion.shock_camps(impacts, blocs))
@@ -99,10 +99,10 @@ _CAMPS = ", ".join(f"('{c}', '{b}')" for b, cs in ANCHORS.items() for c in cs)
 
 
 def _camps_sql() -> str:
-    from .trade import ORACLES
+    from .trade import _shock_sql
 
     return (
-        f"WITH shock AS ({ORACLES['trade_shock']}), camps(c, bloc) AS (VALUES {_CAMPS}) "
+        f"WITH shock AS ({_shock_sql(digits=15)}), camps(c, bloc) AS (VALUES {_CAMPS}) "
         "SELECT bloc, round(avg(impact), 6) AS mean_impact, count(*) AS hit, 0.7::DOUBLE AS confidence "
         "FROM shock JOIN camps ON c = country WHERE impact > 0 GROUP BY 1"
     )

@@ -24,10 +24,17 @@ def text_sentence_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select("doc_id", F.size(text.sentences(F.coalesce("text", F.lit("")))).alias("n_sentences"))
 
 
+# A boundary is a closing mark, white space, and then a capital, a digit or a quote.
+TEXT_SENTENCE_COUNTS_SQL = r"""
+SELECT doc_id, CASE WHEN trim(coalesce(text, ''), ' ') = '' THEN 0
+       ELSE 1 + len(regexp_extract_all(text, '[.!?][ \t\n\x0B\f\r]+[\p{Lu}0-9"''“]')) END::INTEGER AS n_sentences FROM documents
+"""
+
+
 def text_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").where("text IS NOT NULL")
     words = docs.select(F.explode(text.tokens(F.col("text"))).alias("term"))
-    return words.groupBy("term").agg(F.count("*").alias("n")).where("n >= 50")
+    return words.groupBy("term").agg(F.count("*").alias("n"))
 
 
 TEXT_TOKEN_COUNTS_SQL = r"""
@@ -35,7 +42,7 @@ WITH w AS (
     SELECT regexp_replace(unnest(regexp_split_to_array(lower(text), '\s+')), '[^a-z0-9]', '', 'g') AS term
     FROM documents WHERE text IS NOT NULL
 )
-SELECT term, count(*) AS n FROM w WHERE length(term) >= 3 GROUP BY 1 HAVING count(*) >= 50
+SELECT term, count(*) AS n FROM w WHERE length(term) >= 3 GROUP BY 1
 """
 
 
@@ -74,6 +81,18 @@ def text_url_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+TEXT_URL_WORDS_SQL = r"""
+WITH p AS (
+    SELECT page_id, url, list_filter(string_split(regexp_extract(url, '^[a-z]+://[^/?#]*([^?#]*)', 1), '/'), lambda s: length(s) > 8) AS segments,
+           lower(regexp_extract(url, '^[a-zA-Z]+://(?:[^/?#@]*@)?([^/?#:]*)', 1)) AS host, lower(regexp_extract(url, '^([a-zA-Z]+)://', 1)) AS protocol
+    FROM pages
+)
+SELECT page_id, array_to_string(list_filter(regexp_split_to_array(lower(regexp_replace(coalesce(segments[-1], ''), '\.\w+$', '')), '[^a-z]+'), lambda w: length(w) >= 3), ' ') AS words,
+       coalesce(protocol IN ('http', 'https') AND host <> '' AND NOT regexp_matches(host, '^(localhost|127\.|10\.|192\.168\.|169\.254\.|172\.(1[6-9]|2\d|3[01])\.|0\.)'), false) AS safe,
+       trim(regexp_replace(lower(url), '[^a-z0-9]+', '_', 'g'), '_') AS url_key FROM p
+"""
+
+
 def text_articles(spark: SparkSession, sf_dir: str) -> DataFrame:
     ship_package(spark)
     return text.articles(table(spark, sf_dir, "pages"))

@@ -240,7 +240,7 @@ def trade_shock(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(trade.shock(_edges(spark, sf_dir), ORIGIN))
 
 
-def _shock_sql(steps: int = 3, severity: float = 0.5, factor: float = 0.7) -> str:
+def _shock_sql(steps: int = 3, severity: float = 0.5, factor: float = 0.7, digits: int = 6) -> str:
     parts = [
         f"""{_EDGES_SQL}, nodes AS (
     SELECT country, sum(m) AS imports FROM (
@@ -264,8 +264,8 @@ def _shock_sql(steps: int = 3, severity: float = 0.5, factor: float = 0.7) -> st
     FROM i{i}
 )""")
     return (
-        "WITH " + ", ".join(parts) + f" SELECT country, round(imports, 6) AS imports, round(impact, 6) AS impact, "
-        f"round(reduction, 6) AS reduction FROM s{steps}"
+        "WITH " + ", ".join(parts) + f" SELECT country, round(imports, {digits}) AS imports, round(impact, {digits}) AS impact, "
+        f"round(reduction, {digits}) AS reduction FROM s{steps}"
     )
 
 

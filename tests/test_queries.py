@@ -23,7 +23,7 @@ def plain(value):
     if value is None or isinstance(value, float) and math.isnan(value):
         return "null"
     if isinstance(value, float):
-        return "inf" if math.isinf(value) else f"{value:.4f}".replace("-0.0000", "0.0000")
+        return "inf" if math.isinf(value) else f"{value:.6f}".replace("-0.000000", "0.000000")
     return str(value)
 
 
