@@ -224,6 +224,16 @@ def historical_context(yearly: DataFrame, by: str = "year") -> DataFrame:
     return stats.select("dyad", "mean", trend.alias("trend"), label.alias("label"))
 
 
+MATCH_TOLERANCE = 1e-6
+
+
+def matched(asked: DataFrame, events: DataFrame) -> DataFrame:
+    """``asked`` rows (asked_id, url, event_type, goldstein) with the first event of the same address, type and value."""
+    mine = asked.select("asked_id", "url", "event_type", F.col("goldstein").alias("__g"))
+    found = mine.join(events, ["url", "event_type"]).where(F.abs(F.col("goldstein") - F.col("__g")) < MATCH_TOLERANCE)
+    return found.groupBy("asked_id").agg(F.min("event_id").alias("event_id"))
+
+
 def dyad_key(a: Column, b: Column) -> Column:
     return F.concat_ws("-", F.least(a, b), F.greatest(a, b))
 

@@ -130,6 +130,12 @@ def briefing(findings: DataFrame, lines: int = 5) -> str:
     )
 
 
+def citation_rate(findings: DataFrame) -> DataFrame:
+    """Share of findings, by kind, that name an agent as their source."""
+    cited = F.coalesce(F.trim("agents") != "", F.lit(False))
+    return findings.groupBy("kind").agg(F.count("*").alias("n"), F.avg(cited.cast("int")).alias("cited"))
+
+
 def best_evidence(insights: DataFrame, agent: str, facet: str, prefix: str) -> DataFrame:
     """An agent's most confident insight of a facet per entity: score, confidence and claim under a prefix."""
     mine = insights.where((F.col("agent") == agent) & (F.col("facet") == facet))

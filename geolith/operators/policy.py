@@ -7,6 +7,8 @@ Vote vectors stay long: one row per country and resolution, never a wide pivot.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -222,6 +224,19 @@ def _sides(dyads: DataFrame) -> DataFrame:
     return dyads.withColumn("country", F.explode(F.array("country_a", "country_b")))
 
 
+def filter_edges(edges: DataFrame, issues: list[str], least_intensity: float = 0.0) -> DataFrame:
+    """Edges of :func:`conflict_edges` that share an issue and reach a mean intensity; their ends are the nodes left."""
+    wanted = F.array(*map(F.lit, issues)).cast("array<string>")
+    return edges.where(
+        F.arrays_overlap(F.split("issues", ","), wanted) & (F.coalesce("avg_intensity", F.lit(0.0)) >= least_intensity)
+    )
+
+
+def common_years(*frames: DataFrame) -> DataFrame:
+    """Years that every frame has."""
+    return reduce(lambda a, b: a.intersect(b), (f.select("year").where("year IS NOT NULL").distinct() for f in frames))
+
+
 def timeline(dyads: DataFrame, *by: str) -> DataFrame:
     """Per country and ``by``: conflicts, deaths, deaths per conflict to one place."""
     rows = _sides(dyads.where("relationship_type = 'conflict'")).groupBy("country", *by)

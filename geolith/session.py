@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
@@ -28,6 +29,16 @@ def local_session(cores: str = "*", shuffle_partitions: int = 8, memory: str = "
     return spark
 
 
+def scratch_folder(spark: SparkSession, name: str) -> str:
+    """A fresh folder that driver and executors share, under ``spark.checkpoint.dir``; only a local master may be without it."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if folder is None:
+        if spark.sparkContext.master.split("[")[0] != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        folder = tempfile.mkdtemp(prefix="geolith-scratch-")
+    return f"{folder}/{name}-{uuid.uuid4().hex}"
+
+
 def ship_package(spark: SparkSession) -> None:
     """Hands this package to the executors' Python workers, once for each application."""
     sc = spark.sparkContext

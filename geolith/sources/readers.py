@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import codecs
 import io
 import json
 import re
@@ -9,6 +10,7 @@ import xml.etree.ElementTree as ET
 import zipfile
 from collections.abc import Iterator
 from datetime import date, timedelta
+from functools import reduce
 from pathlib import PurePosixPath
 
 import pandas as pd
@@ -27,9 +29,9 @@ PREFERRED = {".csv": 0, ".xlsx": 1, ".zip": 2}
 
 
 def read_baci(spark: SparkSession, path: str) -> DataFrame:
-    """Raw trade rows of all yearly files under ``path``; the year also comes from the file's name."""
-    raw = spark.read.schema(BACI_SCHEMA).option("header", True).csv(path)
-    year = F.regexp_extract("_metadata.file_name", r"_Y(\d{4})", 1).try_cast("int")
+    """Raw trade rows of all yearly files under ``path``; the year also comes from the name of the file, or of its folder."""
+    raw = spark.read.schema(BACI_SCHEMA).option("header", True).option("recursiveFileLookup", True).csv(path)
+    year = F.regexp_extract("_metadata.file_path", r".*_Y(\d{4})_V", 1).try_cast("int")
     return raw.select("*", year.alias("file_year"))
 
 
@@ -61,6 +63,18 @@ def read_gdelt(spark: SparkSession, path: str) -> DataFrame:
     return raw.select(*(F.col(f"_c{i}").alias(name) for i, name in GDELT_COLUMNS.items()))
 
 
+def day_countries(events: DataFrame) -> DataFrame:
+    """(sql_date, country): every country code that a day's events name, on either side."""
+    codes = F.explode(F.array("a1", "a2")).alias("country")
+    return events.select("sql_date", codes).where("country IS NOT NULL AND trim(country) <> ''").distinct()
+
+
+def preview(df: DataFrame, rows: int = 20) -> DataFrame:
+    """The first rows by all columns from left to right, each as one JSON text; empty fields are kept."""
+    first = df.orderBy(*df.columns).limit(rows)
+    return first.select(F.to_json(F.struct(*first.columns), {"ignoreNullFields": "false"}).alias("row"))
+
+
 def read_dyads(spark: SparkSession, path: str) -> DataFrame:
     """(dyad, year, s, d) from a file whose first seven columns are meant; from 1990 on, known static scores only."""
     raw = spark.read.option("header", True).csv(path)
@@ -102,7 +116,7 @@ def excel_year(serial: float) -> int:
 
 
 def workbook_rows(content: bytes) -> Iterator[dict[str, str]]:
-    """Rows of a workbook's first sheet as header to text; read as a stream, shared strings resolved."""
+    """Rows of all sheets of a workbook as header to text; read as a stream, shared strings resolved."""
     with zipfile.ZipFile(io.BytesIO(content)) as book:
         names = book.namelist()
         strings: list[str] = []
@@ -111,26 +125,32 @@ def workbook_rows(content: bytes) -> Iterator[dict[str, str]]:
                 if node.tag.endswith("}si"):
                     strings.append("".join(t.text or "" for t in node.iter() if t.tag.endswith("}t")))
                     node.clear()
-        sheet = min(n for n in names if re.match(r"xl/worksheets/sheet\d+\.xml", n))
-        header: dict[str, str] = {}
-        for _, node in ET.iterparse(book.open(sheet)):
-            if not node.tag.endswith("}row"):
-                continue
-            row = {}
-            for cell in node:
-                column = re.match(r"[A-Z]+", cell.get("r", "A")).group()
-                value = next((c.text for c in cell.iter() if c.tag.endswith(("}v", "}t"))), None)
-                if value is not None:
-                    row[column] = strings[int(value)] if cell.get("t") == "s" else value
-            node.clear()
-            if not header:
-                header = {k: v.strip().lower() for k, v in row.items()}
-            elif row:
-                yield {header[k]: v for k, v in row.items() if k in header}
+        sheets = [n for n in names if re.fullmatch(r"xl/worksheets/sheet\d+\.xml", n)]
+        for sheet in sorted(sheets, key=lambda n: int(re.search(r"\d+", n).group())):
+            yield from _sheet_rows(book, sheet, strings)
+
+
+def _sheet_rows(book: zipfile.ZipFile, sheet: str, strings: list[str]) -> Iterator[dict[str, str]]:
+    """Rows of one sheet; its first filled row is the header."""
+    header: dict[str, str] = {}
+    for _, node in ET.iterparse(book.open(sheet)):
+        if not node.tag.endswith("}row"):
+            continue
+        row = {}
+        for cell in node:
+            column = re.match(r"[A-Z]+", cell.get("r", "A")).group()
+            value = next((c.text for c in cell.iter() if c.tag.endswith(("}v", "}t"))), None)
+            if value is not None:
+                row[column] = strings[int(value)] if cell.get("t") == "s" else value
+        node.clear()
+        if not header:
+            header = {k: v.strip().lower() for k, v in row.items()}
+        elif row:
+            yield {header[k]: v for k, v in row.items() if k in header}
 
 
 def read_workbooks(spark: SparkSession, path: str, columns: list[str]) -> DataFrame:
-    """All rows of the first sheets of workbooks under ``path``; one workbook is one task's work."""
+    """All rows of all sheets of workbooks under ``path``; one workbook is one task's work."""
     files = spark.read.format("binaryFile").load(path).select("path", "content")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -143,24 +163,33 @@ def read_workbooks(spark: SparkSession, path: str, columns: list[str]) -> DataFr
 
 
 def sniff(head: bytes) -> tuple[str, str]:
-    """Encoding (UTF-8, else Latin-1) and separator of a text file by its first bytes."""
-    for encoding in ("utf-8", "iso-8859-1"):
-        try:
-            text = head.decode(encoding)
-            break
-        except UnicodeDecodeError:
-            continue
+    """Encoding (UTF-8, else Latin-1) and separator of a text file by its first bytes.
+
+    A character that the head's end cuts in two does not count against UTF-8.
+    """
+    try:
+        encoding, text = "utf-8", codecs.getincrementaldecoder("utf-8")().decode(head)
+    except UnicodeDecodeError:
+        encoding, text = "iso-8859-1", head.decode("iso-8859-1")
     first = text.splitlines()[0] if text else ""
     return encoding, max(",;\t|", key=lambda s: (first.count(s), -",;\t|".index(s)))
 
 
 def read_delimited(spark: SparkSession, path: str) -> DataFrame:
-    """A CSV of unknown encoding and separator; only the file's head is looked at before."""
-    head = bytes(
-        spark.read.format("binaryFile").load(path).select(F.substring("content", 1, 65536).alias("head")).first()["head"]
-    )
-    encoding, separator = sniff(head)
-    return spark.read.option("header", True).option("encoding", encoding).option("sep", separator).csv(path)
+    """CSV files of unknown encoding and separator, which are guessed for each file from its head.
+
+    Files of one encoding and separator are read together; columns that
+    only some of them have are null in the others.
+    """
+    heads = spark.read.format("binaryFile").load(path).select("path", F.substring("content", 1, 65536).alias("head"))
+    kinds: dict[tuple[str, str], list[str]] = {}
+    for row in heads.toLocalIterator():
+        kinds.setdefault(sniff(bytes(row["head"])), []).append(row["path"])
+    parts = [
+        spark.read.option("header", True).option("encoding", encoding).option("sep", separator).csv(paths)
+        for (encoding, separator), paths in sorted(kinds.items())
+    ]
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
 
 
 def choose_files(paths: list[str]) -> dict[str, str]:
