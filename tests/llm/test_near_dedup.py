@@ -74,7 +74,8 @@ def test_a_passage_in_many_documents_costs_no_pair_and_no_link(spark):
     assert len(keys) >= 56 and sorted(counts)[-56] > 250
     assert set(keys.tolist()) >= set(jaccard.shingles(" ".join(passage)).tolist())
     some = jaccard.shingles(texts[0])
-    first = jaccard.prefix(some, keys, counts)
+    first, rare = jaccard.prefix(some, keys, counts)
+    assert 0.3 < rare < 0.5
     assert len(first) == len(some) // 5 + 1 and not set(first.tolist()) & set(jaccard.shingles(" ".join(passage)).tolist())
     assert sorted(r.doc_id for r in jaccard.drop_near_duplicates(docs).collect()) == list(range(300))
 
