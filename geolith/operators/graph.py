@@ -1,9 +1,9 @@
 """Graph measures of country networks.
 
-One graph (a year's, a sector's) has a few hundred countries at most, so each is
-one bounded group: Spark deals the graphs, numpy works inside a task. Every
-function takes edges (exporter, importer, weight) and the columns that name the
-graph.
+One graph (a year's, a sector's) has a few hundred countries, so each is one
+bounded group, and the bound is checked: Spark deals the graphs, numpy works
+inside a task. :func:`pagerank_table` has no such bound. Every function takes
+edges (exporter, importer, weight) and the columns that name the graph.
 """
 
 from __future__ import annotations
@@ -17,8 +17,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from geolith.session import scratch_folder
+
 from .trade import concentration
 
+#: Most nodes of a graph that one task works on: its matrix then takes 32 MB.
+MAX_NODES = 2000
 DAMPING, TOLERANCE, MAX_ROUNDS = 0.85, 1e-6, 100
 
 
@@ -123,13 +127,50 @@ def _matrix(pdf: pd.DataFrame) -> tuple[list[str], np.ndarray]:
     return names, out
 
 
+def pagerank_table(edge: DataFrame, *keys: str, tolerance: float = TOLERANCE, rounds: int = 100) -> DataFrame:
+    """PageRank of every country of every graph by joins and sums, for graphs of any size.
+
+    Each round joins ranks to the links and sums them by importer; countries
+    without exports share their rank with all. It ends when no graph's
+    ranks change by its size times ``tolerance``. Ranks are checkpointed each round, so
+    the plan does not grow and a lost executor costs one round.
+    """
+    spark = edge.sparkSession
+    if spark.sparkContext.getCheckpointDir() is None:
+        spark.sparkContext.setCheckpointDir(scratch_folder(spark, "pagerank"))
+    named = edge if keys else edge.withColumn("__graph", F.lit(0))
+    on = list(keys) or ["__graph"]
+    nodes = named.select(*on, F.explode(F.array("exporter", "importer")).alias("country")).distinct()
+    sizes = nodes.groupBy(*on).agg(F.count("*").alias("n"))
+    out = named.groupBy(*on, F.col("exporter").alias("country")).agg(F.sum("weight").alias("out"))
+    links = named.withColumnRenamed("exporter", "country").join(out.where("out > 0"), [*on, "country"])
+    links = links.select(*on, "country", "importer", (F.col("weight") / F.col("out")).alias("share")).checkpoint()
+    base = nodes.join(sizes, on).join(out, [*on, "country"], "left").select(*on, "country", "n", (F.coalesce("out", F.lit(0.0)) <= 0).alias("idle"))
+    ranks = base.withColumn("pagerank", 1 / F.col("n")).checkpoint()
+    for _ in range(rounds):
+        flow = links.join(ranks, [*on, "country"]).groupBy(*on, F.col("importer").alias("country")).agg(F.sum(F.col("pagerank") * F.col("share")).alias("flow"))
+        idle = ranks.groupBy(*on).agg(F.sum(F.when(F.col("idle"), F.col("pagerank")).otherwise(0.0)).alias("spread"))
+        rank = (1 - DAMPING) / F.col("n") + DAMPING * (F.coalesce("flow", F.lit(0.0)) + F.col("spread") / F.col("n"))
+        after = ranks.join(flow, [*on, "country"], "left").join(idle, on).select(
+            *on, "country", "n", "idle", rank.alias("pagerank"), F.abs(rank - F.col("pagerank")).alias("moved")
+        ).checkpoint()
+        open_ = after.groupBy(*on).agg((F.sum("moved") >= F.max("n") * tolerance).alias("open")).agg(F.bool_or("open")).first()[0]
+        ranks = after.drop("moved")
+        if not open_:
+            break
+    return ranks.select(*keys, "country", "pagerank")
+
+
 def _per_graph(edge: DataFrame, keys: tuple[str, ...], work, columns: str) -> DataFrame:
-    """Runs ``work`` (names and weight matrix to a frame) on each graph."""
+    """Runs ``work`` (names and weight matrix to a frame) on each graph; one of more than ``MAX_NODES`` nodes is an error."""
     keyed = edge if keys else edge.withColumn("__graph", F.lit(0))
     names = list(keys) or ["__graph"]
     schema = T.StructType([keyed.schema[k] for k in names]).simpleString()[7:-1].replace(":", " ")
+    most = MAX_NODES
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        if len(set(pdf["exporter"]) | set(pdf["importer"])) > most:
+            raise ValueError(f"a graph has more than {most} nodes, too many for one task")
         out = work(*_matrix(pdf))
         for i, k in enumerate(names):
             out.insert(i, k, pdf[k].iloc[0])

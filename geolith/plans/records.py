@@ -131,6 +131,39 @@ SELECT c AS country, year, bloc, previous_bloc, coalesce(bloc <> previous_bloc,
 """
 
 
+PAGERANK_ROUNDS = 40
+
+
+def trade_pagerank(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """PageRank of every year's trade by joins."""
+    return _rounded(graph.pagerank_table(trade.edges(trade_flows(spark, sf_dir), "year"), "year", tolerance=1e-9))
+
+
+def _pagerank_sql() -> str:
+    steps = [
+        f"""r{i + 1} AS MATERIALIZED (
+    SELECT b.year, b.c, b.n, b.idle, 0.15 / b.n + 0.85 * (coalesce(f.flow, 0) + i.spread / b.n) AS p FROM r{i} b
+    LEFT JOIN (SELECT l.year, l.importer AS c, sum(r.p * l.share) AS flow FROM l JOIN r{i} r ON r.year = l.year AND r.c = l.exporter GROUP BY 1, 2) f
+         ON f.year = b.year AND f.c = b.c
+    JOIN (SELECT year, sum(CASE WHEN idle THEN p ELSE 0 END) AS spread FROM r{i} GROUP BY 1) i ON i.year = b.year
+)"""
+        for i in range(PAGERANK_ROUNDS)
+    ]
+    return f"""
+WITH {TRADE_FLOWS_SQL}, e AS MATERIALIZED (SELECT year, exporter, importer, sum(trade_value) AS w FROM trade_flows GROUP BY ALL),
+l AS MATERIALIZED (SELECT year, exporter, importer, w / sum(w) OVER (PARTITION BY year, exporter) AS share FROM e),
+k AS (SELECT year, exporter AS c FROM e UNION SELECT year, importer FROM e),
+r0 AS MATERIALIZED (
+    SELECT year, c, count(*) OVER (PARTITION BY year) AS n, (year, c) NOT IN (SELECT (year, exporter) FROM e) AS idle,
+           1 / count(*) OVER (PARTITION BY year) AS p FROM k
+), {", ".join(steps)}
+SELECT year, c AS country, round(p, 6) AS pagerank FROM r{PAGERANK_ROUNDS}
+"""
+
+
+TRADE_PAGERANK_SQL = _pagerank_sql()
+
+
 def records_years(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Years out of dates written in several ways, some of them missing or out of range."""
     kind, day = F.pmod("o_orderkey", F.lit(7)), F.col("o_orderdate").cast("date")
@@ -512,7 +545,7 @@ SELECT lower(n_name) AS a, b.b, b.d::INTEGER AS distance FROM nation, LATERAL (
 QUERIES = {
     f.__name__: f
     for f in (
-        trade_cleaned, trade_latest_energy, trade_exposure, trade_region_flows, trade_region_summary, trade_bloc_switches,
+        trade_cleaned, trade_latest_energy, trade_exposure, trade_region_flows, trade_region_summary, trade_bloc_switches, trade_pagerank,
         records_years, records_topics, records_actors, records_parties, records_sovereign, records_master, records_issues,
         records_adjusted, influence_large_states, identity_resolved, identity_suggestions, policy_votes_once,
         policy_synthetic_codes, influence_panel_once, influence_composite, influence_preferred, influence_benchmark,
