@@ -5,7 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from geolith.session import small
+
 MIN_LIKENESS, SUGGESTIONS = 0.6, 3
+#: Misspelt names are compared with so many names at most.
+MOST_NAMES = 5000
 
 
 def lookup_table(countries: DataFrame) -> DataFrame:
@@ -32,7 +36,7 @@ def resolve(asked: DataFrame, countries: DataFrame, text: str) -> DataFrame:
     table = lookup_table(countries)
     best = table.groupBy("key").agg(F.min_by(F.struct("country_code", "country_name", "iso3"), F.struct("priority", "country_name")).alias("c"))
     key = F.lower(F.trim(F.col(text)))
-    joined = asked.withColumn("key", key).join(F.broadcast(best), "key", "left")
+    joined = asked.withColumn("key", key).join(small(best), "key", "left")
     return joined.select(*(F.col(c) for c in asked.columns), "c.country_code", "c.country_name", "c.iso3")
 
 
@@ -41,6 +45,8 @@ def suggest(missed: DataFrame, countries: DataFrame, text: str) -> DataFrame:
 
     Every text meets every country, a few hundred names.
     """
+    if countries.limit(MOST_NAMES + 1).count() > MOST_NAMES:
+        raise ValueError(f"more than {MOST_NAMES} names to compare with")
     names = F.broadcast(countries.select("country_name"))
     wanted, name = F.lower(F.trim(F.col(text))), F.lower("country_name")
     likeness = 1 - F.levenshtein(wanted, name) / F.greatest(F.length(wanted), F.length(name), F.lit(1))

@@ -66,11 +66,17 @@ def temporal_agreement(votes: DataFrame) -> DataFrame:
     return agreement(votes, "year").withColumn("years", years).where("years >= 2").drop("years")
 
 
+#: The matrix has a row for every two of so many voters at most.
+MOST_VOTERS = 5000
+
+
 def agreement_matrix(votes: DataFrame) -> DataFrame:
     """Mean yearly agreement for all ordered pairs of countries; 1 with itself, 0.5 without data."""
     mean = temporal_agreement(votes).groupBy("a", "b").agg(F.avg("rate").alias("rate"))
     both = mean.unionByName(mean.select(F.col("b").alias("a"), F.col("a").alias("b"), "rate"))
     names = votes.select("country_name").distinct()
+    if names.limit(MOST_VOTERS + 1).count() > MOST_VOTERS:
+        raise ValueError(f"a matrix of more than {MOST_VOTERS} voters")
     grid = names.select(F.col("country_name").alias("a")).crossJoin(names.select(F.col("country_name").alias("b")))
     rate = F.when(F.col("a") == F.col("b"), 1.0).otherwise(F.coalesce("rate", F.lit(0.5)))
     return grid.join(both, ["a", "b"], "left").select("a", "b", rate.alias("agreement"))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from geolith.session import small
+
 # Wordings that are put into standard form before parsing, in this order.
 REWRITES = (
     (r"(?i)\bu\.?s\.?a?\.?(?=\W|$)", "United States"),
@@ -120,13 +122,13 @@ def correct_spelling(questions: DataFrame, vocabulary: DataFrame, key: str, text
     """
     from geolith.functions.text import osa
 
-    known = vocabulary.select(F.lower("word").alias("w")).distinct()
+    known = small(vocabulary.select(F.lower("word").alias("w")).distinct())
     pieces = questions.select(
         key, F.posexplode(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(r"(\p{L}+|[^\p{L}]+)"), F.lit(0))).alias("i", "piece")
     ).withColumn("w", F.lower("piece"))
-    unknown = pieces.where(F.rlike("w", F.lit(r"^\p{L}{4,}$"))).select("w").distinct().join(F.broadcast(known), "w", "left_anti")
+    unknown = pieces.where(F.rlike("w", F.lit(r"^\p{L}{4,}$"))).select("w").distinct().join(known, "w", "left_anti")
     near = unknown.select("w", F.explode(F.sequence(F.length("w") - 2, F.length("w") + 2)).alias("size")).join(
-        F.broadcast(known.select(F.col("w").alias("right"), F.length("w").alias("size"))), "size"
+        small(known.select(F.col("w").alias("right"), F.length("w").alias("size"))), "size"
     )
     allowed = F.when(F.length("w") >= 8, 2).otherwise(1)
     best = (

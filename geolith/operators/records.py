@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from geolith.session import small
+
 from .policy import FIRST_YEAR, LAST_YEAR, SOVEREIGN_CODES, synthetic_code
 
 # Types of actors by their code.
@@ -71,8 +73,8 @@ def resolve_parties(df: DataFrame, code: str, label: str, names: DataFrame, out:
     """``df`` with ``<out>_code`` and ``<out>``: a party by code, three-letter code or name, else a synthetic one.
 
     Of a comma list the first sovereign code counts. ``names`` (code, iso3,
-    name, alias) has a few hundred countries and is broadcast; keys that no
-    row matches are no error.
+    name, alias) is sent to all tasks if it is small, as a table of countries is;
+    keys that no row matches are no error.
     """
     text = filled(F.col(code))
     listed = F.filter(
@@ -84,9 +86,9 @@ def resolve_parties(df: DataFrame, code: str, label: str, names: DataFrame, out:
         F.regexp_replace(text, r"\.0+$", "").try_cast("int")
     )
     word = F.coalesce(F.when(number.isNull(), text), filled(F.col(label)))
-    by_code = F.broadcast(names.groupBy(F.col("code").alias("__n")).agg(F.min("name").alias("__by_code")))
+    by_code = small(names.groupBy(F.col("code").alias("__n")).agg(F.min("name").alias("__by_code")))
     words = names.select(F.explode(F.array(F.lower("iso3"), F.lower("alias"), F.lower("name"))).alias("__w"), "code", "name")
-    by_word = F.broadcast(words.where("__w IS NOT NULL").groupBy("__w").agg(F.min_by(F.struct("code", "name"), "code").alias("__by_word")))
+    by_word = small(words.where("__w IS NOT NULL").groupBy("__w").agg(F.min_by(F.struct("code", "name"), "code").alias("__by_word")))
     joined = (
         df.withColumns({"__n": number, "__word": word, "__w": F.lower(word)})
         .join(by_code, "__n", "left")
@@ -208,4 +210,4 @@ def adjusted_scores(df: DataFrame) -> DataFrame:
 
 
 def without(df: DataFrame, excluded: DataFrame, key: str = "iso3") -> DataFrame:
-    return df.join(F.broadcast(excluded.select(key).distinct()), key, "left_anti")
+    return df.join(small(excluded.select(key).distinct()), key, "left_anti")

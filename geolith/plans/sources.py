@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from geolith.functions import formats
-from geolith.operators import events, fusion, policy, trade
+from geolith.operators import events, fusion, policy, questions, trade
 from geolith.session import scratch_folder
 from geolith.sources import readers
 from geolith.sources.views import (
@@ -16,6 +16,7 @@ from geolith.sources.views import (
 from geolith.streaming import events as stream
 
 from . import cache
+from .events import COUNTRY, EVENTS_PREPARED_SQL
 from .briefing import FUSION_FINDINGS_SQL, _insights, fusion_findings
 from .trade import _rounded
 
@@ -258,6 +259,72 @@ SELECT o_orderkey, coalesce(printf('%.2f%%', (s * 100)::DOUBLE), 'n/a') AS share
 """
 
 
+def questions_aligned(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The year that votes, trade and conflicts all cover."""
+    parts = (("policy", votes(spark, sf_dir)), ("trade", trade_flows(spark, sf_dir)), ("conflict", conflicts(spark, sf_dir)))
+    latest = [df.groupBy(F.lit(name).alias("agent"), "year").count().select("agent", "year") for name, df in parts]
+    return questions.aligned_year(latest[0].unionByName(latest[1]).unionByName(latest[2]))
+
+
+QUESTIONS_ALIGNED_SQL = f"""
+WITH {VOTES_SQL}, {TRADE_FLOWS_SQL}, {CONFLICTS_SQL}, l AS (
+    SELECT max(year) AS y FROM votes UNION ALL SELECT max(year) FROM trade_flows UNION ALL SELECT max(year) FROM conflicts
+)
+SELECT min(y) AS aligned_year, max(y) AS newest_year, count(*) AS agents FROM l
+"""
+
+
+def fusion_plan_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores of plans by split: exact match, precision, recall, F1, Brier score, latencies."""
+    k = F.col("o_orderkey")
+    scored = table(spark, sf_dir, "orders").select(
+        F.col("o_orderstatus").alias("split"), (k % 3 == 0).alias("exact"), (k % 2).alias("hit"), (1 + k % 2).alias("predicted"), F.lit(2).alias("gold"),
+        ((k % 10) / 10.0).alias("understanding"), F.col("o_totalprice").alias("ms"),
+    )
+    return _rounded(fusion.plan_scores(scored))
+
+
+FUSION_PLAN_SCORES_SQL = """
+WITH x AS (
+    SELECT o_orderstatus AS split, avg((o_orderkey % 3 = 0)::INT) AS exact_match, sum(o_orderkey % 2) / sum(1 + o_orderkey % 2) AS p,
+           sum(o_orderkey % 2) / (2 * count(*)) AS r, avg(((o_orderkey % 10) / 10.0::DOUBLE - (o_orderkey % 3 = 0)::INT) ** 2) AS brier,
+           quantile_disc(o_totalprice, 0.5) AS p50_ms, quantile_disc(o_totalprice, 0.95) AS p95_ms FROM orders GROUP BY 1
+)
+SELECT split, round(exact_match, 6) AS exact_match, round(p, 6) AS precision, round(r, 6) AS recall, round(brier, 6) AS brier,
+       round(p50_ms, 6) AS p50_ms, round(p95_ms, 6) AS p95_ms, round(CASE WHEN p + r > 0 THEN 2 * p * r / (p + r) ELSE 0 END, 6) AS f1 FROM x
+"""
+
+
+def events_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A sentence for every event of a country."""
+    prepared = events.prepare(gdelt(spark, sf_dir), COUNTRY)
+    return prepared.groupBy(events.event_sentence().alias("sentence")).agg(F.count("*").alias("n"))
+
+
+EVENTS_SENTENCES_SQL = f"""
+WITH p AS ({EVENTS_PREPARED_SQL})
+SELECT a1 || ' and ' || a2 || ': ' || lower(event_type) || ' (' || lower(tone) || ', ' || num_articles || ' articles)' AS sentence, count(*) AS n
+FROM p GROUP BY 1
+"""
+
+
+def sources_codebook(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A codebook's lines as codes, and a column decoded by them."""
+    nation = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("k"), "n_name")
+    lines = nation.select((F.col("k") + 10).alias("line_no"), F.concat(F.lit(" "), F.col("k").cast("string"), F.lit(" = "), "n_name", F.lit(" ")).alias("line")).union(
+        spark.createDataFrame([(1, "Country"), (2, "free text of no use."), (90, "Other:"), (91, "1) Land")], "line_no long, line string")
+    )
+    codes = readers.codebook_lines(lines.withColumn("dataset", F.lit("trade")))
+    customers = table(spark, sf_dir, "customer").select(F.when(F.col("c_custkey") % 9 == 0, F.lit("77")).otherwise(F.concat(F.col("c_nationkey").cast("string"), F.lit(".0"))).alias("country"))
+    return readers.decode(customers, codes, "trade", "country").groupBy("country_label").agg(F.count("*").alias("n"))
+
+
+SOURCES_CODEBOOK_SQL = """
+SELECT CASE WHEN c_custkey % 9 = 0 THEN '77' ELSE n_name END AS country_label, count(*) AS n
+FROM customer JOIN nation ON n_nationkey = c_nationkey GROUP BY 1
+"""
+
+
 def stream_live_daily(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Windows of a real stream over the event files, run until it has read all that is there."""
     schema = table(spark, sf_dir, "events").schema
@@ -277,7 +344,8 @@ QUERIES = {
     for f in (
         sources_trade_files, sources_event_file, sources_day_countries, sources_preview, sources_dyads, sources_rebuild,
         sources_indicators, cache_edges, cache_history, fusion_citations, fusion_evidence, fusion_confidence,
-        policy_edges_filtered, policy_common_years, events_matched, trade_labels, stream_live_daily,
+        policy_edges_filtered, policy_common_years, events_matched, trade_labels, stream_live_daily, questions_aligned,
+        fusion_plan_scores, events_sentences, sources_codebook,
     )
 }
 ORACLES = {name: globals()[f"{name.upper()}_SQL"] for name in QUERIES}

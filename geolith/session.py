@@ -7,7 +7,8 @@ import uuid
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _shipped: set[str] = set()
 
@@ -29,6 +30,15 @@ def local_session(cores: str = "*", shuffle_partitions: int = 8, memory: str = "
     return spark
 
 
+#: A table of up to so many rows may be sent to all tasks.
+SMALL_ROWS = 200_000
+
+
+def small(df: DataFrame) -> DataFrame:
+    """``df``, marked to be sent to all tasks if it is small; a count that stops at the bound decides."""
+    return F.broadcast(df) if df.limit(SMALL_ROWS + 1).count() <= SMALL_ROWS else df
+
+
 def scratch_folder(spark: SparkSession, name: str) -> str:
     """A fresh folder that driver and executors share, under ``spark.checkpoint.dir``; only a local master may be without it."""
     folder = spark.conf.get("spark.checkpoint.dir", None)

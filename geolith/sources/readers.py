@@ -17,6 +17,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from geolith.session import small
+
 from .views import sector_of_chapter
 
 BACI_SCHEMA = "t SHORT, i INT, j INT, k INT, v DOUBLE, q DOUBLE"
@@ -38,16 +40,16 @@ def read_baci(spark: SparkSession, path: str) -> DataFrame:
 def baci_flows(raw: DataFrame, countries: DataFrame) -> DataFrame:
     """Flows by country name: summed over products per sector first, then named.
 
-    ``countries`` (country_code, country_name) has some hundred rows and is
-    broadcast; rows of unknown codes go.
+    ``countries`` (country_code, country_name) is sent to all tasks if it is
+    small; rows of unknown codes go.
     """
     sector = sector_of_chapter(F.floor(F.col("k") / 10000).cast("int"))
     sums = raw.groupBy(F.col("t").cast("int").alias("year"), "i", "j", sector.alias("sector")).agg(
         F.sum(F.col("v")).alias("trade_value"), F.sum("q").alias("quantity")
     )
     names = countries.select("country_code", "country_name")
-    a = F.broadcast(names.toDF("i", "exporter"))
-    b = F.broadcast(names.toDF("j", "importer"))
+    a = small(names.toDF("i", "exporter"))
+    b = small(names.toDF("j", "importer"))
     return sums.join(a, "i").join(b, "j").where("i <> j").select(
         "exporter", "importer", "year", "sector", "trade_value", "quantity"
     )

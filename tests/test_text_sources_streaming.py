@@ -83,6 +83,25 @@ def test_workbooks_and_codebooks(spark, tmp_path):
     assert {r.region_label for r in readers.decode(data, codes, "ucdp", "region").collect()} == {"Europe", "9"}
 
 
+def test_all_sheets_are_read(spark, tmp_path):
+    first, second = (io.BytesIO(workbook([["Name", "N"], [name, 1]])) for name in ("one", "two"))
+    out = io.BytesIO()
+    with zipfile.ZipFile(first) as a, zipfile.ZipFile(second) as b, zipfile.ZipFile(out, "w") as z:
+        z.writestr("xl/worksheets/sheet1.xml", a.read("xl/worksheets/sheet1.xml").replace(b' t="s"><v>1', b' t="str"><v>one'))
+        z.writestr("xl/worksheets/sheet2.xml", b.read("xl/worksheets/sheet1.xml"))
+        z.writestr("xl/sharedStrings.xml", b.read("xl/sharedStrings.xml"))
+    rows = list(readers.workbook_rows(out.getvalue()))
+    assert len(rows) == 2 and rows[1]["name"] == "two"
+
+
+def test_encoding_is_guessed_for_each_file(spark, tmp_path):
+    assert readers.sniff(("x" * 65535 + "é").encode()[:65536]) == ("utf-8", ",")
+    (tmp_path / "a.csv").write_bytes("name;x\nCôte;1\n".encode("latin-1"))
+    (tmp_path / "b.csv").write_bytes("name,y\nÎle,2\n".encode())
+    rows = readers.read_delimited(spark, str(tmp_path / "*.csv")).collect()
+    assert sorted((r.name, r.x, r.y) for r in rows) == [("Côte", "1", None), ("Île", None, "2")]
+
+
 def test_trade_files_and_partitioned_sink(spark, tmp_path):
     for year in (2000, 2001):
         (tmp_path / f"BACI_HS92_Y{year}_V1.csv").write_text(f"t,i,j,k,v,q\n{year},1,2,270900,5,1\n{year},1,2,271000,6,\n{year},1,3,10100,7,2\n{year},1,9,10100,7,2\n")
