@@ -19,6 +19,7 @@ from pyspark.sql import types as T
 
 from geolith.session import scratch_folder
 
+from .learning import principal_axes
 from .trade import concentration
 
 #: Most nodes of a graph that one task works on: its matrix then takes 32 MB.
@@ -194,9 +195,12 @@ def _scaled(column: str) -> F.Column:
     return F.when(high > low, (F.coalesce(F.col(column), F.lit(0.0)) - low) / (high - low)).otherwise(0.0)
 
 
-def risk(edge: DataFrame) -> DataFrame:
-    """0.4 scaled PageRank, 0.3 scaled betweenness and 0.3 HHI, which stays as it is."""
-    both = concentration(edge).select("country", "hhi").join(centrality(edge), "country", "left")
+def risk(edge: DataFrame, known: DataFrame | None = None) -> DataFrame:
+    """0.4 scaled PageRank, 0.3 scaled betweenness and 0.3 HHI, which stays as it is.
+
+    ``known`` is the graph's centrality where it has been computed before.
+    """
+    both = concentration(edge).select("country", "hhi").join(centrality(edge) if known is None else known, "country", "left")
     bounds = both.agg(
         *(f(c).alias(f"{n}_{c}") for c in ("pagerank", "betweenness") for n, f in (("low", F.min), ("high", F.max)))
     )
@@ -301,3 +305,50 @@ def spectral_embedding(edge: DataFrame, *keys: str, dimensions: int = 2) -> Data
         return pd.DataFrame({"country": names} | {f"x{i + 1}": out[:, i] for i in range(dimensions)})
 
     return _per_graph(edge, keys, work, "country string, " + ", ".join(f"x{i + 1} double" for i in range(dimensions)))
+
+
+def random_walks(edge: DataFrame, walks: int = 10, length: int = 8) -> DataFrame:
+    """(walk, path): ``walks`` walks of ``length`` nodes from every node, along links either way.
+
+    The next node is drawn by weight: of all neighbours the one with the least
+    exponential variate of its weight, made from a hash of walk, step and name, so
+    walks are the same however rows are dealt. A step is one join and one minimum.
+    """
+    both = edge.select("exporter", "importer", "weight").unionByName(
+        edge.select(F.col("importer").alias("exporter"), F.col("exporter").alias("importer"), "weight")
+    )
+    near = both.where("weight > 0 AND exporter <> importer").groupBy(F.col("exporter").alias("at"), F.col("importer").alias("next")).agg(F.sum("weight").alias("weight"))
+    starts = near.select("at").distinct()
+    path = starts.select(
+        F.explode(F.sequence(F.lit(1), F.lit(walks))).alias("i"), "at", F.array("at").alias("path")
+    ).select(F.concat_ws("-", "at", F.col("i").cast("string")).alias("walk"), "at", "path")
+    for step in range(1, length):
+        drawn = (F.pmod(F.xxhash64("walk", F.lit(step), "next"), F.lit(1 << 40)) + 0.5) / float(1 << 40)
+        path = (
+            path.join(near, "at")
+            .groupBy("walk")
+            .agg(F.min_by(F.struct("next", "path"), F.struct(-F.log(drawn) / F.col("weight"), "next")).alias("s"))
+            .select("walk", F.col("s.next").alias("at"), F.concat("s.path", F.array("s.next")).alias("path"))
+        )
+    return path.select("walk", "path")
+
+
+def walk_embedding(edge: DataFrame, k: int = 8, window: int = 2, walks: int = 10, length: int = 8) -> DataFrame:
+    """(country, embedding): how often nodes meet within ``window`` steps of random walks, on its principal axes.
+
+    The matrix has a row and a column per node, so more than ``MAX_NODES`` are refused.
+    """
+    paths = random_walks(edge, walks, length)
+    spots = paths.select("walk", F.posexplode("path").alias("i", "country"))
+    met = spots.join(spots.select("walk", F.col("i").alias("j"), F.col("country").alias("other")), "walk").where(
+        (F.col("i") != F.col("j")) & (F.abs(F.col("i") - F.col("j")) <= window)
+    )
+    counts = met.groupBy("country", "other").agg(F.log1p(F.count("*").cast("double")).alias("x"))
+    names = [r[0] for r in counts.select("country").distinct().orderBy("country").limit(MAX_NODES + 1).collect()]
+    if len(names) > MAX_NODES:
+        raise ValueError(f"a graph has more than {MAX_NODES} nodes, too many for one matrix")
+    if not names:
+        return counts.select("country", F.array(F.lit(0.0)).alias("embedding"))
+    held = counts.groupBy("country").agg(F.map_from_entries(F.collect_list(F.struct("other", "x"))).alias("row"))
+    values = F.transform(F.array(*map(F.lit, names)), lambda c: F.coalesce(F.element_at("row", c), F.lit(0.0)))
+    return principal_axes(held.select("country", values.alias("values")), "values", len(names), k).select("country", "embedding")

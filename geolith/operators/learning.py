@@ -12,8 +12,8 @@ import numpy as np
 import pandas as pd
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.evaluation import RegressionEvaluator
-from pyspark.ml.feature import Imputer, VectorAssembler
-from pyspark.ml.functions import vector_to_array
+from pyspark.ml.feature import PCA, Imputer, VectorAssembler
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
 from pyspark.ml.stat import Correlation
 from pyspark.sql import Column, DataFrame, Window
@@ -41,6 +41,46 @@ def fit(df: DataFrame, features: list[str], target: str, model: str = "gbt") ->
     return Pipeline(stages=[*steps, regressor]).fit(df.where(F.col(target).isNotNull()))
 
 
+def coefficients(rows: DataFrame, features: list[str], target: str) -> dict[str, float]:
+    """Least-squares coefficients over the complete rows, by feature."""
+    complete = rows.na.drop(subset=[*features, target])
+    fitted = LinearRegression(featuresCol="features", labelCol=target, solver="normal").fit(
+        VectorAssembler(inputCols=features, outputCol="features").transform(complete)
+    )
+    return dict(zip(features, map(float, fitted.coefficients), strict=True))
+
+
+def attributions(rows: DataFrame, weights: dict[str, float], *keys: str) -> DataFrame:
+    """(keys, feature, contribution): a linear model's exact Shapley values, coefficient times distance from the mean.
+
+    Missing values contribute nothing.
+    """
+    means = rows.agg(*(F.avg(c).alias(f"mean_{c}") for c in weights))
+    parts = F.array(
+        *(
+            F.struct(F.lit(c).alias("feature"), F.coalesce(w * (F.col(c) - F.col(f"mean_{c}")), F.lit(0.0)).alias("contribution"))
+            for c, w in weights.items()
+        )
+    )
+    return rows.crossJoin(F.broadcast(means)).select(*keys, F.explode(parts).alias("p")).select(*keys, "p.feature", "p.contribution")
+
+
+def drivers(found: DataFrame, *by: str, top: int = 10) -> DataFrame:
+    """The features of greatest mean absolute contribution, overall or per ``by``; ties by name."""
+    mean = found.groupBy(*by, "feature").agg(F.avg(F.abs("contribution")).alias("mean_abs"), F.avg("contribution").alias("mean"))
+    rank = F.row_number().over(Window.partitionBy(*(by or [F.lit(0)])).orderBy(F.desc("mean_abs"), "feature"))
+    return mean.withColumn("rank", rank).where(F.col("rank") <= top)
+
+
+def principal_axes(rows: DataFrame, values: str, width: int, k: int) -> DataFrame:
+    """``rows`` with ``embedding``: the array ``values`` of ``width`` on its first ``k`` principal axes, zeros where there are fewer."""
+    found = min(k, width)
+    vectors = rows.withColumn("__v", array_to_vector(values))
+    placed = PCA(k=found, inputCol="__v", outputCol="__p").fit(vectors).transform(vectors)
+    padded = F.concat(vector_to_array("__p"), F.array_repeat(F.lit(0.0), k - found))
+    return placed.withColumn("embedding", padded).drop("__v", "__p")
+
+
 def half_width(fitted: PipelineModel, calibration: DataFrame, target: str, coverage: float = 0.8) -> float:
     """Split-conformal half-width: the absolute residual at level ceil((n + 1) * coverage) / n."""
     residuals = fitted.transform(calibration.where(F.col(target).isNotNull())).select(F.abs(F.col(target) - F.col("prediction")).alias("r"))

@@ -29,6 +29,12 @@ def policy_spectral_embedding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(graph.spectral_embedding(_conflict_graph(spark, sf_dir)))
 
 
+def policy_walk_embedding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Countries of the conflict graph by whom random walks meet beside them."""
+    found = graph.walk_embedding(_conflict_graph(spark, sf_dir), 4)
+    return found.select("country", F.round(F.sqrt(F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x * x)), 4).alias("norm"), F.size("embedding").alias("axes"))
+
+
 def policy_bloc_discovery(spark: SparkSession, sf_dir: str) -> DataFrame:
     return policy.discovered_blocs(policy.vote_vectors(votes(spark, sf_dir), 2000), 0.05)
 
@@ -147,7 +153,7 @@ SELECT round(avg(abs(f - c)), 6) AS naive_mae, round(avg(abs(f - 2 * c + b)), 6)
 QUERIES = {
     f.__name__: f
     for f in (
-        policy_network_metrics, policy_spectral_embedding, policy_bloc_discovery, influence_temporal_cv,
+        policy_network_metrics, policy_spectral_embedding, policy_walk_embedding, policy_bloc_discovery, influence_temporal_cv,
         influence_importance, influence_what_if, influence_outliers, influence_rotated_scores, influence_baselines,
         upload_normalised, events_cluster_quality, fusion_shock_camps, fusion_bilateral,
     )

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from geolith.functions import text
-from geolith.operators import graph, identity, influence, policy, records, trade, uploads
+from geolith.operators import graph, identity, influence, learning, policy, records, trade, uploads
 from geolith.session import ship_package
 from geolith.sources.views import (
     CONFLICTS_SQL, GDELT_SQL, PANEL_SQL, RAW_FLOWS_SQL, TRADE_FLOWS_SQL, VOTES_SQL, conflicts, gdelt, panel, raw_flows,
@@ -461,6 +461,30 @@ SELECT round(corr(x, y), 6) AS spearman, count(*) AS n FROM b
 """
 
 
+DRIVERS = ["wealth", "discount"]
+
+
+def influence_drivers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What moves each country's next composite, by the exact attributions of a linear model."""
+    rows = influence.lag_features(panel(spark, sf_dir), "composite").select("iso3", "period", "target").join(panel(spark, sf_dir), ["iso3", "period"])
+    found = learning.attributions(rows, learning.coefficients(rows, DRIVERS, "target"), "iso3", "period")
+    return _rounded(learning.drivers(found, "iso3"), 4)
+
+
+INFLUENCE_DRIVERS_SQL = f"""
+WITH {PANEL_SQL}, l AS (SELECT *, lead(composite) OVER (PARTITION BY iso3 ORDER BY period) AS y FROM panel),
+c AS (SELECT wealth AS a, discount AS b, y FROM l WHERE y IS NOT NULL AND wealth IS NOT NULL AND discount IS NOT NULL),
+m AS (SELECT covar_pop(a, y) AS ay, covar_pop(b, y) AS by_, covar_pop(a, b) AS ab, var_pop(a) AS aa, var_pop(b) AS bb FROM c),
+w AS (SELECT (ay * bb - by_ * ab) / (aa * bb - ab * ab) AS wa, (by_ * aa - ay * ab) / (aa * bb - ab * ab) AS wb FROM m),
+x AS (
+    SELECT iso3, 'wealth' AS feature, coalesce(wa * (wealth - (SELECT avg(wealth) FROM panel)), 0) AS v FROM l, w
+    UNION ALL SELECT iso3, 'discount', coalesce(wb * (discount - (SELECT avg(discount) FROM panel)), 0) FROM l, w
+), g AS (SELECT iso3, feature, avg(abs(v)) AS mean_abs, avg(v) AS mean FROM x GROUP BY 1, 2)
+SELECT iso3, feature, round(mean_abs, 4) AS mean_abs, round(mean, 4) AS mean,
+       (row_number() OVER (PARTITION BY iso3 ORDER BY mean_abs DESC, feature))::INTEGER AS rank FROM g
+"""
+
+
 def upload_binary_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Which columns of a wide upload hold 0 and 1 and both."""
     wide = table(spark, sf_dir, "orders").select(
@@ -548,7 +572,7 @@ QUERIES = {
         trade_cleaned, trade_latest_energy, trade_exposure, trade_region_flows, trade_region_summary, trade_bloc_switches, trade_pagerank,
         records_years, records_topics, records_actors, records_parties, records_sovereign, records_master, records_issues,
         records_adjusted, influence_large_states, identity_resolved, identity_suggestions, policy_votes_once,
-        policy_synthetic_codes, influence_panel_once, influence_composite, influence_preferred, influence_benchmark,
+        policy_synthetic_codes, influence_panel_once, influence_composite, influence_drivers, influence_preferred, influence_benchmark,
         upload_binary_columns, upload_long, text_folded, text_repaired, text_keys, text_typos,
     )
 }

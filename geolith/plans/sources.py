@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from geolith.functions import formats
-from geolith.operators import events, fusion, policy, questions, trade
+from geolith.operators import events, fusion, graph, policy, questions, trade
 from geolith.session import scratch_folder
 from geolith.sources import readers
 from geolith.sources.views import (
@@ -18,7 +18,7 @@ from geolith.streaming import events as stream
 from . import cache
 from .events import COUNTRY, EVENTS_PREPARED_SQL
 from .briefing import FUSION_FINDINGS_SQL, _insights, fusion_findings
-from .trade import _rounded
+from .trade import ORIGIN, TRADE_QUALITY_OVERALL_SQL, YEAR, _rounded, _shock_sql
 
 
 def sources_trade_files(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -130,6 +130,43 @@ FROM panel WHERE iso3 <> 'NATION_3' GROUP BY 1, 2 HAVING max(volume) IS NOT NULL
 """
 
 
+_materialised: dict[tuple[str, str], str] = {}
+
+
+def materialised(spark: SparkSession, sf_dir: str) -> str:
+    """The folder of the trade tables of ``sf_dir``, built by the first query of an application that needs them."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _materialised:
+        folder = scratch_folder(spark, "trade-tables")
+        cache.build(trade_flows(spark, sf_dir), folder)
+        _materialised[key] = folder
+    return _materialised[key]
+
+
+def cache_risk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Risk of a year from the materialised edges and centralities."""
+    folder = materialised(spark, sf_dir)
+    edge = cache.edges_of(spark, folder, YEAR, "all").select("exporter", "importer", F.col("trade_value").alias("weight"))
+    return _rounded(graph.risk(edge, cache.centrality_of(spark, folder, YEAR)))
+
+
+def cache_shock(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A shock to a year's trade, read from the materialised edges."""
+    edge = cache.edges_of(spark, materialised(spark, sf_dir), YEAR, "all").select("exporter", "importer", F.col("trade_value").alias("weight"))
+    return _rounded(trade.shock(edge, ORIGIN))
+
+
+CACHE_SHOCK_SQL = _shock_sql()
+
+
+def cache_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Data quality over all years from the materialised table."""
+    return _rounded(cache.quality_of(spark, materialised(spark, sf_dir)))
+
+
+CACHE_QUALITY_SQL = TRADE_QUALITY_OVERALL_SQL.replace("FROM raw_flows", "FROM trade_flows").replace(RAW_FLOWS_SQL, TRADE_FLOWS_SQL)
+
+
 def cache_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Edges of a year and sector from the materialised tables."""
     folder = scratch_folder(spark, "cache")
@@ -343,9 +380,9 @@ QUERIES = {
     f.__name__: f
     for f in (
         sources_trade_files, sources_event_file, sources_day_countries, sources_preview, sources_dyads, sources_rebuild,
-        sources_indicators, cache_edges, cache_history, fusion_citations, fusion_evidence, fusion_confidence,
+        sources_indicators, cache_risk, cache_shock, cache_quality, cache_edges, cache_history, fusion_citations, fusion_evidence, fusion_confidence,
         policy_edges_filtered, policy_common_years, events_matched, trade_labels, stream_live_daily, questions_aligned,
         fusion_plan_scores, events_sentences, sources_codebook,
     )
 }
-ORACLES = {name: globals()[f"{name.upper()}_SQL"] for name in QUERIES}
+ORACLES = {name: globals()[f"{name.upper()}_SQL"] for name in QUERIES if f"{name.upper()}_SQL" in globals()}

@@ -106,3 +106,14 @@ def test_cross_checks(spark):
     scored = spark.createDataFrame([("dev", True, 2, 2, 2, 1.0, 5.0), ("dev", False, 1, 2, 2, 0.5, 9.0)], "split string, exact boolean, hit int, predicted int, gold int, understanding double, ms double")
     r = fusion.plan_scores(scored).first()
     assert (r.exact_match, r.precision, r.f1, r.p50_ms, r.p95_ms) == (0.5, 0.75, 0.75, 5.0, 9.0) and r.brier == pytest.approx(0.125)
+
+
+def test_linear_attributions_add_up(spark):
+    rows = spark.createDataFrame([(i, float(i), float(i * i % 7), 2.0 * i - 3.0 * (i * i % 7) + 1.0) for i in range(20)], "id int, a double, b double, y double")
+    weights = learning.coefficients(rows, ["a", "b"], "y")
+    assert weights == pytest.approx({"a": 2.0, "b": -3.0})
+    found = learning.attributions(rows, weights, "id")
+    sums = {r.id: r.s for r in found.groupBy("id").agg(F.sum("contribution").alias("s")).collect()}
+    mean = rows.agg(F.avg("y")).first()[0]
+    assert sums == pytest.approx({r.id: r.y - mean for r in rows.collect()})
+    assert [r.feature for r in learning.drivers(found).orderBy("rank").collect()] == ["a", "b"]
