@@ -9,6 +9,7 @@ from .line_dedup import OP8_SQL, op8_line_dedup
 from .packing import op7_packing
 from .pii import OP1_SQL, op1_pii
 from .secrets import op3_secrets
+from .sharding import OP12_SQL, op12_sharding
 from .simhash import op5_simhash
 from .spotsigs import op10_spotsigs, spotsigs_classes
 from .topk import OP9_SQL, op9_topk
@@ -24,7 +25,10 @@ QUERIES = {
     "op8_line_dedup": op8_line_dedup,
     "op9_topk": op9_topk,
     "op10_spotsigs": op10_spotsigs,
+    "op12_sharding": op12_sharding,
     "spotsigs_classes": spotsigs_classes,
 }
 
-ORACLES: dict[str, str] = {"op1_pii": OP1_SQL, "op6_chat": OP6_SQL, "op8_line_dedup": OP8_SQL, "op9_topk": OP9_SQL}
+ORACLES: dict[str, str] = {
+    "op1_pii": OP1_SQL, "op6_chat": OP6_SQL, "op8_line_dedup": OP8_SQL, "op9_topk": OP9_SQL, "op12_sharding": OP12_SQL,
+}
