@@ -5,6 +5,7 @@ from __future__ import annotations
 from .bpe import op4_bpe
 from .chat import OP6_SQL, op6_chat
 from .langid import op2_langid
+from .lexical import OP13_SQL, op13_lexical
 from .line_dedup import OP8_SQL, op8_line_dedup
 from .packing import op7_packing
 from .pii import OP1_SQL, op1_pii
@@ -26,9 +27,11 @@ QUERIES = {
     "op9_topk": op9_topk,
     "op10_spotsigs": op10_spotsigs,
     "op12_sharding": op12_sharding,
+    "op13_lexical": op13_lexical,
     "spotsigs_classes": spotsigs_classes,
 }
 
 ORACLES: dict[str, str] = {
     "op1_pii": OP1_SQL, "op6_chat": OP6_SQL, "op8_line_dedup": OP8_SQL, "op9_topk": OP9_SQL, "op12_sharding": OP12_SQL,
+    "op13_lexical": OP13_SQL,
 }
