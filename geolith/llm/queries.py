@@ -9,6 +9,7 @@ from .lexical import OP13_SQL, op13_lexical
 from .line_dedup import OP8_SQL, op8_line_dedup
 from .packing import op7_packing
 from .pii import OP1_SQL, op1_pii
+from .runs import op11_runs
 from .secrets import op3_secrets
 from .sharding import OP12_SQL, op12_sharding
 from .simhash import op5_simhash
@@ -26,6 +27,7 @@ QUERIES = {
     "op8_line_dedup": op8_line_dedup,
     "op9_topk": op9_topk,
     "op10_spotsigs": op10_spotsigs,
+    "op11_runs": op11_runs,
     "op12_sharding": op12_sharding,
     "op13_lexical": op13_lexical,
     "spotsigs_classes": spotsigs_classes,
