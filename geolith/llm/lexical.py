@@ -236,14 +236,14 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
             yield {name: batch.column(name)[i].as_py() for name in ("docs", "texts", "sizes", "slices", "bits")}
 
 
-_PAIRS = "item int, doc_id long, text_hash long, bound long"
-_PAIRS_ARROW = pa.schema([("item", pa.int32()), ("doc_id", pa.int64()), ("text_hash", pa.int64()), ("bound", pa.int64())])
+_PAIRS = "item int, doc_id long, text_hash long, size long, bound long"
+_PAIRS_ARROW = pa.schema([("item", pa.int32()), *((n, pa.int64()) for n in ("doc_id", "text_hash", "size", "bound"))])
 
 
 def _pairs(item: np.ndarray, at: np.ndarray, bound: np.ndarray, block: dict) -> pa.RecordBatch:
-    docs, texts = pa.array(block["docs"], pa.int64()), pa.array(block["texts"], pa.int64())
     at = pa.array(at)
-    return pa.RecordBatch.from_arrays([pa.array(item.astype(np.int32)), docs.take(at), texts.take(at), pa.array(bound)], schema=_PAIRS_ARROW)
+    named = (pa.array(block[n], pa.int64()).take(at) for n in ("docs", "texts", "sizes"))
+    return pa.RecordBatch.from_arrays([pa.array(item.astype(np.int32)), *named, pa.array(bound)], schema=_PAIRS_ARROW)
 
 
 def _likely(blocks: DataFrame, shared, k: int) -> DataFrame:
@@ -347,7 +347,8 @@ def search(df: DataFrame, queries: DataFrame, k: int = TOP_K, doc_id: str = "doc
     The bounds of a few documents of each task choose the first documents that are
     scored; their ``k``-th score is each query's floor. Then every document whose bound
     reaches the floor (or ties with it under a smaller id) is scored exactly from its whole text: no
-    document is left out that its bound does not prove to be out. Queries go in rounds of
+    document is left out that its bound does not prove to be out. Of copies of one text (equal hash, size and
+    bound) the ``k`` of least id are scored: others cannot rank. Queries go in rounds of
     bounded size, each of which reads the whole index; documents that are scored are found
     by id and hash of text, sent to all tasks if they are few and joined otherwise.
 
@@ -384,7 +385,9 @@ def search(df: DataFrame, queries: DataFrame, k: int = TOP_K, doc_id: str = "doc
         for x in _ranked(_rescored(docs, first, shared), k).where(F.col("rank") == k).collect():
             scores[x.item], ids[x.item] = x.score, np.iinfo(np.int64).max if x.doc_id is None else x.doc_id
         floors = spark.sparkContext.broadcast((scores, ids))
-        found = _ranked(_rescored(docs, _survivors(blocks, shared, floors), shared), k)
+        copies = Window.partitionBy("item", "text_hash", "size", "bound").orderBy(F.asc_nulls_last("doc_id"))
+        open_ = _survivors(blocks, shared, floors).withColumn("copy", F.row_number().over(copies)).where(F.col("copy") <= k)
+        found = _ranked(_rescored(docs, open_, shared), k)
         named = F.array(*(F.lit(i).cast("long") for i in asking.items))
         out = out.unionByName(found.select(F.get(named, F.col("item")).alias("item_id"), "rank", "doc_id", "score"))
     return out
