@@ -6,8 +6,9 @@ actor codes stay the string "NAN", which grouping treats as a value and partner
 
 from __future__ import annotations
 
-from pyspark.ml.clustering import KMeans
+from pyspark.ml.clustering import KMeans, KMeansModel
 from pyspark.ml.evaluation import ClusteringEvaluator
+from pyspark.ml.functions import array_to_vector
 from pyspark.ml.feature import StandardScaler, VectorAssembler
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -282,21 +283,19 @@ def kmeans_themes(prepared: DataFrame, k: int = 4, seed: int = 42) -> DataFrame:
     return placed.join(F.broadcast(names), "cluster").select("event_id", "cluster", "cluster_theme")
 
 
-SHUFFLES, SEEDS, LEAST_EVENTS = 2, 3, 10
+SHUFFLES, SEEDS, LEAST_EVENTS = 2, 5, 10
 CLUSTER_COUNTS = range(2, 7)
 
 
-def rand_index(both: DataFrame, a: str, b: str) -> float:
-    """Adjusted Rand index of two labellings, from the counts of their pairs of labels."""
-    pair = F.col("count") * (F.col("count") - 1) / 2
-    cells = both.groupBy(a, b).count()
+def rand_index(both: DataFrame, a: str, b: str, weight: str) -> float:
+    """Adjusted Rand index of two labellings of weighted points, from the counts of their pairs of labels."""
+    n = F.col("n")
 
-    def pairs(df: DataFrame) -> float:
-        return df.agg(F.coalesce(F.sum(pair), F.lit(0.0))).first()[0]
+    def pairs(*by: str) -> float:
+        return both.groupBy(*by).agg(F.sum(weight).alias("n")).agg(F.coalesce(F.sum(n * (n - 1) / 2), F.lit(0.0))).first()[0]
 
-    same, left, right = pairs(cells), pairs(both.groupBy(a).count()), pairs(both.groupBy(b).count())
-    n = both.count()
-    chance = left * right / (n * (n - 1) / 2) if n > 1 else 0.0
+    same, left, right, every = pairs(a, b), pairs(a), pairs(b), pairs()
+    chance = left * right / every if every else 0.0
     return (same - chance) / ((left + right) / 2 - chance) if (left + right) / 2 != chance else 1.0
 
 
@@ -306,8 +305,8 @@ def cluster_quality(prepared: DataFrame, k: int = 4, seed: int = 42) -> dict:
     The silhouette is the library's, with squared distances. Shuffled labels
     have the clusters' sizes; agreement is the adjusted Rand index with the labels
     of other seeds. Under ten events, or without variation, there is a reason
-    instead of figures. Fits and scores are the library's, on all rows; the
-    driver sees sums.
+    instead of figures. Events are grouped once to different points with their number as weight, so
+    that every fit and score runs on points; the driver sees sums.
     """
     rows = prepared.where("goldstein IS NOT NULL").select(F.col("root").cast("double").alias("root_n"), "goldstein")
     n, different = rows.agg(F.count("*"), F.count_distinct("root_n", "goldstein")).first()
@@ -315,29 +314,31 @@ def cluster_quality(prepared: DataFrame, k: int = 4, seed: int = 42) -> dict:
         return {"reason": "under ten events"}
     if different <= max(k, *CLUSTER_COUNTS):
         return {"reason": "no variation"}
-    vectors = VectorAssembler(inputCols=["root_n", "goldstein"], outputCol="raw").transform(rows)
-    scaled = StandardScaler(inputCol="raw", outputCol="features", withMean=True).fit(vectors).transform(vectors).select("features").persist()
+    moments = rows.agg(*(f(c).alias(f"{c}_{m}") for c in ("root_n", "goldstein") for m, f in (("mean", F.avg), ("std", F.stddev_samp)))).first()
+    axes = [(F.col(c) - moments[f"{c}_mean"]) / (moments[f"{c}_std"] or 1.0) for c in ("root_n", "goldstein")]
+    points = rows.groupBy("root_n", "goldstein").agg(F.count("*").cast("double").alias("w"))
+    scaled = points.select("root_n", "goldstein", "w", array_to_vector(F.array(*axes)).alias("features")).persist()
 
-    def labelled(count: int, seed_: int, name: str = "cluster") -> DataFrame:
-        return KMeans(k=count, seed=seed_, predictionCol=name).fit(scaled)
+    def labelled(count: int, seed_: int, name: str = "cluster") -> KMeansModel:
+        return KMeans(k=count, seed=seed_, predictionCol=name, weightCol="w").fit(scaled)
 
     def silhouette(df: DataFrame, name: str = "cluster") -> float:
-        return ClusteringEvaluator(predictionCol=name).evaluate(df)
+        return ClusteringEvaluator(predictionCol=name, weightCol="w").evaluate(df)
 
     own = labelled(k, seed)
     placed = own.transform(scaled)
-    sizes = [r["count"] for r in placed.groupBy("cluster").count().orderBy("cluster").collect()]
+    sizes = [r["n"] for r in placed.groupBy("cluster").agg(F.sum("w").alias("n")).orderBy("cluster").collect()]
     bounds = [sum(sizes[: i + 1]) / sum(sizes) for i in range(len(sizes))]
 
     def shuffled(s: int) -> DataFrame:
-        at = F.rand(s)
-        return scaled.withColumn("at", at).withColumn(
-            "cluster", sum((F.col("at") > b).cast("int") for b in bounds[:-1]) if len(bounds) > 1 else F.lit(0)
-        )
+        drawn = rows.withColumn("at", F.rand(s))
+        label = sum((F.col("at") > b).cast("int") for b in bounds[:-1]) if len(bounds) > 1 else F.lit(0)
+        dealt = drawn.groupBy("root_n", "goldstein", label.alias("cluster")).agg(F.count("*").cast("double").alias("w"))
+        return dealt.join(scaled.drop("w"), ["root_n", "goldstein"])
 
     value = silhouette(placed)
     null = sum(silhouette(shuffled(s)) for s in range(SHUFFLES)) / SHUFFLES
-    stability = sum(rand_index(labelled(k, seed + s, "other").transform(placed), "cluster", "other") for s in range(1, SEEDS + 1)) / SEEDS
+    stability = sum(rand_index(labelled(k, seed + s, "other").transform(placed), "cluster", "other", "w") for s in range(1, SEEDS + 1)) / SEEDS
     sweep = {count: value if count == k else silhouette(labelled(count, seed).transform(scaled)) for count in CLUSTER_COUNTS}
     scaled.unpersist()
     bands = ((0.5, "strong"), (0.25, "reasonable"), (0.1, "weak"))

@@ -1,131 +1,47 @@
 """Graph measures of country networks.
 
-One graph (a year's, a sector's) has a few hundred countries, so each is one
-bounded group, and the bound is checked: Spark deals the graphs, numpy works
-inside a task. :func:`pagerank_table` has no such bound. Every function takes
-edges (exporter, importer, weight) and the columns that name the graph.
+Every function takes edges (exporter, importer, weight) and the columns that
+name the graph; :mod:`.network` has the measures themselves, for graphs of any size.
 """
 
 from __future__ import annotations
 
-import heapq
-from collections import defaultdict
-
 import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from geolith.session import scratch_folder
 
+from . import network
 from .learning import principal_axes
+from .network import components, modularity, spectral_embedding  # noqa: F401
 from .trade import concentration
 
-#: Most nodes of a graph that one task works on: its matrix then takes 32 MB.
+#: Most nodes of a graph whose matrix of meetings is made.
 MAX_NODES = 2000
 DAMPING, TOLERANCE, MAX_ROUNDS = 0.85, 1e-6, 100
 
 
-def pagerank(weights: np.ndarray) -> np.ndarray:
-    """Weighted PageRank by power iteration; sinks spread evenly; stops below 1e-6 a node."""
-    n = len(weights)
-    out = weights.sum(axis=1)
-    step = np.divide(weights, out[:, None], out=np.zeros_like(weights), where=out[:, None] > 0)
-    x = np.full(n, 1 / n)
-    for _ in range(MAX_ROUNDS):
-        before = x
-        x = DAMPING * (before @ step + before[out == 0].sum() / n) + (1 - DAMPING) / n
-        if np.abs(x - before).sum() < n * TOLERANCE:
-            break
-    return x
+def pagerank(edge: DataFrame, *keys: str) -> DataFrame:
+    """(keys, country, pagerank): weighted PageRank; sinks spread evenly; ends below 1e-6 a country."""
+    graphs = network.held_graphs(edge, *keys)
+    if graphs is None:
+        return pagerank_table(edge, *keys)
 
+    def work(graph: network.Graph) -> dict:
+        n = len(graph.names)
+        out = np.bincount(graph.sources, graph.weights, n)
+        share = np.divide(graph.weights, out[graph.sources], out=np.zeros(len(graph.weights)), where=out[graph.sources] > 0)
+        x = np.full(n, 1 / n)
+        for _ in range(MAX_ROUNDS):
+            before = x
+            flow = np.bincount(graph.targets, share * before[graph.sources], n)
+            x = DAMPING * (flow + before[out <= 0].sum() / n) + (1 - DAMPING) / n
+            if np.abs(x - before).sum() < n * TOLERANCE:
+                break
+        return {"pagerank": x}
 
-def betweenness(weights: np.ndarray) -> np.ndarray:
-    """Share of shortest paths through each node, distances 1 / weight, directed, normalised.
-
-    Dijkstra from every node; paths of equal length up to rounding count together.
-    """
-    n = len(weights)
-    near = [[(int(j), 1 / weights[i, j]) for j in np.flatnonzero(weights[i] > 0)] for i in range(n)]
-    total = np.zeros(n)
-    for source in range(n):
-        distance, paths, before = np.full(n, np.inf), np.zeros(n), [[] for _ in range(n)]
-        distance[source], paths[source] = 0.0, 1.0
-        queue, done, order = [(0.0, source)], np.zeros(n, bool), []
-        while queue:
-            d, v = heapq.heappop(queue)
-            if done[v]:
-                continue
-            done[v] = True
-            order.append(v)
-            for w, cost in near[v]:
-                there = d + cost
-                if there < distance[w] * (1 - 1e-12) or np.isinf(distance[w]):
-                    distance[w], paths[w], before[w] = there, paths[v], [v]
-                    heapq.heappush(queue, (there, w))
-                elif not done[w] and there <= distance[w] * (1 + 1e-12):
-                    paths[w] += paths[v]
-                    before[w].append(v)
-        share = np.zeros(n)
-        for w in reversed(order):
-            for v in before[w]:
-                share[v] += paths[v] / paths[w] * (1 + share[w])
-            if w != source:
-                total[w] += share[w]
-    return total / ((n - 1) * (n - 2)) if n > 2 else total
-
-
-def _modularity_groups(weights: np.ndarray, resolution: float = 1.0) -> np.ndarray:
-    """Louvain communities of a symmetric weight matrix; nodes are visited in order, so runs agree."""
-    n = len(weights)
-    member, matrix = np.arange(n), weights.copy()
-    while True:
-        size, degree, m2 = len(matrix), matrix.sum(axis=1), matrix.sum()
-        group, moved_any = np.arange(size), False
-        total = degree.copy()
-        moved = m2 > 0
-        while moved:
-            moved = False
-            for v in range(size):
-                links = defaultdict(float)
-                for w in np.flatnonzero(matrix[v] > 0):
-                    if w != v:
-                        links[group[w]] += matrix[v, w]
-                total[group[v]] -= degree[v]
-                best, best_gain = group[v], links.get(group[v], 0.0) - resolution * total[group[v]] * degree[v] / m2
-                for g in sorted(links):
-                    gain = links[g] - resolution * total[g] * degree[v] / m2
-                    if gain > best_gain + 1e-12:
-                        best, best_gain = g, gain
-                total[best] += degree[v]
-                if best != group[v]:
-                    group[v], moved, moved_any = best, True, True
-        if not moved_any:
-            return member
-        labels = {g: i for i, g in enumerate(dict.fromkeys(group))}
-        relabelled = np.array([labels[g] for g in group])
-        member = relabelled[member]
-        spread = np.zeros((size, len(labels)))
-        spread[np.arange(size), relabelled] = 1
-        matrix = spread.T @ matrix @ spread
-
-
-def modularity(weights: np.ndarray, member: np.ndarray) -> float:
-    m2 = weights.sum()
-    if m2 <= 0:
-        return 0.0
-    degree = weights.sum(axis=1)
-    same = member[:, None] == member[None, :]
-    return float((weights / m2 - np.outer(degree, degree) / m2**2)[same].sum())
-
-
-def _matrix(pdf: pd.DataFrame) -> tuple[list[str], np.ndarray]:
-    names = sorted(set(pdf["exporter"]) | set(pdf["importer"]))
-    at = {c: i for i, c in enumerate(names)}
-    out = np.zeros((len(names), len(names)))
-    np.add.at(out, (pdf["exporter"].map(at).to_numpy(), pdf["importer"].map(at).to_numpy()), pdf["weight"].to_numpy())
-    return names, out
+    return network._by_graph(edge, keys, graphs, work, "pagerank double")
 
 
 def pagerank_table(edge: DataFrame, *keys: str, tolerance: float = TOLERANCE, rounds: int = 100) -> DataFrame:
@@ -162,32 +78,9 @@ def pagerank_table(edge: DataFrame, *keys: str, tolerance: float = TOLERANCE, ro
     return ranks.select(*keys, "country", "pagerank")
 
 
-def _per_graph(edge: DataFrame, keys: tuple[str, ...], work, columns: str) -> DataFrame:
-    """Runs ``work`` (names and weight matrix to a frame) on each graph; one of more than ``MAX_NODES`` nodes is an error."""
-    keyed = edge if keys else edge.withColumn("__graph", F.lit(0))
-    names = list(keys) or ["__graph"]
-    schema = T.StructType([keyed.schema[k] for k in names]).simpleString()[7:-1].replace(":", " ")
-    most = MAX_NODES
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        if len(set(pdf["exporter"]) | set(pdf["importer"])) > most:
-            raise ValueError(f"a graph has more than {most} nodes, too many for one task")
-        out = work(*_matrix(pdf))
-        for i, k in enumerate(names):
-            out.insert(i, k, pdf[k].iloc[0])
-        return out
-
-    out = keyed.groupBy(*names).applyInPandas(run, f"{schema}, {columns}")
-    return out if keys else out.drop("__graph")
-
-
 def centrality(edge: DataFrame, *keys: str) -> DataFrame:
     """PageRank and betweenness of every country of every graph."""
-
-    def work(names, weights):
-        return pd.DataFrame({"country": names, "pagerank": pagerank(weights), "betweenness": betweenness(weights)})
-
-    return _per_graph(edge, keys, work, "country string, pagerank double, betweenness double")
+    return pagerank(edge, *keys).join(network.betweenness(edge, *keys), [*keys, "country"])
 
 
 def _scaled(column: str) -> F.Column:
@@ -209,27 +102,29 @@ def risk(edge: DataFrame, known: DataFrame | None = None) -> DataFrame:
 
 
 def trade_blocs(edge: DataFrame, *keys: str) -> DataFrame:
-    """Louvain blocs of the undirected graph, ordered by strength and named after their strongest member."""
-
-    def work(names, weights):
-        both = weights + weights.T
-        np.fill_diagonal(both, 0.0)
-        member, strength = _modularity_groups(both), both.sum(axis=1)
-        frame = pd.DataFrame({"country": names, "g": member, "strength": strength})
-        totals = frame.groupby("g")["strength"].sum()
-        first = frame.sort_values(["strength", "country"], ascending=[False, True]).groupby("g")["country"].first()
-        order = sorted(totals.index, key=lambda g: (-totals[g], first[g]))
-        inside = np.array([both[i, member == member[i]].sum() for i in range(len(names))])
-        frame["bloc_id"] = frame["g"].map({g: i + 1 for i, g in enumerate(order)})
-        frame["bloc"] = frame["g"].map(first)
-        frame["internal_share"] = np.divide(inside, strength, out=np.zeros(len(names)), where=strength > 0)
-        frame["modularity"] = modularity(both, member)
-        return frame[["country", "bloc_id", "bloc", "strength", "internal_share", "modularity"]]
-
-    return _per_graph(
-        edge, keys, work,
-        "country string, bloc_id int, bloc string, strength double, internal_share double, modularity double",
-    )
+    """Communities of the undirected graph, ordered by strength and named after their strongest member."""
+    edge = network._checkpointed(edge.groupBy(*keys, "exporter", "importer").agg(F.sum("weight").alias("weight")))
+    member = network._checkpointed(network.communities(edge, *keys))
+    both = network.undirected(edge, *keys)
+    own = member.select(*keys, F.col("country").alias("exporter"), F.col("community").alias("a"))
+    other = member.select(*keys, F.col("country").alias("importer"), F.col("community").alias("b"))
+    ends = both.join(own, [*keys, "exporter"]).join(other, [*keys, "importer"])
+    sums = ends.groupBy(*keys, F.col("exporter").alias("country")).agg(
+        F.sum("weight").alias("strength"), F.sum(F.when(F.col("a") == F.col("b"), F.col("weight")).otherwise(0.0)).alias("inside")
+    )
+    rows = member.join(sums, [*keys, "country"], "left").na.fill(0.0, ["strength", "inside"])
+    blocs = rows.groupBy(*keys, "community").agg(
+        F.sum("strength").alias("total"), F.min_by("country", F.struct((-F.col("strength")).alias("s"), "country")).alias("bloc")
+    )
+    order = Window.partitionBy(*keys).orderBy(F.desc("total"), "bloc")
+    named = blocs.select(*keys, "community", "bloc", F.row_number().over(order).alias("bloc_id"))
+    quality = modularity(edge, member, "community", *keys)
+    found = rows.join(named, [*keys, "community"])
+    found = found.join(quality, list(keys), "left") if keys else found.crossJoin(F.broadcast(quality))
+    share = F.when(F.col("strength") > 0, F.col("inside") / F.col("strength")).otherwise(0.0)
+    return found.select(
+        *keys, "country", "bloc_id", "bloc", "strength", share.alias("internal_share"), F.coalesce("modularity", F.lit(0.0)).alias("modularity")
+    )
 
 
 def bloc_summary(blocs: DataFrame, *keys: str) -> DataFrame:
@@ -245,66 +140,15 @@ def bloc_summary(blocs: DataFrame, *keys: str) -> DataFrame:
     )
 
 
-def eigenvector(weights: np.ndarray, rounds: int = 200) -> np.ndarray:
-    """Eigenvector centrality of a symmetric matrix by power iteration, of unit length."""
-    x = np.full(len(weights), 1 / np.sqrt(max(1, len(weights))))
-    for _ in range(rounds):
-        y = weights @ x + x  # the shift keeps bipartite graphs from swinging
-        y /= np.linalg.norm(y) or 1.0
-        if np.abs(y - x).sum() < len(x) * TOLERANCE:
-            return y
-        x = y
-    return x
-
-
-def components(weights: np.ndarray) -> np.ndarray:
-    """Connected component of each node of a symmetric matrix, named by its first node."""
-    label = np.arange(len(weights))
-    while True:
-        near = np.where(weights > 0, label[None, :], len(label)).min(axis=1, initial=len(label))
-        after = np.minimum(label, near)
-        if (after == label).all():
-            return label
-        label = after
-
-
 def network_metrics(edge: DataFrame, *keys: str) -> DataFrame:
     """Degree, eigenvector, PageRank, betweenness, component and community in the undirected graph."""
-
-    def work(names, weights):
-        both = weights + weights.T
-        np.fill_diagonal(both, 0.0)
-        linked = (both > 0).astype(float)
-        return pd.DataFrame(
-            {
-                "country": names, "degree": linked.sum(axis=1).astype(int), "eigenvector": eigenvector(both),
-                "pagerank": pagerank(both), "betweenness": betweenness(linked), "component": components(both),
-                "community": _modularity_groups(both),
-            }
-        )
-
-    return _per_graph(
-        edge, keys, work,
-        "country string, degree int, eigenvector double, pagerank double, betweenness double, component int, community int",
-    )
-
-
-def spectral_embedding(edge: DataFrame, *keys: str, dimensions: int = 2) -> DataFrame:
-    """Coordinates from the lowest non-trivial eigenvectors of the normalised Laplacian, filled with zeros."""
-
-    def work(names, weights):
-        both = weights + weights.T
-        np.fill_diagonal(both, 0.0)
-        degree = both.sum(axis=1)
-        scale = np.divide(1, np.sqrt(degree), out=np.zeros(len(names)), where=degree > 0)
-        _, axes = np.linalg.eigh(np.eye(len(names)) - scale[:, None] * both * scale[None, :])
-        found = axes[:, 1 : dimensions + 1]
-        found = found * np.where(found[np.abs(found).argmax(axis=0), np.arange(found.shape[1])] < 0, -1, 1)
-        out = np.zeros((len(names), dimensions))
-        out[:, : found.shape[1]] = found
-        return pd.DataFrame({"country": names} | {f"x{i + 1}": out[:, i] for i in range(dimensions)})
-
-    return _per_graph(edge, keys, work, "country string, " + ", ".join(f"x{i + 1} double" for i in range(dimensions)))
+    both = network._checkpointed(network.undirected(edge, *keys).where("weight > 0"))
+    linked = both.withColumn("weight", F.lit(1.0))
+    found = network._checkpointed(both.groupBy(*keys, F.col("exporter").alias("country")).agg(F.count("*").alias("degree")))
+    measures = (network.eigenvector(both, *keys), pagerank(both, *keys), network.betweenness(linked, *keys), components(both, *keys), network.communities(edge, *keys))
+    for measure in measures:
+        found = found.join(measure, [*keys, "country"])
+    return found
 
 
 def random_walks(edge: DataFrame, walks: int = 10, length: int = 8) -> DataFrame:

@@ -19,6 +19,8 @@ from pyspark.ml.stat import Correlation
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from geolith.session import ship_package
+
 MODELS = {
     "gbt": lambda: GBTRegressor(maxIter=20, maxDepth=3, seed=42),
     "forest": lambda: RandomForestRegressor(numTrees=40, maxDepth=6, seed=42),
@@ -214,48 +216,82 @@ def varimax(loadings: np.ndarray, rounds: int = 50) -> np.ndarray:
     return loadings @ turn
 
 
-def _tree(rows: np.ndarray, rng: np.random.Generator, depth: int):
-    if depth == 0 or len(rows) <= 1:
-        return len(rows)
-    column = rng.integers(rows.shape[1])
-    low, high = rows[:, column].min(), rows[:, column].max()
-    if low == high:
-        return len(rows)
-    cut = rng.uniform(low, high)
-    below = rows[:, column] < cut
-    return column, cut, _tree(rows[below], rng, depth - 1), _tree(rows[~below], rng, depth - 1)
-
-
-def _usual(n: float) -> float:
-    return 2 * (np.log(n - 1) + 0.5772156649) - 2 * (n - 1) / n if n > 2 else float(n == 2)
-
-
-def _depth(node, row: np.ndarray) -> float:
-    depth = 0
-    while isinstance(node, tuple):
-        node = node[2] if row[node[0]] < node[1] else node[3]
-        depth += 1
-    return depth + _usual(node)
-
-
-def isolation_outliers(df: DataFrame, columns: list[str], share: float = 0.03, trees: int = 100, sample: int = 256) -> DataFrame:
+def _isolation_tree(rows: np.ndarray, rng: np.random.Generator, depth: int) -> list[tuple]:
+    """Nodes (column, cut, left, right, size) of a tree that cuts at random; leaves have column -1."""
+    nodes: list[tuple] = []
+
+    def grow(some: np.ndarray, left: int) -> int:
+        at = len(nodes)
+        nodes.append((-1, 0.0, 0, 0, len(some)))
+        if left and len(some) > 1:
+            column = int(rng.integers(some.shape[1]))
+            low, high = some[:, column].min(), some[:, column].max()
+            if low < high:
+                cut = float(rng.uniform(low, high))
+                below = some[:, column] < cut
+                nodes[at] = (column, cut, grow(some[below], left - 1), grow(some[~below], left - 1), len(some))
+        return at
+
+    grow(rows, depth)
+    return nodes
+
+
+def _usual(n: np.ndarray) -> np.ndarray:
+    """Mean depth of a search among ``n`` rows."""
+    n = np.asarray(n, float)
+    many = np.maximum(n, 3)
+    return np.where(n > 2, 2 * (np.log(many - 1) + 0.5772156649) - 2 * (n - 1) / many, (n == 2).astype(float))
+
+
+def _depths(nodes: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """Depth of every row in one tree, all rows going down a level at once."""
+    at, depth = np.zeros(len(x), int), np.zeros(len(x))
+    going = np.arange(len(x))
+    while len(going):
+        here = nodes[at[going]]
+        inner = here[:, 0] >= 0
+        going, here = going[inner], here[inner]
+        below = x[going, here[:, 0].astype(int)] < here[:, 1]
+        at[going] = np.where(below, here[:, 2], here[:, 3]).astype(int)
+        depth[going] += 1
+    return depth + _usual(nodes[at, 4])
+
+
+def isolation_outliers(df: DataFrame, columns: list[str], share: float = 0.03, trees: int = 200, sample: int = 256) -> DataFrame:
     """Isolation forest: (iso3, period, anomaly, is_outlier).
 
-    Trees see ``sample`` rows each of at most 50 times as many, taken by hash; all
-    rows are scored. The given share of rows with the highest scores are outliers.
+    Every tree draws its own rows by hash, about a quarter more than ``sample``, keeps the ``sample`` that
+    come first, and is grown in a task; only cuts reach the driver. All rows are scored, column-wise. The given share of
+    rows with the highest scores are outliers.
     """
+    ship_package(df.sparkSession)
     known = df.dropna(subset=columns).select("iso3", "period", *columns)
-    head = known.orderBy(F.xxhash64("iso3", "period"), "iso3", "period").limit(50 * sample).toPandas()[columns].to_numpy(float)
-    rng = np.random.default_rng(42)
-    size = min(sample, len(head))
+    n = known.count()
+    if not n:
+        return known.select("iso3", "period", F.lit(0.0).alias("anomaly"), F.lit(False).alias("is_outlier"))
+    size, scale = min(sample, n), 1 << 30
     depth = int(np.ceil(np.log2(max(2, size))))
-    forest = [_tree(head[rng.choice(len(head), size, replace=False)], rng, depth) for _ in range(trees)] if size else []
+
+    def draw(t: Column) -> Column:
+        return F.pmod(F.xxhash64("iso3", "period", t), F.lit(scale))
+
+    bar = int(scale * min(1.0, 1.25 * size / n + 8 / n))
+    drawn = known.select("*", F.explode(F.filter(F.sequence(F.lit(0), F.lit(trees - 1)), lambda t: draw(t) < bar)).alias("tree"))
+
+    def grow(pdf: pd.DataFrame) -> pd.DataFrame:
+        tree = int(pdf["tree"].iloc[0])
+        rows = pdf.sort_values(["at", "iso3", "period"]).head(size)[columns].to_numpy(float)
+        nodes = _isolation_tree(rows, np.random.default_rng([42, tree]), depth)
+        return pd.DataFrame({"tree": [tree], "nodes": [np.array(nodes, float).ravel().tolist()]})
+
+    grown = drawn.withColumn("at", draw(F.col("tree"))).groupBy("tree").applyInPandas(grow, "tree int, nodes array<double>")
+    forest = [np.array(r.nodes).reshape(-1, 5) for r in grown.orderBy("tree").collect()]
 
     def score(batches):
         for pdf in batches:
             x = pdf[columns].to_numpy(float)
-            mean = np.array([np.mean([_depth(t, row) for t in forest]) for row in x]) if len(x) else np.empty(0)
-            yield pd.DataFrame({"iso3": pdf["iso3"], "period": pdf["period"], "anomaly": 2 ** (-mean / max(_usual(size), 1e-9))})
+            mean = sum((_depths(t, x) for t in forest), np.zeros(len(x))) / max(1, len(forest))
+            yield pd.DataFrame({"iso3": pdf["iso3"], "period": pdf["period"], "anomaly": 2 ** (-mean / max(float(_usual(size)), 1e-9))})
 
     scored = known.mapInPandas(score, "iso3 string, period int, anomaly double")
     cut = scored.agg(F.percentile("anomaly", 1 - share).alias("cut"))

@@ -211,3 +211,10 @@ def adjusted_scores(df: DataFrame) -> DataFrame:
 
 def without(df: DataFrame, excluded: DataFrame, key: str = "iso3") -> DataFrame:
     return df.join(small(excluded.select(key).distinct()), key, "left_anti")
+
+
+def terciles(df: DataFrame, score: str) -> DataFrame:
+    """``df`` with ``tercile``, low, medium or high by the thirds of ``score``; cuts are right-closed, rows without a score have none."""
+    cuts = df.agg(F.percentile(score, [1 / 3, 2 / 3]).alias("cuts"))
+    band = F.when(F.col(score) <= F.get("cuts", F.lit(0)), "low").when(F.col(score) <= F.get("cuts", F.lit(1)), "medium").when(F.col(score).isNotNull(), "high")
+    return df.crossJoin(F.broadcast(cuts)).withColumn("tercile", band).drop("cuts")

@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from geolith.operators import events, fusion, graph, influence, learning, policy, trade, uploads
+from geolith.operators import events, fusion, graph, influence, learning, network, policy, trade, uploads
 from geolith.session import ship_package
-from geolith.sources.views import PANEL_SQL, TRADE_FLOWS_SQL, VOTES_SQL, conflicts, gdelt, panel, trade_flows, votes
+from geolith.sources.views import CONFLICTS_SQL, PANEL_SQL, TRADE_FLOWS_SQL, VOTES_SQL, conflicts, gdelt, panel, trade_flows, votes
 
 from .policy import ANCHORS
 from .trade import _rounded
@@ -25,6 +25,21 @@ def policy_network_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(graph.network_metrics(_conflict_graph(spark, sf_dir)))
 
 
+def policy_components(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Partners and connected component of every country of the conflict graph."""
+    edge = _conflict_graph(spark, sf_dir)
+    degree = network.undirected(edge).groupBy(F.col("exporter").alias("country")).agg(F.count("*").alias("degree"))
+    return network.components(edge).join(degree, "country").select("country", "component", "degree")
+
+
+POLICY_COMPONENTS_SQL = f"""
+WITH RECURSIVE {CONFLICTS_SQL}, e AS (
+    SELECT country_a::VARCHAR AS a, country_b::VARCHAR AS b FROM conflicts UNION SELECT country_b::VARCHAR, country_a::VARCHAR FROM conflicts
+), reach(a, b) AS (SELECT DISTINCT a, a FROM e UNION SELECT r.a, e.b FROM reach r JOIN e ON e.a = r.b)
+SELECT r.a AS country, min(r.b) AS component, (SELECT count(*) FROM e WHERE e.a = r.a) AS degree FROM reach r GROUP BY 1
+"""
+
+
 def policy_spectral_embedding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(graph.spectral_embedding(_conflict_graph(spark, sf_dir)))
 
@@ -153,12 +168,13 @@ SELECT round(avg(abs(f - c)), 6) AS naive_mae, round(avg(abs(f - 2 * c + b)), 6)
 QUERIES = {
     f.__name__: f
     for f in (
-        policy_network_metrics, policy_spectral_embedding, policy_walk_embedding, policy_bloc_discovery, influence_temporal_cv,
+        policy_network_metrics, policy_components, policy_spectral_embedding, policy_walk_embedding, policy_bloc_discovery, influence_temporal_cv,
         influence_importance, influence_what_if, influence_outliers, influence_rotated_scores, influence_baselines,
         upload_normalised, events_cluster_quality, fusion_shock_camps, fusion_bilateral,
     )
 }
 ORACLES = {
+    "policy_components": POLICY_COMPONENTS_SQL,
     "influence_baselines": INFLUENCE_BASELINES_SQL,
     "upload_normalised": UPLOAD_NORMALISED_SQL,
     "fusion_shock_camps": _camps_sql(),

@@ -332,13 +332,16 @@ def influence_large_states(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The panel without excluded states, in terciles of the latest composite."""
     small = table(spark, sf_dir, "nation").where("n_nationkey % 5 = 0").select(F.col("n_name").alias("iso3"))
     kept = records.without(panel(spark, sf_dir), small).groupBy("iso3").agg(F.max_by("composite", "period").alias("score"))
-    return kept.select("iso3", F.round("score", 6).alias("score"))
+    return records.terciles(kept.select("iso3", F.round("score", 6).alias("score")), "score")
 
 
 INFLUENCE_LARGE_STATES_SQL = f"""
-WITH {PANEL_SQL}
-SELECT iso3, round(arg_max(composite, period), 6) AS score FROM panel
-WHERE iso3 NOT IN (SELECT n_name FROM nation WHERE n_nationkey % 5 = 0) GROUP BY 1
+WITH {PANEL_SQL}, kept AS (
+    SELECT iso3, round(arg_max(composite, period), 6) AS score FROM panel
+    WHERE iso3 NOT IN (SELECT n_name FROM nation WHERE n_nationkey % 5 = 0) GROUP BY 1
+), cuts AS (SELECT quantile_cont(score, 1 / 3.0) AS low, quantile_cont(score, 2 / 3.0) AS high FROM kept)
+SELECT iso3, score, CASE WHEN score <= low THEN 'low' WHEN score <= high THEN 'medium' WHEN score IS NOT NULL THEN 'high' END AS tercile
+FROM kept, cuts
 """
 
 

@@ -130,17 +130,26 @@ FROM panel WHERE iso3 <> 'NATION_3' GROUP BY 1, 2 HAVING max(volume) IS NOT NULL
 """
 
 
-_materialised: dict[tuple[str, str], str] = {}
+_materialised: dict[tuple[str, str], tuple[str, tuple]] = {}
+
+
+def _state_of(flows: DataFrame) -> tuple:
+    """What changes with the tables that ``flows`` reads: names, sizes and times of their files."""
+    spark = flows.sparkSession
+    paths = [spark._jvm.org.apache.hadoop.fs.Path(f) for f in sorted(flows.inputFiles())]
+    found = (p.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(p) for p in paths)
+    return tuple((str(f.getPath()), f.getLen(), f.getModificationTime()) for f in found)
 
 
 def materialised(spark: SparkSession, sf_dir: str) -> str:
-    """The folder of the trade tables of ``sf_dir``, built by the first query of an application that needs them."""
-    key = (spark.sparkContext.applicationId, sf_dir)
-    if key not in _materialised:
+    """The folder of the trade tables of ``sf_dir``, built by the first query that needs them and anew when their files change."""
+    flows = trade_flows(spark, sf_dir)
+    key, state = (spark.sparkContext.applicationId, sf_dir), _state_of(flows)
+    if key not in _materialised or _materialised[key][1] != state:
         folder = scratch_folder(spark, "trade-tables")
-        cache.build(trade_flows(spark, sf_dir), folder)
-        _materialised[key] = folder
-    return _materialised[key]
+        cache.build(flows, folder)
+        _materialised[key] = folder, state
+    return _materialised[key][0]
 
 
 def cache_risk(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -169,9 +178,7 @@ CACHE_QUALITY_SQL = TRADE_QUALITY_OVERALL_SQL.replace("FROM raw_flows", "FROM tr
 
 def cache_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Edges of a year and sector from the materialised tables."""
-    folder = scratch_folder(spark, "cache")
-    cache.build(trade_flows(spark, sf_dir).where("year IN (1995, 1996)"), folder)
-    return _rounded(cache.edges_of(spark, folder, 1996, "energy"), 4)
+    return _rounded(cache.edges_of(spark, materialised(spark, sf_dir), 1996, "energy"), 4)
 
 
 CACHE_EDGES_SQL = f"""
@@ -182,17 +189,16 @@ WHERE year = 1996 AND sector = 'energy' GROUP BY ALL
 
 
 def cache_history(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A country's exports year by year from the materialised tables."""
-    folder = scratch_folder(spark, "cache")
-    cache.build(trade_flows(spark, sf_dir).where("year IN (1994, 1995)"), folder)
-    return cache.history(spark, folder, "NATION_7").select("year", F.round("exports", 4).alias("exports"), F.round("imports", 4).alias("imports"))
+    """A country's exports and imports in every year, from the materialised tables."""
+    found = cache.history(spark, materialised(spark, sf_dir), "NATION_7")
+    return found.select("year", F.round("exports", 4).alias("exports"), F.round("imports", 4).alias("imports"))
 
 
 CACHE_HISTORY_SQL = f"""
 WITH {TRADE_FLOWS_SQL}
 SELECT year, round(sum(CASE WHEN exporter = 'NATION_7' THEN trade_value ELSE 0 END), 4) AS exports,
        round(sum(CASE WHEN importer = 'NATION_7' THEN trade_value ELSE 0 END), 4) AS imports
-FROM trade_flows WHERE year IN (1994, 1995) AND 'NATION_7' IN (exporter, importer) GROUP BY 1
+FROM trade_flows WHERE 'NATION_7' IN (exporter, importer) GROUP BY 1
 """
 
 

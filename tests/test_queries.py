@@ -51,6 +51,6 @@ def test_query_equals_sql(spark, db, sf_dir, name):
     assert not unequal, unequal[:3]
 
 
-@pytest.mark.parametrize("name", sorted(set(registry.QUERIES) - set(registry.ORACLES) - {"fusion_invalid", "text_snippets"}))
+@pytest.mark.parametrize("name", sorted(set(registry.QUERIES) - set(registry.ORACLES)))
 def test_query_without_sql_has_rows(spark, sf_dir, name):
     assert registry.QUERIES[name](spark, sf_dir).count() > 0
