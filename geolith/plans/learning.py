@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from geolith.operators import events, fusion, graph, influence, learning, network, policy, trade, uploads
+from geolith.operators import boosting, events, fusion, graph, influence, learning, network, policy, trade, uploads
 from geolith.session import ship_package
 from geolith.sources.views import CONFLICTS_SQL, PANEL_SQL, TRADE_FLOWS_SQL, VOTES_SQL, conflicts, gdelt, panel, trade_flows, votes
 
@@ -60,7 +60,15 @@ def _lagged(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def influence_temporal_cv(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _rounded(learning.temporal_cv(_lagged(spark, sf_dir), [*INDICATORS, "lag1", "delta1"], "target", "ridge", 2))
+    """Four expanding folds of the ensemble of boosted and bagged trees, with its three intervals."""
+    return _rounded(boosting.quantile_cv(_lagged(spark, sf_dir), [*INDICATORS, "lag1", "delta1"], "target"))
+
+
+def influence_tree_drivers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What moves each country's next composite, by exact attributions of boosted trees; the parts of each row add up."""
+    rows, features = _lagged(spark, sf_dir), [*INDICATORS, "lag1", "delta1"]
+    model = boosting.fit_trees(rows, features, "target", [boosting.Spec("target", F.lit(True), 0.5)], "iso3", "period")["target"]
+    return _rounded(learning.drivers(boosting.tree_attributions(rows, model, "iso3", "period"), "iso3"))
 
 
 def influence_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -169,7 +177,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         policy_network_metrics, policy_components, policy_spectral_embedding, policy_walk_embedding, policy_bloc_discovery, influence_temporal_cv,
-        influence_importance, influence_what_if, influence_outliers, influence_rotated_scores, influence_baselines,
+        influence_tree_drivers, influence_importance, influence_what_if, influence_outliers, influence_rotated_scores, influence_baselines,
         upload_normalised, events_cluster_quality, fusion_shock_camps, fusion_bilateral,
     )
 }
