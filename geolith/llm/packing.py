@@ -24,8 +24,9 @@ from .common import bounded_batches, checkpointed, shuffle_partitions, table
 
 SEQUENCE_TOKENS = 2048
 END_ID = 0
-#: White space of so many characters in a row is left to the exact encoder.
-LONG_RUN = 20_000
+#: White space of so many characters in a row is left to the exact encoder; ``tiktoken`` takes quadratic time in it.
+LONG_RUN = 256
+_LONG_SPACE = re.compile(rf"\s{{{LONG_RUN}}}")
 
 
 class Capacities:
@@ -111,8 +112,8 @@ class Encoder:
     ``tiktoken`` merges by ids alone. Where ids stand in merge order and every
     token is what its own bytes are encoded as, any two neighbours that form a
     token are that token's own merge, so both give the same ids; the vocabulary
-    is tested for that at load. Its pattern engine gives up on white space of
-    about a million characters, so texts with long runs go to ``ByteBpe``.
+    is tested for that at load. Its time grows with the square of a run of
+    white space, so texts with a run of ``LONG_RUN`` go to ``ByteBpe``.
     """
 
     def __init__(self, path: str):
@@ -126,7 +127,7 @@ class Encoder:
             self.quick = tiktoken.Encoding("packing", pat_str=PIECE_PATTERN, mergeable_ranks=ranks, special_tokens=special)
 
     def encode(self, text: str) -> np.ndarray:
-        if self.quick is None or len(text) > LONG_RUN and re.search(rf"\s{{{LONG_RUN}}}", text):
+        if self.quick is None or _LONG_SPACE.search(text):
             return self.exact.encode(text)
         return self.quick.encode_to_numpy(text, allowed_special="all")
 

@@ -186,3 +186,23 @@ def test_packing_repeated_and_no_rows(spark):
     rows = pack(pieces, 16).toPandas()
     assert len(rows) == 10 and rows.groupby("sequence_id")["length"].sum().max() <= 16
     assert pack(pieces.limit(0), 16).count() == 0
+
+
+def test_time_grows_with_the_text_whatever_its_blanks():
+    import time
+
+    import public_tokenizers
+
+    from geolith.llm.packing import LONG_RUN, Encoder
+
+    model = Encoder(public_tokenizers.path("byte_bpe_50k.json"))
+
+    def took(text):
+        began = time.process_time()
+        assert model.encode(text).tolist() == model.exact.encode(text).tolist()
+        return time.process_time() - began
+
+    for run in (LONG_RUN - 1, LONG_RUN, 19_999):
+        text = (" " * run + "x") * (200_000 // run)
+        took(text)
+        assert took(text * 4) < 8 * max(took(text), 0.05)
