@@ -12,6 +12,10 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from geolith.session import ship_package
+
+from .network import _checkpointed
+
 #: Weights of the five dimensions; reliability 1 loses nothing, each tenth less costs half a point.
 DIMENSION_WEIGHTS = {"d1": 0.15, "d2": 0.25, "d3": 0.20, "d4": 0.25, "d5": 0.15}
 
@@ -240,6 +244,71 @@ def spearman(panel: DataFrame, a: str, b: str) -> DataFrame:
     return ranked.groupBy("period").agg(F.corr("ra", "rb").alias("spearman"), F.count("*").alias("n"))
 
 
+def _inversions(rank: np.ndarray) -> int:
+    """Pairs of a permutation of 0..n-1 that stand in falling order: by bits, ones that stand before zeros of their group."""
+    total, values = 0, rank.astype(np.int64)
+    for k in reversed(range(int(len(values)).bit_length())):
+        group, bit = values >> (k + 1), values >> k & 1
+        before = np.cumsum(bit) - bit
+        first = np.searchsorted(group, group)
+        total += int(((before - before[first]) * (1 - bit)).sum())
+        values = values[np.argsort(values >> k, kind="stable")]
+    return total
+
+
+def kendall(df: DataFrame, a: str, b: str, *keys: str) -> DataFrame:
+    """(keys, kendall, n): Kendall's rank agreement, corrected for ties (tau-b), for groups of any size.
+
+    Rows are put into ranges by (a, b), and again by (b, a). A discordant pair is in one range of the first
+    kind, or in one of the second, or in neither; the first two are counted by merging inside
+    tasks, the third from the number of rows that each pair of ranges shares. No pair is made. Rows without either value are left out; a
+    group without variation has null.
+    """
+    spark = df.sparkSession
+    ship_package(spark)
+    on = list(keys)
+    known = df.where(F.col(a).isNotNull() & F.col(b).isNotNull()).select(*on, F.col(a).cast("double").alias("a"), F.col(b).cast("double").alias("b"))
+    rows = _checkpointed(known.withColumn("row", F.monotonically_increasing_id()))
+    ranges = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    rows = _checkpointed(rows.repartitionByRange(ranges, *on, "a", "b", "row").withColumn("p", F.spark_partition_id()))
+    rows = _checkpointed(rows.repartitionByRange(ranges, *on, "b", "a", "row").withColumn("q", F.spark_partition_id()))
+    fields = "".join(f"{k} {df.schema[k].dataType.simpleString()}, " for k in keys) + "discordant long"
+
+    def counted(order: list[str]):
+        def run(pdf: pd.DataFrame) -> pd.DataFrame:
+            pdf = pdf.sort_values(["b", "a", "row"], ignore_index=True)
+            found = _inversions(pdf.sort_values(order, kind="stable").index.to_numpy())
+            return pdf[on].head(1).assign(discordant=found)
+
+        return run
+
+    def across(pdf: pd.DataFrame) -> pd.DataFrame:
+        p, q = (np.unique(pdf[c], return_inverse=True)[1] for c in "pq")
+        cells = np.zeros((p.max() + 1, q.max() + 1))
+        cells[p, q] = pdf["n"]
+        later = np.cumsum(cells[:, ::-1], axis=1)[:, ::-1] - cells  # of one p, in later q
+        earlier = np.cumsum(later, axis=0) - later
+        return pdf[on].head(1).assign(discordant=int((earlier * cells).sum()))
+
+    inside = rows.groupBy(*on, "p").applyInPandas(counted(["a", "b", "row"]), fields)
+    beside = rows.groupBy(*on, "q").applyInPandas(counted(["p"]), fields)
+    shared = rows.groupBy(*on, "p", "q").agg(F.count("*").alias("n"))
+    shared = shared.groupBy(*on).applyInPandas(across, fields) if on else shared.groupBy(F.lit(0)).applyInPandas(across, fields)
+    discordant = inside.unionByName(beside).unionByName(shared).groupBy(*on).agg(F.sum("discordant").alias("d"))
+
+    def ties(*by: str) -> DataFrame:
+        pairs = F.col("count") * (F.col("count") - 1) / 2
+        return rows.groupBy(*on, *by).count().groupBy(*on).agg(F.sum(pairs).alias("t_" + "".join(by)), F.sum("count").alias("n_" + "".join(by)))
+
+    both = discordant
+    for by in (("a",), ("b",), ("a", "b")):
+        both = both.join(ties(*by), on) if on else both.crossJoin(F.broadcast(ties(*by)))
+    n0 = F.col("n_a") * (F.col("n_a") - 1) / 2
+    agreed = n0 - F.col("t_a") - F.col("t_b") + F.col("t_ab") - 2 * F.col("d")
+    spread = F.sqrt((n0 - F.col("t_a")) * (n0 - F.col("t_b")))
+    return both.select(*on, F.when(spread > 0, agreed / spread).alias("kendall"), F.col("n_a").alias("n"))
+
+
 def psi(reference: DataFrame, current: DataFrame, column: str, bins: int = 10) -> DataFrame:
     """Population stability index over the reference's deciles; shares of at least 1e-6; above 0.2 is drift."""
     cuts = reference.agg(F.percentile(column, [i / bins for i in range(1, bins)]).alias("cuts"))

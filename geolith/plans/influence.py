@@ -194,6 +194,20 @@ SELECT period, round(corr(a, b), 6) AS spearman, count(*) AS n FROM r GROUP BY 1
 """
 
 
+def influence_kendall(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rounded(influence.kendall(panel(spark, sf_dir), "price", "wealth", "period"))
+
+
+INFLUENCE_KENDALL_SQL = f"""
+WITH {PANEL_SQL}, k AS (
+    SELECT period, price AS a, wealth AS b, row_number() OVER () AS row FROM panel WHERE price IS NOT NULL AND wealth IS NOT NULL
+), pairs AS (
+    SELECT x.period, sign(x.a - y.a) AS da, sign(x.b - y.b) AS db FROM k x JOIN k y ON x.period = y.period AND x.row < y.row
+), s AS (SELECT period, sum(da * db) AS c, sum(da * da) AS va, sum(db * db) AS vb FROM pairs GROUP BY 1)
+SELECT period, round(CASE WHEN va * vb > 0 THEN c / sqrt(va * vb) END, 6) AS kendall, (SELECT count(*) FROM k WHERE k.period = s.period) AS n FROM s
+"""
+
+
 def influence_psi(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = panel(spark, sf_dir)
     return _rounded(influence.psi(p.where("period < 7995"), p.where("period >= 7995"), "wealth"))
@@ -326,7 +340,7 @@ QUERIES = {
     for f in (
         influence_impute, influence_scaled, influence_gaps, influence_lags, influence_momentum, influence_ranks,
         influence_latest, influence_autocorrelation, influence_static, influence_deltas, influence_regimes,
-        influence_spearman, influence_psi, influence_peers, influence_validation, influence_kalman,
+        influence_spearman, influence_kendall, influence_psi, influence_peers, influence_validation, influence_kalman,
         influence_kalman_forecast, influence_kalman_summary, influence_coverage, influence_vif, influence_kalman_regimes,
         influence_short_forecast, influence_lagged_pairs, influence_partial_correlation,
     )

@@ -145,3 +145,17 @@ def test_spelling(spark):
     asked = spark.createDataFrame([(1, "Exprots from Indai, agricluture?"), (2, "chna or qqqq"), (3, None)], "id int, q string")
     found = {r.id: r.corrected for r in questions.correct_spelling(asked, words, "id", "q").collect()}
     assert found == {1: "exports from india, agriculture?", 2: "china or qqqq", 3: ""}
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_kendall_equals_all_pairs(spark, seed):
+    rng = np.random.default_rng(seed)
+    rows = [(int(g), float(x), None if y == 7 else float(y)) for g, x, y in zip(rng.integers(0, 3, 400), rng.integers(0, 9, 400), rng.integers(0, 12, 400), strict=True)]
+    rows += [(9, 1.0, 1.0), (9, 1.0, 2.0), (8, 4.0, 4.0)]
+    found = {r.g: (r.kendall, r.n) for r in influence.kendall(spark.createDataFrame(rows, "g int, x double, y double"), "x", "y", "g").collect()}
+    for g in {r[0] for r in rows}:
+        part = [(x, y) for k, x, y in rows if k == g and y is not None]
+        signs = [(np.sign(a - c), np.sign(b - d)) for i, (a, b) in enumerate(part) for c, d in part[:i]]
+        va, vb = (sum(s[k] ** 2 for s in signs) for k in (0, 1))
+        want = sum(a * b for a, b in signs) / np.sqrt(va * vb) if va * vb else None
+        assert found[g] == (want if want is None else pytest.approx(want), len(part))
