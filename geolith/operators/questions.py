@@ -34,27 +34,165 @@ def reformulate(text: Column) -> Column:
     return F.trim(F.regexp_replace(text, r"\s+", " "))
 
 
-def entity_mentions(questions: DataFrame, aliases: DataFrame, key: str, text: str) -> DataFrame:
-    """(key, iso3s): countries that a question names, in order of their codes.
+#: Words that turn a country's name into a region's, unless the name itself has them.
+COMPASS = ("north", "northern", "south", "southern", "east", "eastern", "west", "western", "central")
+#: Names of so many characters are found in capitals only, as they are words too.
+CODE_CHARACTERS = 3
+_WORD = r"[\p{L}\p{N}_]+"
+# How sure each kind of rewrite is; those of a question multiply.
+CONFIDENCE = {
+    "endonym": 0.95,
+    "combining_form": 0.95,
+    "abbreviation": 0.9,
+    "capital": 0.9,
+    "country_spelling": 0.8,
+    "word_spelling": 0.9,
+    "word_form": 0.95,
+    "number_word": 0.95,
+    "relative_year": 0.9,
+    "lexicon": 0.9,
+    "future_year": 0.85,
+    "scenario": 0.8,
+}
+
+
+def _pieces(text: Column) -> Column:
+    """Words and what stands between them, in order."""
+    return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(f"({_WORD}|[^\\p{{L}}\\p{{N}}_]+)"), F.lit(1))
+
+
+def _folded(label: Column) -> Column:
+    return F.array_join(F.regexp_extract_all(F.lower(label), F.lit(f"({_WORD})"), F.lit(1)), " ")
+
+
+def mentions(questions: DataFrame, labels: DataFrame, key: str, text: str) -> DataFrame:
+    """(key, hits): where each question names a label, as (at, size, label) in order; every question has a row.
 
-    ``aliases`` (alias, iso3) is the name table of a few thousand rows. Words
-    and runs of up to three words are looked up in it, so names need no scan of
-    the table per question.
+    ``labels`` has (label, ...), each a name of one or more words. Names are matched whole, in any case, with blanks or
+    hyphens between their words; names of up to three characters only in capitals. Longer names go first (by words, then
+    characters), of equal ones the first in the text; names do not overlap. A name after a compass word is a region and
+    not found. ``at`` counts pieces (words and what stands between them), ``size`` is their number. Runs of words up to the longest label are
+    looked up by a join, so neither side is scanned for the other.
     """
-    words = F.filter(F.split(F.lower(F.col(text)), r"[^\p{L}]+"), lambda w: w != "")
-    found = questions.select(key, words.alias("w"))
-    runs = F.flatten(
-        F.transform(
-            F.sequence(F.lit(1), F.lit(3)),
-            lambda n: F.transform(
-                F.sequence(F.lit(1), F.greatest(F.size("w") - n + 1, F.lit(1))),
-                lambda i: F.array_join(F.slice("w", i, n), " "),
-            ),
-        )
+    known = labels.select(F.col("label"), _folded(F.col("label")).alias("name")).where("name <> ''").distinct()
+    longest = known.agg(F.coalesce(F.max(F.size(F.split("name", " "))), F.lit(0))).first()[0]
+    cut = questions.select(key, _pieces(F.col(text)).alias("p"))
+    empty = cut.select(key, F.array().cast("array<struct<at:int,size:int,label:string>>").alias("hits"))
+    if not longest:
+        return empty
+    spot = F.posexplode("p").alias("at", "word")
+    words = cut.select(key, "p", spot).where(F.rlike("word", F.lit(f"^{_WORD}$")))
+    sizes = F.explode(F.sequence(F.lit(1), F.lit(longest))).alias("n")
+    runs = words.select(key, "p", "at", sizes).where(F.col("at") + 2 * F.col("n") - 1 <= F.size("p"))
+    part = F.slice("p", F.col("at") + 1, 2 * F.col("n") - 1)
+    inside = F.forall(part, lambda x: F.rlike(x, F.lit(f"^({_WORD}|[\\s-]+)$")))
+    before = F.lower(F.when((F.col("at") >= 2) & F.rlike(F.get("p", F.col("at") - 1), F.lit(r"^[\s-]+$")), F.get("p", F.col("at") - 2)))
+    seen = F.array_join(part, "")
+    found = (
+        runs.where(inside)
+        .select(key, "at", (2 * F.col("n") - 1).alias("size"), seen.alias("seen"), _folded(seen).alias("name"), before.alias("before"))
+        .join(known, "name")
+        .where((F.length("name") > CODE_CHARACTERS) | (F.upper("seen") == F.col("seen")))
+        .where(F.coalesce(~F.col("before").isin(*COMPASS), F.lit(True)))
     )
-    named = found.where(F.size("w") > 0).select(key, F.explode(F.array_distinct(runs)).alias("alias"))
-    hits = named.join(aliases.select(F.lower("alias").alias("alias"), "iso3"), "alias")
-    return hits.groupBy(key).agg(F.sort_array(F.collect_set("iso3")).alias("iso3s"))
+    hit = F.struct((-F.col("size")).alias("s"), (-F.length("name")).alias("c"), F.col("at").cast("int").alias("at"), F.col("size").cast("int").alias("size"), "label")
+    ordered = found.groupBy(key).agg(F.sort_array(F.collect_set(hit)).alias("found"))
+    kept = F.aggregate(
+        F.transform("found", lambda h: F.struct(h["at"].alias("at"), h["size"].alias("size"), h["label"].alias("label"))),
+        F.array().cast("array<struct<at:int,size:int,label:string>>"),
+        lambda acc, h: F.when(
+            F.exists(acc, lambda k: (k["at"] < h["at"] + h["size"]) & (h["at"] < k["at"] + k["size"])), acc
+        ).otherwise(F.array_append(acc, h)),
+    )
+    return cut.select(key).join(ordered, key, "left").select(
+        key, F.coalesce(F.sort_array(kept), F.array().cast("array<struct<at:int,size:int,label:string>>")).alias("hits")
+    )
+
+
+def entity_mentions(questions: DataFrame, aliases: DataFrame, key: str, text: str) -> DataFrame:
+    """(key, iso3s): countries that a question names, in order of their codes. ``aliases`` has (alias, iso3)."""
+    labels = aliases.select(F.col("alias").alias("label"), "iso3")
+    hits = mentions(questions, labels, key, text).select(key, F.explode("hits.label").alias("label"))
+    return hits.join(labels, "label").groupBy(key).agg(F.sort_array(F.collect_set("iso3")).alias("iso3s"))
+
+
+def replace_mentions(questions: DataFrame, labels: DataFrame, key: str, text: str) -> DataFrame:
+    """(key, text, n, confidence): every name put in its standard form. ``labels`` has (label, into, kind), a row for each label."""
+    hits = mentions(questions, labels, key, text)
+    named = hits.select(key, F.explode("hits").alias("h")).select(key, "h.*").join(labels.select("label", "into", "kind"), "label")
+    sure = F.element_at(F.create_map(*(F.lit(x) for pair in CONFIDENCE.items() for x in pair)), F.col("kind"))
+    changes = named.groupBy(key).agg(F.collect_list(F.struct("at", "size", "into", sure.alias("sure"))).alias("changes"))
+    both = questions.select(key, text).join(changes, key, "left")
+    done = F.coalesce("changes", F.array().cast("array<struct<at:int,size:int,into:string,sure:double>>"))
+
+    def piece(p: Column, i: Column) -> Column:
+        own = F.filter("done", lambda c: (c["at"] <= i) & (i < c["at"] + c["size"]))
+        return F.when(F.size(own) == 0, p).when(F.get(own, F.lit(0))["at"] == i, F.get(own, F.lit(0))["into"]).otherwise("")
+
+    return both.withColumn("done", done).select(
+        key, F.array_join(F.transform(_pieces(F.col(text)), piece), "").alias(text), F.size("done").alias("n"),
+        F.aggregate("done", F.lit(1.0), lambda a, c: a * c["sure"]).alias("confidence"),
+    )
+
+
+def number_labels(spark) -> DataFrame:
+    """(label, into, kind): the words for 0 to 99, made from their parts."""
+    ones = "zero one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen".split()
+    tens = "twenty thirty forty fifty sixty seventy eighty ninety".split()
+    names = ones + [t + (" " + ones[u] if u else "") for t in tens for u in range(10)]
+    return spark.createDataFrame([(name, str(i), "number_word") for i, name in enumerate(names)], "label string, into string, kind string")
+
+
+# Framings of a question about a cut in trade, put as a shock, and wordings of coming years.
+SCENARIOS = ((r"(?i)\b(what (happens|would happen) if|suppose|imagine)\b", "shock:", "scenario"),)
+COMING = ((r"(?i)\b(in|over) the (coming|next) years\b", "next decade", "future_year"),)
+
+
+def rewritten(questions: DataFrame, aliases: DataFrame, vocabulary: DataFrame, year: int, key: str = "id", text: str = "text") -> DataFrame:
+    """(key, original, text, steps, confidence): questions in standard wording, step by step.
+
+    Aliases become standard names, unknown words the nearest known ones, number words and relative years figures, and framings
+    those that :func:`parse` knows. ``steps`` has (step, n, confidence) of the steps that changed something; the question's
+    confidence is their product. ``aliases`` has (label, into, kind) with a kind of ``CONFIDENCE``, ``vocabulary`` (word).
+    Null counts as empty.
+    """
+    state = questions.select(key, F.trim(F.regexp_replace(F.coalesce(F.col(text), F.lit("")), r"\s+", " ")).alias("text"))
+    original = state.withColumnRenamed("text", "original")
+    taken = []
+
+    def note(step: str, done: DataFrame) -> DataFrame:
+        taken.append(done.select(key, F.lit(len(taken)).alias("i"), F.lit(step).alias("step"), "n", "confidence").where("n > 0"))
+        return done.select(key, "text")
+
+    state = note("aliases", replace_mentions(state, aliases, key, "text"))
+    fixed = correct_spelling(state, vocabulary, key, "text")
+    changed = F.size(F.filter(F.zip_with(_pieces(F.col("text")), _pieces(F.col("corrected")), lambda a, b: a != b), lambda x: x))
+    state = note("spelling", fixed.select(key, F.col("corrected").alias("text"), changed.alias("n"), F.pow(F.lit(CONFIDENCE["word_spelling"]), changed).alias("confidence")))
+    relative = ((r"(?i)\bnext year\b", str(year + 1), "relative_year"), (r"(?i)\bthis year\b", str(year), "relative_year"), (r"(?i)\blast year\b", str(year - 1), "relative_year"))
+    numbers = replace_mentions(state, number_labels(questions.sparkSession), key, "text")
+    state = note("numbers", _replaced(numbers, relative))
+    phrases = tuple((p, into, "lexicon") for p, into in REWRITES) + SCENARIOS + COMING
+    state = note("phrasing", _replaced(state.withColumns({"n": F.lit(0), "confidence": F.lit(1.0)}), phrases))
+    steps = taken[0]
+    for more in taken[1:]:
+        steps = steps.unionByName(more)
+    listed = steps.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("i", "step", "n", "confidence"))).alias("s"))
+    fields = F.transform("s", lambda x: F.struct(x["step"].alias("step"), x["n"].alias("n"), x["confidence"].alias("confidence")))
+    return original.join(state, key).join(listed, key, "left").select(
+        key, "original", F.trim(F.regexp_replace("text", r"\s+", " ")).alias("text"), F.coalesce(fields, F.array().cast("array<struct<step:string,n:int,confidence:double>>")).alias("steps"),
+        F.coalesce(F.aggregate("s", F.lit(1.0), lambda a, x: a * x["confidence"]), F.lit(1.0)).alias("confidence"),
+    )
+
+
+def _replaced(state: DataFrame, rules: tuple) -> DataFrame:
+    """``state`` with every rule's pattern replaced; a rule that applies counts once and lowers the confidence by its kind."""
+    for pattern, into, kind in rules:
+        hit = F.rlike("text", F.lit(pattern))
+        state = state.select(
+            *(c for c in state.columns if c not in ("text", "n", "confidence")), F.regexp_replace("text", pattern, into).alias("text"),
+            (F.col("n") + hit.cast("int")).alias("n"), (F.col("confidence") * F.when(hit, CONFIDENCE[kind]).otherwise(1.0)).alias("confidence"),
+        )
+    return state
 
 
 def severity(text: Column) -> Column:

@@ -96,6 +96,45 @@ def question_plans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return questions.parse(asked, names)
 
 
+def planted_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(id, text): a question for every order, in one of five forms, about nations of the tables."""
+    nation = table(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("long").alias("k"), "n_name")
+    asked = table(spark, sf_dir, "orders").select(
+        F.col("o_orderkey").alias("id"), F.pmod("o_custkey", F.lit(25)).cast("long").alias("ka"), F.pmod(F.col("o_custkey") * 7 + 3, F.lit(25)).cast("long").alias("kb"),
+        F.year("o_orderdate").cast("string").alias("y"),
+    )
+    a, b = F.broadcast(nation.select(F.col("k").alias("ka"), F.col("n_name").alias("a"))), F.broadcast(nation.select(F.col("k").alias("kb"), F.col("n_name").alias("b")))
+    form = F.pmod("id", F.lit(5))
+    text = (
+        F.when(form == 0, F.concat(F.lit("What happens if "), "a", F.lit(" stops exporting oil to "), "b", F.lit("?")))
+        .when(form == 1, F.concat(F.lit("Forecast the grain trade of  "), F.lower("a"), F.lit(".")))
+        .when(form == 2, F.concat(F.lit("How do "), "a", F.lit(" and "), "b", F.lit(" relate in "), "y", F.lit("?")))
+        .when(form == 3, F.lit("Top three countries by chip exports"))
+        .otherwise(F.concat(F.lit("Recent events in "), "a", F.lit(", please")))
+    )
+    return asked.join(a, "ka").join(b, "kb").select("id", text.alias("text"))
+
+
+def question_gold_plans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Plans of planted questions, whose right answers follow from how they are made."""
+    names = table(spark, sf_dir, "nation").select(F.col("n_name").alias("alias"), F.col("n_name").alias("iso3"))
+    return questions.parse(planted_questions(spark, sf_dir), names)
+
+
+QUESTION_GOLD_PLANS_SQL = """
+WITH q AS (
+    SELECT o_orderkey AS id, o_orderkey % 5 AS form, a.n_name AS a, b.n_name AS b, year(o_orderdate)::INTEGER AS y
+    FROM orders JOIN nation a ON a.n_nationkey = o_custkey % 25 JOIN nation b ON b.n_nationkey = (o_custkey * 7 + 3) % 25
+), p AS (SELECT *, CASE WHEN a = b THEN a WHEN a < b THEN a || ',' || b ELSE b || ',' || a END AS ab FROM q)
+SELECT id, CASE form WHEN 0 THEN 'shock' WHEN 1 THEN 'forecast' WHEN 2 THEN CASE WHEN a = b THEN 'profile' ELSE 'bilateral' END
+                     WHEN 3 THEN 'ranking' ELSE 'events' END AS intent,
+       CASE form WHEN 0 THEN ab WHEN 2 THEN ab WHEN 3 THEN '' ELSE a END AS countries, CASE form WHEN 2 THEN y END AS year,
+       CASE form WHEN 0 THEN 'energy' WHEN 1 THEN 'agriculture' WHEN 3 THEN 'electronics' ELSE 'all' END AS sector,
+       CASE form WHEN 0 THEN 1.0::DOUBLE END AS severity, (CASE form WHEN 3 THEN 3 ELSE 5 END)::INTEGER AS "limit", 1.0::DOUBLE AS understanding
+FROM p
+"""
+
+
 def question_rewrites(spark: SparkSession, sf_dir: str) -> DataFrame:
     asked = table(spark, sf_dir, "conversations").where("role = 'user'")
     plain = questions.reformulate(F.coalesce("text", F.lit("")))
@@ -149,7 +188,7 @@ def trade_forecast(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        fusion_findings, fusion_invalid, question_plans, question_rewrites, stream_daily, stream_sessions,
+        fusion_findings, fusion_invalid, question_plans, question_gold_plans, question_rewrites, stream_daily, stream_sessions,
         trade_forecast,
     )
 }
