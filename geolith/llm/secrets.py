@@ -47,12 +47,27 @@ KEY_ENDS = re.compile(r"-----END [A-Z ]*PRIVATE KEY-----")
 PLAIN_WORD = re.compile(r"\b[^\W\d_]{2,24}\b")
 
 # Prefixes that providers give their keys.
-KNOWN_PREFIX = re.compile(r"(AKIA|ASIA|ghp_|gho_|github_pat_|glpat-|sk_live_|rk_live_|xox[abpr]-|AIza|eyJ[A-Za-z0-9])")
+KNOWN_PREFIX = re.compile(
+    r"(AKIA|ASIA|ghp_|gho_|github_pat_|glpat-|sk_live_|rk_live_|sk-|SG\.|npm_|hf_|shpat_|dop_v1_|xox[abpr]-|AIza|eyJ[A-Za-z0-9]|//hooks\.[a-z.]+/services/)"
+)
+# Names of credentials in English, German, French and Spanish, after which shorter values are candidates too.
+NAMES = (
+    "password", "passwd", "passphrase", "passcode", "pwd", "secret", "token", "api[_ -]?key", "access[_ -]?key", "auth[_ -]?key", "private[_ -]?key",
+    "master[_ -]?key", "encryption[_ -]?key", "credential", "passwort", "kennwort", "zugangscode", "schlüssel", "mot de passe", "mot_de_passe",
+    "motdepasse", "jeton", "contraseña", "clave", "credencial",
+)
+NAMED = re.compile(rf"""(?i)(?:{"|".join(NAMES)})[\w-]{{0,24}}["']?\s{{0,3}}(?:=>|:=|[:=]|\b(?:is|ist|est|es)\b)\s{{0,3}}(["'`]?)""")
+NAMED_CHARS, LONGEST_NAMED = 8, 200
+BARE_VALUE = re.compile(rf"""[^\s"'`<>(),;&]{{{NAMED_CHARS},{LONGEST_NAMED + 1}}}""")
+#: A variable or template that stands for a value.
+REFERENCE = re.compile(r"\$\{.*\}?|\$\(.*|\{\{.*|%\(.*|%[A-Za-z_]+%|\$[A-Z_]+")
+#: A word in one spelling: short values like it are taken for words, as nothing tells them from words that no document has.
+ONE_WORD, WORD_CHARS = re.compile(r"[^\W\d_]?(?:[^\W\d_A-Z]+|[A-Z]+)"), 20
 ASSIGNED = re.compile(r"""[:=]\s*["']?$""")
 
 FEATURES = (
     "length", "transitions", "entropy", "digits", "classes", "distinct", "dictionary", "nearest_word", "words", "path",
-    "assigned", "quoted", "known_prefix", "separators",
+    "assigned", "quoted", "known_prefix", "separators", "symbols",
 )
 
 
@@ -85,8 +100,47 @@ def key_blocks(text: str) -> list[tuple[int, int]]:
     return found
 
 
-def candidates(text: str, blocks: list[tuple[int, int]] = ()) -> Iterator[tuple[int, int]]:
-    """Spans of possible secrets: runs of key characters with a letter and a digit, without a name assigned to.
+def named_values(text: str) -> Iterator[tuple[int, int]]:
+    """Spans of values of 8 to 200 characters, without blanks, that the name of a credential is given: quoted ones whole, others up to a blank.
+
+    Names of functions that are called, references to variables, and single words of under 20 letters are no values.
+    """
+    for m in NAMED.finditer(text):
+        at, quote = m.end(), m.group(1)
+        close = text.find(quote, at, at + LONGEST_NAMED + 1) if quote else -1
+        if close >= 0:
+            value = text[at:close]
+        else:
+            bare = BARE_VALUE.match(text, at)
+            value = bare.group().rstrip(".:!?=-") if bare else ""
+        called = close < 0 and text[at + len(value) : at + len(value) + 1] == "("
+        word = len(value) < WORD_CHARS and ONE_WORD.fullmatch(value)
+        if NAMED_CHARS <= len(value) <= LONGEST_NAMED and not re.search(r"\s", value) and not (called or word or REFERENCE.fullmatch(value)):
+            yield at, at + len(value)
+
+
+def candidates(text: str, blocks: list[tuple[int, int]] = ()) -> list[tuple[int, int]]:
+    """Spans of possible secrets: runs of 16 key characters with a letter and a digit, and values named as credentials.
+
+    A run that lies in a longer named value is part of it; any other overlap leaves the run. Spans
+    stand by start and don't overlap, nor do they reach into ``blocks``.
+    """
+    runs = list(_runs(text, blocks))
+    starts, ends = [a for a, _ in runs], [b for _, b in runs]
+    inside, named, last = set(), [], 0
+    for a, b in named_values(text):
+        low, high = bisect.bisect_right(ends, a), bisect.bisect_left(starts, b)
+        block = bisect.bisect_right(blocks, (b,)) - 1
+        if a < last or block >= 0 and blocks[block][1] > a or any(x < a or y > b or (x, y) == (a, b) for x, y in runs[low:high]):
+            continue
+        inside.update(range(low, high))
+        named.append((a, b))
+        last = b
+    return sorted([r for i, r in enumerate(runs) if i not in inside] + named)
+
+
+def _runs(text: str, blocks: list[tuple[int, int]]) -> Iterator[tuple[int, int]]:
+    """Runs of key characters with a letter and a digit, without a name assigned to.
 
     What of a run lies in one of ``blocks`` is cut off; what stands before and after may still be a candidate.
     """
@@ -183,6 +237,7 @@ def features(value: str, left: str, right: str, path: str | None, stats: TextSta
         float(left[-1:] in "\"'" and right[:1] in "\"'" and bool(left) and bool(right)),
         float(bool(KNOWN_PREFIX.match(value))),
         sum(value.count(c) for c in "./-_") / n,
+        sum(value.count(c) for c in "!#$%^&*@?") / n,
     ]
 
 
@@ -379,8 +434,8 @@ def scan(df: DataFrame, model: Model, text: str = "text", path: str = "source")
     """``df`` with ``n_candidates``, ``secrets`` (struct(start, end, value, score)) and ``redacted``.
 
     Candidates are runs of 16 or more key characters with a letter and a
-    digit, and private key blocks, which count at once; what of a run lies in a
-    block is cut off. A candidate is a secret if the forest gives it at least
+    digit, values of 8 characters or more under the name of a credential, and
+    private key blocks, which count at once; what of a run lies in a block is cut off. A candidate is a secret if the forest gives it at least
     0.5. ``redacted`` is the text with every secret as ``<SECRET>``. Spans stand
     by start and do not overlap. Null text has none and stays null, an empty
     table gives none; a null path counts as unknown. Row-local; repeated rows
@@ -420,7 +475,7 @@ def scan(df: DataFrame, model: Model, text: str = "text", path: str = "source")
             seen, found, clean = [], [], []
             for body, where in zip(texts, paths, strict=True):
                 blocks = key_blocks(body or "")
-                proposed = list(candidates(body or "", blocks))
+                proposed = candidates(body or "", blocks)
                 kept = [(a, b, 1.0) for a, b in blocks]
                 for a, b in proposed:
                     left, right = left_context(body, a), body[b : b + RIGHT_CHARS]
