@@ -244,7 +244,7 @@ def title_case_words(text: Column) -> Column:
     return F.array_join(
         F.transform(
             F.regexp_extract_all(F.lower(text), F.lit(r"(\p{L}+|[^\p{L}]+)"), F.lit(0)),
-            lambda w: F.concat(F.upper(F.substring(w, 1, 1)), F.substring(w, 2, 1 << 20)),
+            lambda w: F.concat(F.upper(F.substring(w, 1, 1)), w.substr(F.lit(2), F.length(w))),
         ),
         "",
     )
