@@ -10,7 +10,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -31,6 +31,8 @@ muy sin sobre también me hasta hay donde quien desde todo nos
 CHAIN_WORDS = 2
 #: In a text without common words, its first word and one word in so many, by hash, stand in for them.
 HASHED_ANCHORS = 8
+#: Relative error allowed for products with a threshold, far above that of doubles.
+ROUNDING = 1e-9
 
 _BREAKS = bytes(b if b >= 128 or chr(b).isalnum() else 32 for b in range(256))
 _MIX = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)
@@ -101,50 +103,61 @@ def with_signatures(df: DataFrame, text: str = "text") -> DataFrame:
 
 
 def near_duplicates(df: DataFrame, threshold: float = 0.8) -> tuple[DataFrame, DataFrame]:
-    """Membership (doc_id, class_id) and pairs (a, b, likeness) between classes of equal signature sets.
-
-    Classes are named by their least doc_id. Sets are dealt into partitions
-    by length, each so narrow that a set's partners stand in its own or the next
-    one, and meet there through one of their first signatures in order of rising
-    document frequency: two sets as alike as ``threshold`` share one of the first
-    ``n - ceil(threshold * n) + 1``. Lengths and the pair's overlap decide.
+    """Membership (doc_id, set, class_id) and pairs (set_a, set_b, a, b, likeness) between classes of equal signature sets.
+
+    A class is named by ``set``, the digest of its signatures, so rows without
+    id and rows that share one lose no link and no two unlike texts share a class;
+    ``class_id``, ``a`` and ``b`` are its least doc_id, null if no row of it has one. Null
+    text counts as empty, every row has one membership, an empty table gives
+    none. Each pair of unequal sets stands once, the shorter set first.
+
+    Sets are dealt into partitions by length, each so narrow that a set's partners
+    stand in its own or the next one, and meet there through one of their first
+    signatures in order of rising document frequency: two sets as alike as
+    ``threshold`` share one of the first ``n - ceil(threshold * n) + 1``, so early in both
+    that enough others can follow. Lengths and the pair's overlap decide.
     The signature sets are checkpointed, as several joins read them.
     """
+    digest = F.md5(F.array_join(F.col("signatures").cast("array<string>"), ","))
     sets = with_signatures(df.select("doc_id", "text")).drop("text")
-    named = checkpointed(
-        sets.select("doc_id", "signatures", F.sha2(F.array_join(F.col("signatures").cast("array<string>"), ","), 256).alias("set"))
-    )
-    least = named.groupBy("set").agg(F.min("doc_id").alias("class_id"))
-    members = named.join(least, "set").select("doc_id", "class_id")
+    named = checkpointed(sets.select("doc_id", "signatures", digest.alias("set")))
     classes = checkpointed(
-        named.join(least, "set").where(F.col("doc_id") == F.col("class_id")).select("class_id", "signatures", "set").dropDuplicates(["set"])
-    ).drop("set")
+        named.groupBy("set").agg(F.min("doc_id").alias("class_id"), F.any_value("signatures").alias("signatures"))
+    )
+    least = classes.select("set", "class_id")
+    members = named.select("doc_id", "set").join(least, "set").select("doc_id", "set", "class_id")
+
+    def at_least(x: Column) -> Column:
+        """The least whole number not below ``x``, whose last digits may be off."""
+        return F.ceil(x - ROUNDING * x).cast("int")
 
     size = F.size("signatures")
-    each = classes.select("class_id", size.alias("n"), F.explode("signatures").alias("s"))
+    each = classes.select("set", size.alias("n"), F.explode("signatures").alias("s"))
     counted = each.join(each.groupBy("s").agg(F.count("*").alias("df")), "s")
-    ordered = counted.groupBy("class_id", "n").agg(F.sort_array(F.collect_list(F.struct("df", "s"))).alias("o"))
-    prefix = F.slice("o", F.lit(1), (F.col("n") - F.ceil(F.col("n") * threshold) + 1).cast("int"))
-    length_class = F.floor(F.log(F.col("n").cast("double")) / F.lit(-math.log(threshold))).cast("int")
-    index = ordered.select("class_id", "n", length_class.alias("p"), F.explode(F.transform(prefix, lambda x: x["s"])).alias("s"))
+    ordered = counted.groupBy("set", "n").agg(F.sort_array(F.collect_list(F.struct("df", "s"))).alias("o"))
+    prefix = F.transform(F.slice("o", F.lit(1), F.col("n") - at_least(F.col("n") * threshold) + 1), lambda x: x["s"])
+    width = -math.log(threshold) * (1 + ROUNDING)
+    length_class = F.floor(F.log(F.col("n").cast("double")) / width).cast("int")
+    index = ordered.select("set", "n", length_class.alias("p"), F.posexplode(prefix).alias("at", "s"))
     asked = index.select(
-        F.col("class_id").alias("b"), F.col("n").alias("m"), "s", F.explode(F.array(F.col("p"), F.col("p") - 1)).alias("p")
-    )
+        F.col("set").alias("set_b"), F.col("n").alias("m"), F.col("at").alias("at_b"), "s",
+        F.explode(F.array(F.col("p"), F.col("p") - 1)).alias("p"),
+    )
+    needed = at_least((F.col("n") + F.col("m")) * (threshold / (1 + threshold)))
     candidates = (
-        index.withColumnRenamed("class_id", "a")
+        index.withColumnRenamed("set", "set_a")
         .join(asked, ["p", "s"])
-        .where("a <> b AND (n < m OR n = m AND a < b)")
-        .where(F.col("n") >= F.col("m") * threshold)
-        .select("a", "b")
+        .where("n < m OR n = m AND set_a < set_b")
+        .where((F.col("at") + needed <= F.col("n")) & (F.col("at_b") + needed <= F.col("m")))
+        .select("set_a", "set_b")
         .distinct()
     )
-    left = classes.select(F.col("class_id").alias("a"), F.col("signatures").alias("x"))
-    right = classes.select(F.col("class_id").alias("b"), F.col("signatures").alias("y"))
+    left, right = classes.toDF("set_a", "a", "x"), classes.toDF("set_b", "b", "y")
     shared = F.size(F.array_intersect("x", "y"))
     pairs = (
-        candidates.join(left, "a")
-        .join(right, "b")
-        .select("a", "b", (shared / (F.size("x") + F.size("y") - shared)).alias("likeness"))
+        candidates.join(left, "set_a")
+        .join(right, "set_b")
+        .select("set_a", "set_b", "a", "b", (shared / (F.size("x") + F.size("y") - shared)).alias("likeness"))
         .where(F.col("likeness") >= threshold)
     )
     return members, pairs
@@ -285,10 +298,10 @@ def fingerprint_edits(df: DataFrame) -> DataFrame:
 
 
 def spotsigs_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(doc_id, class_id, n_near): each document's class of equal signatures and how many other classes are near it."""
+    """(doc_id, set, class_id, n_near): each document's class of equal signatures and how many other classes are near it."""
     members, pairs = near_duplicates(table(spark, sf_dir, "documents"))
-    ends = pairs.select(F.explode(F.array("a", "b")).alias("class_id")).groupBy("class_id").agg(F.count("*").alias("n_near"))
-    return members.join(ends, "class_id", "left").select("doc_id", "class_id", F.coalesce("n_near", F.lit(0)).alias("n_near"))
+    ends = pairs.select(F.explode(F.array("set_a", "set_b")).alias("set")).groupBy("set").agg(F.count("*").alias("n_near"))
+    return members.join(ends, "set", "left").select("doc_id", "set", "class_id", F.coalesce("n_near", F.lit(0)).alias("n_near"))
 
 
 def op10_spotsigs(spark: SparkSession, sf_dir: str) -> DataFrame:

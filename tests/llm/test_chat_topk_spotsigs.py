@@ -185,3 +185,32 @@ def test_near_duplicates_equal_brute_force(spark):
     expected = {frozenset((a, b)) for a in names for b in names if a < b and jaccard(sets[a], sets[b]) >= 0.8}
     assert all(of[i] == min(j for j in sets if sets[j].tolist() == sets[i].tolist()) for i in sets)
     assert expected and {frozenset((r.a, r.b)) for r in pairs.collect()} == expected
+
+
+def test_near_duplicates_of_null_and_repeated_ids(spark):
+    rng = random.Random(5)
+    base = [f"the {w}" for w in (rng.choice("stone river cloud walk bird").strip() + str(i) for i in range(30))]
+    texts = [" ".join([*base[: 30 - k], *(f"the new{k}{i}" for i in range(k))]) for k in (0, 1, 2, 9)] + [None, "quite another text"]
+    ids = [None, 1, 7, 7, None, 7]
+    docs = spark.createDataFrame(list(zip(ids, texts, strict=True)), "doc_id long, text string")
+    docs = docs.union(docs.limit(2)).withColumn("set", F.lit("own")).withColumn("signatures", F.lit(0))
+    sets = [signatures(t) for t in texts]
+    for threshold in (0.5, 0.8):
+        members, pairs = near_duplicates(docs, threshold)
+        rows = members.collect()
+        assert len(rows) == 8 and len({r.set for r in rows}) == 6
+        near = [(i, j) for i in range(6) for j in range(i) if jaccard(sets[i], sets[j]) >= threshold]
+        expected = sorted(tuple(sorted([-1 if ids[i] is None else ids[i], -1 if ids[j] is None else ids[j]])) for i, j in near)
+        found = sorted(tuple(sorted([-1 if r.a is None else r.a, -1 if r.b is None else r.b])) for r in pairs.collect())
+        assert found == expected and near
+    assert all(x.count() == 0 for x in near_duplicates(docs.limit(0)))
+
+
+def test_near_duplicates_at_the_border_of_every_length(spark):
+    """Sets of n and of n / 0.55 or n / 0.8 signatures, the smaller within the larger, are just near."""
+    for threshold, part, whole in ((0.8, 4, 5), (0.55, 11, 20)):
+        texts = [" ".join(f"the w{k}x{i} v{i}" for i in range(k * size)) for k in range(1, 12) for size in (part, whole)]
+        _, pairs = near_duplicates(documents(spark, texts), threshold)
+        sets = [signatures(t) for t in texts]
+        expected = {(i, j) for i in range(len(sets)) for j in range(i) if jaccard(sets[i], sets[j]) >= threshold}
+        assert {(max(r.a, r.b), min(r.a, r.b)) for r in pairs.collect()} == expected
