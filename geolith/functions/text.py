@@ -316,3 +316,14 @@ def articles(pages: DataFrame) -> DataFrame:
     )
     domain = F.regexp_replace(F.coalesce(F.parse_url("url", F.lit("HOST")), F.lit("")), "^www[.]", "")
     return found.select("page_id", domain.alias("domain"), "headline", "body", "placeholder")
+
+
+def article_texts(pages: DataFrame) -> DataFrame:
+    """(page_id, headline, text) of raw pages: all paragraphs, each on its line; null text where there is none."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = [(i, headline(h), "\n".join(paragraphs(h)) or None) for i, h in zip(batch["page_id"], batch["html"], strict=True)]
+            yield pd.DataFrame(rows, columns=["page_id", "headline", "text"])
+
+    return pages.select("page_id", "html").mapInPandas(run, "page_id long, headline string, text string")

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from geolith.functions import text
+from geolith.operators import articles
 from geolith.session import ship_package
 from geolith.sources.views import table
 
@@ -98,11 +99,40 @@ def text_articles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return text.articles(table(spark, sf_dir, "pages"))
 
 
+def _named_articles(spark: SparkSession, sf_dir: str):
+    """Articles of all pages with two terms each, further names of the terms, and names of places.
+
+    The first term is the first long word of the headline, the second one of the forty most frequent words, by page; each
+    of these has the next one as a further name, and the last sixteen name places, two by two.
+    """
+    ship_package(spark)
+    found = text.article_texts(table(spark, sf_dir, "pages"))
+    long_words = F.regexp_extract_all(F.lower("text"), F.lit(r"(?<![\p{L}\p{N}_])\p{L}{4,}(?![\p{L}\p{N}_])"), F.lit(0))
+    counts = found.select(F.explode(long_words).alias("w")).groupBy("w").agg(F.count("*").alias("n"))
+    common = [r.w for r in counts.orderBy(F.desc("n"), "w").limit(40).collect()]
+    names = spark.createDataFrame([(a, b) for a, b in zip(common, [*common[1:], *common[:1]], strict=True)], "term string, alias string")
+    second = F.get(F.array(*map(F.lit, common)), F.pmod(F.col("page_id"), F.lit(max(1, len(common)))).cast("int"))
+    first = F.get(F.regexp_extract_all(F.coalesce("headline", F.lit("")), F.lit(r"\p{L}{4,}"), F.lit(0)), F.lit(0))
+    return found.select("*", first.alias("term_a"), second.alias("term_b")), names, {w: common[i // 2 * 2] for i, w in enumerate(common) if i >= 24}
+
+
+def text_article_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = articles.article_links(*_named_articles(spark, sf_dir))
+    return found.withColumns({f"snippets_{x}": F.array_join(f"snippets_{x}", " | ") for x in "ab"})
+
+
+def text_term_mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    named, names, _ = _named_articles(spark, sf_dir)
+    terms = named.withColumn("term", F.concat_ws(" ", "term_a", "term_b"))
+    found = articles.term_mentions(terms, names)
+    return found.withColumns({c: F.array_join(c, " | ") for c in ("matched", "snippets")})
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         text_paragraphs, text_sentence_counts, text_token_counts, text_tf_idf, text_verdicts, text_snippets,
-        text_url_words, text_articles,
+        text_url_words, text_articles, text_article_links, text_term_mentions,
     )
 }
 ORACLES = {name: globals()[f"{name.upper()}_SQL"] for name in QUERIES if f"{name.upper()}_SQL" in globals()}
