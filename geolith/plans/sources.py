@@ -14,6 +14,7 @@ from geolith.sources.views import (
     table, trade_flows, votes,
 )
 from geolith.streaming import events as stream
+from geolith.streaming.updates import Updates
 
 from . import cache
 from .events import COUNTRY, EVENTS_PREPARED_SQL
@@ -382,12 +383,58 @@ SELECT strftime(date_trunc('day', ts), '%Y-%m-%d') AS day, event_type, count(*)
 FROM events GROUP BY 1, 2
 """
 
+
+#: Noise of the yearly update's filter.
+STEP_NOISE, VALUE_NOISE = 0.5, 2.0
+
+
+def stream_yearly_updates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The panel and its filter states after years that arrive one by one, a stop between them, and a corrected first year."""
+    rows = panel(spark, sf_dir)
+    folder = scratch_folder(spark, "updates")
+    rows.write.partitionBy("period").parquet(f"{folder}/panel")
+    rows = spark.read.schema(rows.schema).parquet(f"{folder}/panel")
+    first, last = rows.agg(F.min("period").cast("long"), F.max("period").cast("long")).first()
+    updates = Updates(folder, ["price", "discount", "volume", "wealth"], "composite", STEP_NOISE, VALUE_NOISE, min_countries=5)
+    if first is None:
+        return updates.rows(spark, rows.schema).select("iso3", "period", "composite", F.lit(0.0).alias("state"), F.lit(0.0).alias("variance"))
+    years = range(first // 4, last // 4 + 1)
+    live = stream.read_events(spark, f"{folder}/sent/*", rows.schema, 1)
+    for year in years:
+        sent = rows.where(F.col("period").between(4 * year, 4 * year + 3))
+        sent.coalesce(1).write.parquet(f"{folder}/sent/{year}")
+        if year == years[len(years) // 2]:
+            updates.run(live, f"{folder}/checkpoint")
+    again = rows.where(F.col("period").between(4 * years[0], 4 * years[0] + 3))
+    again.withColumn("composite", F.col("composite") + 1).coalesce(1).write.parquet(f"{folder}/sent/corrected")
+    updates.run(live, f"{folder}/checkpoint")
+    found = updates.rows(spark, rows.schema).select("iso3", "period", "composite")
+    return _rounded(found.join(updates.states(spark).select("iso3", "period", "state", "variance"), ["iso3", "period"], "left"), 4)
+
+
+STREAM_YEARLY_UPDATES_SQL = f"""
+WITH RECURSIVE {PANEL_SQL}, o AS (
+    SELECT iso3, period, composite AS v, row_number() OVER (PARTITION BY iso3 ORDER BY period) AS i FROM panel
+), f AS (
+    SELECT iso3, period, i, v, v AS x, {VALUE_NOISE}::DOUBLE AS p FROM o WHERE i = 1
+    UNION ALL
+    SELECT o.iso3, o.period, o.i, o.v,
+           CASE WHEN f.x IS NULL THEN o.v WHEN o.v IS NULL THEN f.x
+                ELSE f.x + (f.p + {STEP_NOISE}) / (f.p + {STEP_NOISE} + {VALUE_NOISE}) * (o.v - f.x) END,
+           CASE WHEN f.x IS NULL THEN {VALUE_NOISE}::DOUBLE WHEN o.v IS NULL THEN f.p + {STEP_NOISE}
+                ELSE (1 - (f.p + {STEP_NOISE}) / (f.p + {STEP_NOISE} + {VALUE_NOISE})) * (f.p + {STEP_NOISE}) END
+    FROM f JOIN o ON o.iso3 = f.iso3 AND o.i = f.i + 1
+)
+SELECT iso3, period, round(v + CASE WHEN period // 4 = (SELECT min(period) // 4 FROM panel) THEN 1 ELSE 0 END, 4) AS composite,
+       round(x, 4) AS state, round(p, 4) AS variance FROM f
+"""
+
 QUERIES = {
     f.__name__: f
     for f in (
         sources_trade_files, sources_event_file, sources_day_countries, sources_preview, sources_dyads, sources_rebuild,
         sources_indicators, cache_risk, cache_shock, cache_quality, cache_edges, cache_history, fusion_citations, fusion_evidence, fusion_confidence,
-        policy_edges_filtered, policy_common_years, events_matched, trade_labels, stream_live_daily, questions_aligned,
+        policy_edges_filtered, policy_common_years, events_matched, trade_labels, stream_live_daily, stream_yearly_updates, questions_aligned,
         fusion_plan_scores, events_sentences, sources_codebook,
     )
 }
