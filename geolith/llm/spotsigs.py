@@ -121,8 +121,11 @@ def near_duplicates(df: DataFrame, threshold: float = 0.8) -> tuple[DataFrame, D
     digest = F.md5(F.array_join(F.col("signatures").cast("array<string>"), ","))
     sets = with_signatures(df.select("doc_id", "text")).drop("text")
     named = checkpointed(sets.select("doc_id", "signatures", digest.alias("set")))
+    # Numbers stand for the sets' names in what is shuffled for each signature; the checkpoint keeps them.
     classes = checkpointed(
-        named.groupBy("set").agg(F.min("doc_id").alias("class_id"), F.any_value("signatures").alias("signatures"))
+        named.groupBy("set")
+        .agg(F.min("doc_id").alias("class_id"), F.any_value("signatures").alias("signatures"))
+        .withColumn("no", F.monotonically_increasing_id())
     )
     least = classes.select("set", "class_id")
     members = named.select("doc_id", "set").join(least, "set").select("doc_id", "set", "class_id")
@@ -132,31 +135,31 @@ def near_duplicates(df: DataFrame, threshold: float = 0.8) -> tuple[DataFrame, D
         return F.ceil(x - ROUNDING * x).cast("int")
 
     size = F.size("signatures")
-    each = classes.select("set", size.alias("n"), F.explode("signatures").alias("s"))
+    each = classes.select("no", size.alias("n"), F.explode("signatures").alias("s"))
     counted = each.join(each.groupBy("s").agg(F.count("*").alias("df")), "s")
-    ordered = counted.groupBy("set", "n").agg(F.sort_array(F.collect_list(F.struct("df", "s"))).alias("o"))
+    ordered = counted.groupBy("no", "n").agg(F.sort_array(F.collect_list(F.struct("df", "s"))).alias("o"))
     prefix = F.transform(F.slice("o", F.lit(1), F.col("n") - at_least(F.col("n") * threshold) + 1), lambda x: x["s"])
     width = -math.log(threshold) * (1 + ROUNDING)
     length_class = F.floor(F.log(F.col("n").cast("double")) / width).cast("int")
-    index = ordered.select("set", "n", length_class.alias("p"), F.posexplode(prefix).alias("at", "s"))
+    index = ordered.select("no", "n", length_class.alias("p"), F.posexplode(prefix).alias("at", "s"))
     asked = index.select(
-        F.col("set").alias("set_b"), F.col("n").alias("m"), F.col("at").alias("at_b"), "s",
+        F.col("no").alias("no_b"), F.col("n").alias("m"), F.col("at").alias("at_b"), "s",
         F.explode(F.array(F.col("p"), F.col("p") - 1)).alias("p"),
     )
     needed = at_least((F.col("n") + F.col("m")) * (threshold / (1 + threshold)))
     candidates = (
-        index.withColumnRenamed("set", "set_a")
+        index.withColumnRenamed("no", "no_a")
         .join(asked, ["p", "s"])
-        .where("n < m OR n = m AND set_a < set_b")
+        .where("n < m OR n = m AND no_a < no_b")
         .where((F.col("at") + needed <= F.col("n")) & (F.col("at_b") + needed <= F.col("m")))
-        .select("set_a", "set_b")
+        .select("no_a", "no_b")
         .distinct()
     )
-    left, right = classes.toDF("set_a", "a", "x"), classes.toDF("set_b", "b", "y")
+    left, right = classes.toDF("set_a", "a", "x", "no_a"), classes.toDF("set_b", "b", "y", "no_b")
     shared = F.size(F.array_intersect("x", "y"))
     pairs = (
-        candidates.join(left, "set_a")
-        .join(right, "set_b")
+        candidates.join(left, "no_a")
+        .join(right, "no_b")
         .select("set_a", "set_b", "a", "b", (shared / (F.size("x") + F.size("y") - shared)).alias("likeness"))
         .where(F.col("likeness") >= threshold)
     )
