@@ -190,9 +190,13 @@ def actor_network(events: DataFrame, top: int = 50) -> tuple[DataFrame, DataFram
 
 
 def actor_events(events: DataFrame, actor: str) -> DataFrame:
-    """One actor's events, one per (a1, a2, type, rounded value): the one with most articles."""
+    """One actor's events, one per (a1, a2, type, value to one decimal): the one with most articles.
+
+    Values are rounded as tenths in doubles, half away from zero, as SQL engines do; Spark's own rounding to one
+    decimal goes by the printed digits, so -7.949999999999999 would stand elsewhere.
+    """
     typed = events.where((F.col("a1") == actor) | (F.col("a2") == actor)).withColumns(
-        {"event_type": root_name(F.col("event_code")), "g1": F.round("goldstein", 1)}
+        {"event_type": root_name(F.col("event_code")), "g1": F.round(F.col("goldstein") * 10) / 10}
     )
     keys = ["a1", "a2", "event_type", "g1"]
     order = Window.partitionBy(*keys).orderBy(F.desc("num_articles"), "event_id")
