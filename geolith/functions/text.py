@@ -80,19 +80,25 @@ def list_like(sentence: Column, places: list[str]) -> Column:
 
 
 def term_snippets(df: DataFrame, key: str, text: str, terms: list[str], most: int = 3, width: int = 240) -> DataFrame:
-    """Up to ``most`` sentences per row that have a term, each with its neighbours, cut to ``width`` characters."""
-    found = df.select(key, sentences(F.col(text)).alias("s"))
-    at = F.filter(
-        F.sequence(F.lit(0), F.size("s") - 1), lambda i: F.rlike(F.get(F.col("s"), i), F.lit(term_pattern(terms)))
-    )
-    hits = found.where(F.size("s") > 0).select(key, "s", F.slice(at, 1, most).alias("at"))
-    window = F.transform(
-        "at",
-        lambda i: F.substring(
-            F.array_join(F.slice(F.col("s"), F.greatest(i, F.lit(1)), F.when(i == 0, 2).otherwise(3)), " "), 1, width
-        ),
-    )
-    return hits.where(F.size("at") > 0).select(key, window.alias("snippets"), F.size("at").alias("n"))
+    """Up to ``most`` sentences per row that have a term, each with its neighbours, cut to ``width`` characters.
+
+    Only texts that have a term are cut into sentences, once each: the lambdas see the cut sentences, so that time is in
+    proportion to the text however filters and columns are merged.
+    """
+    has_term = F.lit(term_pattern(terms))
+
+    def snippets(s: Column) -> Column:
+        at = F.filter(F.sequence(F.lit(0), F.size(s) - 1), lambda i: F.rlike(F.get(s, i), has_term))
+        return F.transform(
+            F.slice(at, 1, most),
+            lambda i: F.substring(
+                F.array_join(F.slice(s, F.greatest(i, F.lit(1)), F.when(i == 0, 2).otherwise(3)), " "), 1, width
+            ),
+        )
+
+    cut = F.transform(F.array(sentences(F.col(text))), lambda s: F.when(F.size(s) > 0, snippets(s)))
+    found = df.where(F.rlike(F.col(text), has_term)).select(key, F.explode(cut).alias("snippets"))
+    return found.where(F.size("snippets") > 0).select(key, "snippets", F.size("snippets").alias("n"))
 
 
 def verdict(df: DataFrame, key: str, text: str, a: list[str], b: list[str], places: list[str]) -> DataFrame:
