@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from geolith.session import bounded_batches
+
 MIN_PARAGRAPH_CHARS, MIN_ARTICLE_CHARS = 40, 500
 
 
@@ -243,7 +245,8 @@ def paragraphs(html: str | None) -> list[str]:
 
 
 def article_paragraphs(pages: DataFrame) -> DataFrame:
-    """(page_id, paragraph_no, paragraph) of raw pages; parsing runs on Arrow batches."""
+    """(page_id, paragraph_no, paragraph) of raw pages; parsing runs on small Arrow batches."""
+    bounded_batches(pages.sparkSession)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -311,6 +314,7 @@ def article(html: str | None) -> tuple[str | None, str, bool]:
 
 def articles(pages: DataFrame) -> DataFrame:
     """(page_id, domain, headline, body, placeholder) of raw pages."""
+    bounded_batches(pages.sparkSession)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -326,6 +330,7 @@ def articles(pages: DataFrame) -> DataFrame:
 
 def article_texts(pages: DataFrame) -> DataFrame:
     """(page_id, headline, text) of raw pages: all paragraphs, each on its line; null text where there is none."""
+    bounded_batches(pages.sparkSession)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:

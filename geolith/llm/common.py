@@ -9,29 +9,18 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from geolith.session import ship_package
+from geolith.session import ARROW_ROWS, bounded_batches  # noqa: F401
 
 #: ASCII white space as the operators' contracts define it.
 ASCII_SPACE = " \t\n\x0b\x0c\r"
 ASCII_UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 ASCII_LOWER = "abcdefghijklmnopqrstuvwxyz"
 
-#: Rows per Arrow batch handed to Python; documents are large rows.
-ARROW_ROWS = 500
-
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def bounded_batches(spark: SparkSession) -> None:
-    """Readies Python workers: they get this package, and small Arrow batches of long documents."""
-    ship_package(spark)
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if int(spark.conf.get(key)) > ARROW_ROWS or int(spark.conf.get(key)) <= 0:
-        spark.conf.set(key, str(ARROW_ROWS))
-
-
 def shared_folder(spark: SparkSession) -> str:
     """The checkpoint folder that driver and executors share.
 

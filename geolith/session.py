@@ -12,6 +12,9 @@ from pyspark.sql import functions as F
 
 _shipped: set[str] = set()
 
+#: Rows per Arrow batch handed to Python; documents and pages are large rows.
+ARROW_ROWS = 500
+
 
 def local_session(cores: str = "*", shuffle_partitions: int = 8, memory: str = "8g") -> SparkSession:
     """A local session in UTC with adaptive execution; clusters bring their own settings."""
@@ -61,3 +64,11 @@ def ship_package(spark: SparkSession) -> None:
             out.write(path, path.relative_to(root.parent))
     sc.addPyFile(str(archive))
     _shipped.add(sc.applicationId)
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Readies Python workers: they get this package, and small Arrow batches of long documents."""
+    ship_package(spark)
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if int(spark.conf.get(key)) > ARROW_ROWS or int(spark.conf.get(key)) <= 0:
+        spark.conf.set(key, str(ARROW_ROWS))

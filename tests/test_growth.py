@@ -12,3 +12,12 @@ def test_snippets_of_a_long_text_take_linear_time(spark):
     found = text.term_snippets(rows, "doc_id", "text", ["license"]).collect()
     assert time.perf_counter() - began < 20
     assert [(r.doc_id, r.n, list(r.snippets)) for r in found] == [(1, 1, ["Sentence 11999 stands here. A license ends it. Done."])]
+
+
+def test_pages_reach_python_in_small_batches(spark):
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    pages = spark.createDataFrame([(1, "https://a.example/x", "<p>" + "word " * 20 + "</p>")], "page_id long, url string, html string")
+    for query in (text.article_paragraphs, text.articles, text.article_texts):
+        spark.conf.set(key, "10000")
+        assert query(pages).count() == 1
+        assert int(spark.conf.get(key)) <= 500
