@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from geolith.session import small
+from geolith.session import SMALL_ROWS, small
+
+from .network import _checkpointed
 
 # Wordings that are put into standard form before parsing, in this order.
 REWRITES = (
@@ -39,6 +41,7 @@ COMPASS = ("north", "northern", "south", "southern", "east", "eastern", "west",
 #: Names of so many characters are found in capitals only, as they are words too.
 CODE_CHARACTERS = 3
 _WORD = r"[\p{L}\p{N}_]+"
+_RUNS = "array<struct<at:int,size:int,seen:string,before:string>>"
 # How sure each kind of rewrite is; those of a question multiply.
 CONFIDENCE = {
     "endonym": 0.95,
@@ -76,21 +79,30 @@ def mentions(questions: DataFrame, labels: DataFrame, key: str, text: str) -> Da
     """
     known = labels.select(F.col("label"), _folded(F.col("label")).alias("name")).where("name <> ''").distinct()
     longest = known.agg(F.coalesce(F.max(F.size(F.split("name", " "))), F.lit(0))).first()[0]
-    cut = questions.select(key, _pieces(F.col(text)).alias("p"))
-    empty = cut.select(key, F.array().cast("array<struct<at:int,size:int,label:string>>").alias("hits"))
+    empty = questions.select(key, F.array().cast("array<struct<at:int,size:int,label:string>>").alias("hits"))
     if not longest:
         return empty
-    spot = F.posexplode("p").alias("at", "word")
-    words = cut.select(key, "p", spot).where(F.rlike("word", F.lit(f"^{_WORD}$")))
-    sizes = F.explode(F.sequence(F.lit(1), F.lit(longest))).alias("n")
-    runs = words.select(key, "p", "at", sizes).where(F.col("at") + 2 * F.col("n") - 1 <= F.size("p"))
-    part = F.slice("p", F.col("at") + 1, 2 * F.col("n") - 1)
-    inside = F.forall(part, lambda x: F.rlike(x, F.lit(f"^({_WORD}|[\\s-]+)$")))
-    before = F.lower(F.when((F.col("at") >= 2) & F.rlike(F.get("p", F.col("at") - 1), F.lit(r"^[\s-]+$")), F.get("p", F.col("at") - 2)))
-    seen = F.array_join(part, "")
+    inner = F.lit(f"^({_WORD}|[\\s-]+)$")
+
+    def run(p: Column, at: Column, n: Column) -> Column:
+        before = F.lower(F.when((at >= 2) & F.rlike(F.get(p, at - 1), F.lit(r"^[\s-]+$")), F.get(p, at - 2)))
+        seen = F.array_join(F.slice(p, at + 1, 2 * n - 1), "")
+        return F.struct(at.alias("at"), (2 * n - 1).alias("size"), seen.alias("seen"), before.alias("before"))
+
+    def runs(p: Column) -> Column:
+        """All runs of words of ``p``; pieces are seen through the lambda, so a question is cut once and not copied to its words."""
+        words = F.filter(F.sequence(F.lit(0), F.size(p) - 1), lambda at: F.rlike(F.get(p, at), F.lit(f"^{_WORD}$")))
+        sizes = F.sequence(F.lit(1), F.lit(longest))
+
+        def whole(at: Column, n: Column) -> Column:
+            return (at + 2 * n - 1 <= F.size(p)) & F.forall(F.slice(p, at + 1, 2 * n - 1), lambda x: F.rlike(x, inner))
+
+        return F.flatten(F.transform(words, lambda at: F.transform(F.filter(sizes, lambda n: whole(at, n)), lambda n: run(p, at, n))))
+
+    each = F.flatten(F.transform(F.array(_pieces(F.col(text))), lambda p: F.when(F.size(p) > 0, runs(p)).otherwise(F.array().cast(_RUNS))))
     found = (
-        runs.where(inside)
-        .select(key, "at", (2 * F.col("n") - 1).alias("size"), seen.alias("seen"), _folded(seen).alias("name"), before.alias("before"))
+        questions.select(key, F.explode(each).alias("r"))
+        .select(key, "r.*", _folded(F.col("r.seen")).alias("name"))
         .join(known, "name")
         .where((F.length("name") > CODE_CHARACTERS) | (F.upper("seen") == F.col("seen")))
         .where(F.coalesce(~F.col("before").isin(*COMPASS), F.lit(True)))
@@ -104,7 +116,7 @@ def mentions(questions: DataFrame, labels: DataFrame, key: str, text: str) -> Da
             F.exists(acc, lambda k: (k["at"] < h["at"] + h["size"]) & (h["at"] < k["at"] + k["size"])), acc
         ).otherwise(F.array_append(acc, h)),
     )
-    return cut.select(key).join(ordered, key, "left").select(
+    return questions.select(key).join(ordered, key, "left").select(
         key, F.coalesce(F.sort_array(kept), F.array().cast("array<struct<at:int,size:int,label:string>>")).alias("hits")
     )
 
@@ -207,9 +219,20 @@ def parse(questions: DataFrame, aliases: DataFrame, key: str = "id", text: str =
 
     Intents in order of precedence: shock with a country, forecast, bilateral
     with two, blocs, events with a country unless a profile is asked for,
-    ranking without one, profile.
+    ranking without one, profile. Each different question is parsed once, however often it is asked; its digest joins
+    the plan to its askers.
     """
-    plain = questions.withColumn("q", reformulate(F.coalesce(F.col(text), F.lit(""))))
+    digest = F.sha2(F.coalesce(F.col(text), F.lit("")), 256).alias("__asked")
+    asked = questions.select(F.col(key), digest)
+    different = _checkpointed(questions.select(digest, F.coalesce(F.col(text), F.lit("")).alias("text")).distinct())
+    plans = _plans(different, aliases, "__asked", "text")
+    few = different.limit(SMALL_ROWS + 1).count() <= SMALL_ROWS
+    return asked.join(F.broadcast(plans) if few else plans, "__asked").drop("__asked")
+
+
+def _plans(questions: DataFrame, aliases: DataFrame, key: str, text: str) -> DataFrame:
+    """The plans of different questions, by key."""
+    plain = questions.select(key, reformulate(F.col(text)).alias("q"))
     both = plain.join(entity_mentions(plain, aliases, key, "q"), key, "left").withColumn(
         "iso3s", F.coalesce("iso3s", F.array().cast("array<string>"))
     )

@@ -3,6 +3,7 @@
 import time
 
 from geolith.functions import text
+from geolith.operators import questions
 
 
 def test_snippets_of_a_long_text_take_linear_time(spark):
@@ -21,3 +22,15 @@ def test_pages_reach_python_in_small_batches(spark):
         spark.conf.set(key, "10000")
         assert query(pages).count() == 1
         assert int(spark.conf.get(key)) <= 500
+
+
+def test_a_question_is_parsed_once_however_often_it_is_asked(spark, monkeypatch):
+    parsed = []
+    plans = questions._plans
+    monkeypatch.setattr(questions, "_plans", lambda asked, *rest: parsed.append(asked.count()) or plans(asked, *rest))
+    names = spark.createDataFrame([("Peru", "PER"), ("Chile", "CHL")], "alias string, iso3 string")
+    asked = spark.range(600).selectExpr("id", "CASE id % 3 WHEN 0 THEN 'How do Peru and Chile relate in 1999?' WHEN 1 THEN 'Events in Peru' END AS text")
+    found = {r.id: (r.intent, r.countries, r.year) for r in questions.parse(asked, names).collect()}
+    assert parsed == [3] and len(found) == 600
+    assert [found[i] for i in (0, 1, 2)] == [("bilateral", "CHL,PER", 1999), ("events", "PER", None), ("profile", "", None)]
+    assert all(found[i] == found[i % 3] for i in range(600))
