@@ -13,6 +13,8 @@ from pyspark.ml.feature import StandardScaler, VectorAssembler
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .network import _checkpointed
+
 # Names of the two-digit root codes.
 ROOT_NAMES = {
     "01": "Verbal Cooperation", "02": "Material Cooperation", "03": "Diplomatic Cooperation", "04": "Consultation",
@@ -309,18 +311,18 @@ def cluster_quality(prepared: DataFrame, k: int = 4, seed: int = 42) -> dict:
     The silhouette is the library's, with squared distances. Shuffled labels
     have the clusters' sizes; agreement is the adjusted Rand index with the labels
     of other seeds. Under ten events, or without variation, there is a reason
-    instead of figures. Events are grouped once to different points with their number as weight, so
-    that every fit and score runs on points; the driver sees sums.
+    instead of figures. Events are prepared and stored once, and grouped once to different points with their number as weight, so
+    that every fit and score runs on points; shuffled labels are drawn by event. The driver sees sums.
     """
-    rows = prepared.where("goldstein IS NOT NULL").select(F.col("root").cast("double").alias("root_n"), "goldstein")
-    n, different = rows.agg(F.count("*"), F.count_distinct("root_n", "goldstein")).first()
+    rows = _checkpointed(prepared.where("goldstein IS NOT NULL").select("event_id", F.col("root").cast("double").alias("root_n"), "goldstein"))
+    points = _checkpointed(rows.groupBy("root_n", "goldstein").agg(F.count("*").cast("double").alias("w")))
+    n, different = points.agg(F.coalesce(F.sum("w"), F.lit(0.0)), F.count("*")).first()
     if n < LEAST_EVENTS:
         return {"reason": "under ten events"}
     if different <= max(k, *CLUSTER_COUNTS):
         return {"reason": "no variation"}
     moments = rows.agg(*(f(c).alias(f"{c}_{m}") for c in ("root_n", "goldstein") for m, f in (("mean", F.avg), ("std", F.stddev_samp)))).first()
     axes = [(F.col(c) - moments[f"{c}_mean"]) / (moments[f"{c}_std"] or 1.0) for c in ("root_n", "goldstein")]
-    points = rows.groupBy("root_n", "goldstein").agg(F.count("*").cast("double").alias("w"))
     scaled = points.select("root_n", "goldstein", "w", array_to_vector(F.array(*axes)).alias("features")).persist()
 
     def labelled(count: int, seed_: int, name: str = "cluster") -> KMeansModel:
@@ -335,7 +337,7 @@ def cluster_quality(prepared: DataFrame, k: int = 4, seed: int = 42) -> dict:
     bounds = [sum(sizes[: i + 1]) / sum(sizes) for i in range(len(sizes))]
 
     def shuffled(s: int) -> DataFrame:
-        drawn = rows.withColumn("at", F.rand(s))
+        drawn = rows.withColumn("at", F.pmod(F.xxhash64("event_id", F.lit(s)), F.lit(1 << 30)) / float(1 << 30))
         label = sum((F.col("at") > b).cast("int") for b in bounds[:-1]) if len(bounds) > 1 else F.lit(0)
         dealt = drawn.groupBy("root_n", "goldstein", label.alias("cluster")).agg(F.count("*").cast("double").alias("w"))
         return dealt.join(scaled.drop("w"), ["root_n", "goldstein"])

@@ -2,8 +2,10 @@
 
 import time
 
+from pyspark.sql import functions as F
+
 from geolith.functions import text
-from geolith.operators import questions
+from geolith.operators import events, questions
 
 
 def test_snippets_of_a_long_text_take_linear_time(spark):
@@ -34,3 +36,11 @@ def test_a_question_is_parsed_once_however_often_it_is_asked(spark, monkeypatch)
     assert parsed == [3] and len(found) == 600
     assert [found[i] for i in (0, 1, 2)] == [("bilateral", "CHL,PER", 1999), ("events", "PER", None), ("profile", "", None)]
     assert all(found[i] == found[i % 3] for i in range(600))
+
+
+def test_cluster_quality_prepares_events_once(spark):
+    drawn = spark.sparkContext.accumulator(0)
+    seen = F.udf(lambda x: drawn.add(1) or x, "double").asNondeterministic()
+    rows = spark.range(60).selectExpr("id AS event_id", "lpad(1 + id % 15, 2, '0') AS root", "cast(id % 7 AS double) - 3 AS goldstein")
+    assert "null" in events.cluster_quality(rows.withColumn("goldstein", seen("goldstein")).where("event_id >= 0"))
+    assert drawn.value <= 120  # a row's filter and value; not again for each pass
