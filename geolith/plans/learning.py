@@ -54,9 +54,15 @@ def policy_bloc_discovery(spark: SparkSession, sf_dir: str) -> DataFrame:
     return policy.discovered_blocs(policy.vote_vectors(votes(spark, sf_dir), 2000), 0.05)
 
 
+def _panel(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The panel, stored: a row for each nation and quarter. Models read it many times, the orders behind it are read once."""
+    return network._checkpointed(panel(spark, sf_dir))
+
+
 def _lagged(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lags = influence.lag_features(panel(spark, sf_dir), "composite").select("iso3", "period", "lag1", "delta1", "target")
-    return panel(spark, sf_dir).join(lags, ["iso3", "period"])
+    rows = _panel(spark, sf_dir)
+    lags = influence.lag_features(rows, "composite").select("iso3", "period", "lag1", "delta1", "target")
+    return network._checkpointed(rows.join(lags, ["iso3", "period"]))
 
 
 def influence_temporal_cv(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -72,7 +78,7 @@ def influence_tree_drivers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def influence_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows, features = _lagged(spark, sf_dir).cache(), [*INDICATORS, "lag1"]
+    rows, features = _lagged(spark, sf_dir), [*INDICATORS, "lag1"]
     fitted = learning.fit(rows, features, "target", "gbt")
     return _rounded(learning.group_importance(learning.permutation_importance(fitted, rows, features, "target")))
 
@@ -84,11 +90,11 @@ def influence_what_if(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def influence_outliers(spark: SparkSession, sf_dir: str) -> DataFrame:
     ship_package(spark)
-    return _rounded(learning.isolation_outliers(panel(spark, sf_dir), INDICATORS))
+    return _rounded(learning.isolation_outliers(_panel(spark, sf_dir), INDICATORS))
 
 
 def influence_rotated_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _rounded(learning.rotated_scores(panel(spark, sf_dir), INDICATORS))
+    return _rounded(learning.rotated_scores(_panel(spark, sf_dir), INDICATORS))
 
 
 def influence_baselines(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from geolith.functions import text
 from geolith.operators import events, questions
+from geolith.plans import learning
 
 
 def test_snippets_of_a_long_text_take_linear_time(spark):
@@ -44,3 +45,8 @@ def test_cluster_quality_prepares_events_once(spark):
     rows = spark.range(60).selectExpr("id AS event_id", "lpad(1 + id % 15, 2, '0') AS root", "cast(id % 7 AS double) - 3 AS goldstein")
     assert "null" in events.cluster_quality(rows.withColumn("goldstein", seen("goldstein")).where("event_id >= 0"))
     assert drawn.value <= 120  # a row's filter and value; not again for each pass
+
+
+def test_models_read_the_orders_once(spark, sf_dir):
+    rows = learning._lagged(spark, sf_dir)
+    assert rows.count() and "orders.parquet" not in " ".join(rows.inputFiles())
