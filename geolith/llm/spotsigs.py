@@ -136,12 +136,15 @@ def near_duplicates(df: DataFrame, threshold: float = 0.8) -> tuple[DataFrame, D
 
     size = F.size("signatures")
     each = classes.select("no", size.alias("n"), F.explode("signatures").alias("s"))
-    counted = each.join(each.groupBy("s").agg(F.count("*").alias("df")), "s")
+    # Signatures of one set alone stand first in its order and meet nobody: they are counted, not shuffled on.
+    counted = each.join(each.groupBy("s").agg(F.count("*").alias("df")).where("df > 1"), "s")
     ordered = counted.groupBy("no", "n").agg(F.sort_array(F.collect_list(F.struct("df", "s"))).alias("o"))
-    prefix = F.transform(F.slice("o", F.lit(1), F.col("n") - at_least(F.col("n") * threshold) + 1), lambda x: x["s"])
+    alone = F.col("n") - F.size("o")
+    prefix = F.transform(F.slice("o", F.lit(1), F.greatest(F.lit(0), F.col("n") - at_least(F.col("n") * threshold) + 1 - alone)), lambda x: x["s"])
     width = -math.log(threshold) * (1 + ROUNDING)
     length_class = F.floor(F.log(F.col("n").cast("double")) / width).cast("int")
-    index = ordered.select("no", "n", length_class.alias("p"), F.posexplode(prefix).alias("at", "s"))
+    index = ordered.select("no", "n", length_class.alias("p"), alone.alias("alone"), F.posexplode(prefix).alias("i", "s"))
+    index = index.select("no", "n", "p", (F.col("alone") + F.col("i")).alias("at"), "s")
     asked = index.select(
         F.col("no").alias("no_b"), F.col("n").alias("m"), F.col("at").alias("at_b"), "s",
         F.explode(F.array(F.col("p"), F.col("p") - 1)).alias("p"),
